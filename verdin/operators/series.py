@@ -177,7 +177,7 @@ def series_gate(series: DataFrame, keys: Sequence[str], min_rows: int = 12) -> D
     win_list = F.filter(F.array(*[F.lit(k) for k in ROLLING_CANDIDATES]), lambda k: k < n)
     req = F.array_max(F.array_union(F.array(F.lit(2)), F.array_union(lag_list, win_list)))
     feature_rows = n - req
-    test = F.greatest(F.lit(1), F.round(feature_rows * 0.2, 0).cast("long"))
+    test = F.greatest(F.lit(1), F.bround(feature_rows * 0.2, 0).cast("long"))
     agg = series.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows"))
     return (agg.withColumn("required_history", req)
             .withColumn("feature_rows", feature_rows)
