@@ -167,16 +167,18 @@ def _feature_names(factors: Column, pred) -> Column:
 
 
 def add_factor_lists(df: DataFrame, factors: str = "top_factors") -> DataFrame:
-    """D1 lists and D2 counters from a factor array."""
-    fac = F.coalesce(F.col(factors), F.array().cast(T.ArrayType(FACTOR_TYPE)))
-    return (df.withColumn("strong_positive_factors", _feature_names(
+    """D1 lists and D2 counters from a factor array (a null array counts as empty)."""
+    fac = F.col(factors)
+    out = (df.withColumn("strong_positive_factors", _feature_names(
                 fac, lambda f: (f["direction"] == "positive") & (f["strength"] == "strong")))
-              .withColumn("medium_positive_factors", _feature_names(
+             .withColumn("medium_positive_factors", _feature_names(
                 fac, lambda f: (f["direction"] == "positive") & (f["strength"] == "medium")))
-              .withColumn("negative_factors", _feature_names(fac, lambda f: f["direction"] == "negative"))
-              .withColumn("strong_positive_count", F.size("strong_positive_factors"))
-              .withColumn("medium_positive_count", F.size("medium_positive_factors"))
-              .withColumn("negative_count", F.size("negative_factors")))
+             .withColumn("negative_factors", _feature_names(fac, lambda f: f["direction"] == "negative")))
+    for lst, cnt in (("strong_positive_factors", "strong_positive_count"),
+                     ("medium_positive_factors", "medium_positive_count"), ("negative_factors", "negative_count")):
+        out = out.withColumn(lst, F.coalesce(F.col(lst), F.array().cast("array<string>")))
+        out = out.withColumn(cnt, F.size(lst))
+    return out
 
 
 def label_token(prediction: Column) -> Column:

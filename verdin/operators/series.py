@@ -217,3 +217,24 @@ def eval_tail(df: DataFrame, keys: Sequence[str], order: Sequence[str], fraction
     k = F.greatest(F.lit(2), F.bround(F.col("_n") * F.lit(fraction), 0).cast("long"))
     return seq.withColumn("role", F.when(F.col("_pos") > F.col("_n") - k, F.lit("evaluation"))
                           .otherwise(F.lit("train")))
+
+
+def prefix_sums(df: DataFrame, keys: Sequence[str], order: Sequence[str], cols: Sequence[str],
+                chunk_rows: int | None = None) -> DataFrame:
+    """Running totals ``cum_<c>`` (inclusive) of ``cols`` along ``order`` inside ``keys``.
+
+    Same chunking as :func:`sequenced`: per-chunk totals (a tiny table) give each
+    chunk its starting offset, a window inside the chunk adds the local running sum.
+    ``order`` must be unique inside each series."""
+    keys, order = list(keys), list(order)
+    ranged = with_chunks(df, keys, order[0], chunk_rows)
+    part = keys + ["_chunk"]
+    totals = ranged.groupBy(*part).agg(*[F.sum(c).alias(f"_t_{c}") for c in cols])
+    w_chunks = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(*[F.col(k).alias(f"_o_{k}") for k in keys], F.col("_chunk").alias("_o_chunk"),
+                            *[F.coalesce(F.sum(f"_t_{c}").over(w_chunks), F.lit(0)).alias(f"_off_{c}") for c in cols])
+    cond = [ranged["_chunk"] == offsets["_o_chunk"]] + [ranged[k].eqNullSafe(offsets[f"_o_{k}"]) for k in keys]
+    j = ranged.join(offsets, cond).drop("_o_chunk", *[f"_o_{k}" for k in keys])
+    w_local = Window.partitionBy(*part).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    out = j.select("*", *[(F.sum(c).over(w_local) + F.col(f"_off_{c}")).alias(f"cum_{c}") for c in cols])
+    return out.drop("_chunk", *[f"_off_{c}" for c in cols])

@@ -1,4 +1,4 @@
 """Imports every plan module so the registry is complete."""
 
-from verdin.plans import decisions, profiling, timeseries  # noqa: F401
+from verdin.plans import decisions, inline, profiling, quality, timeseries  # noqa: F401
 from verdin.plans.registry import ORACLE, QUERIES  # noqa: F401

@@ -153,3 +153,66 @@ FROM h
 def forecast_risk(spark: SparkSession, sf: str) -> DataFrame:
     """D9–D11 + A13 + W14 + D3 on hourly event series with seasonal-naive predictions."""
     return forecast_risk_df(spark, sf)
+
+
+_FORECAST_FIELDS = {"risk_level", "strong_positive_count", "medium_positive_count", "negative_count", "prediction",
+                    "confidence"}
+
+
+def _forecast_rules_sql(rule_set: str) -> str:
+    from verdin.plans.sqlgen import rule_case_sql
+    return _BACKTEST_SQL + f"""
+SELECT series_id, step, ts, round(prediction, 6) AS prediction, risk_level,
+  {rule_case_sql(rule_set, "rule_id", _FORECAST_FIELDS)} AS rule_id,
+  {rule_case_sql(rule_set, "scenario", _FORECAST_FIELDS)} AS scenario_id,
+  strong_positive_count, medium_positive_count, negative_count, factor_order,
+  round(recent_mean, 6) AS recent_mean, round(recent_std, 6) AS recent_std,
+  round(recent_p75, 6) AS recent_p75, round(recent_p90, 6) AS recent_p90, round(last_actual, 6) AS last_actual
+FROM h
+"""
+
+
+@register("forecast_risk_conservative", _forecast_rules_sql("forecast_conservative"))
+def forecast_risk_conservative(spark: SparkSession, sf: str) -> DataFrame:
+    """D11 with the conservative forecast rule set (Q11: selectable rule set)."""
+    return forecast_risk_df(spark, sf, "forecast_conservative")
+
+
+@register("forecast_factors", _BACKTEST_SQL + """,
+u AS (
+  SELECT series_id, step, unnest([
+    {'k': -i0, 'i': 0, 'f': 'deviation_from_recent_mean', 'd': dir0, 's': s0},
+    {'k': -i1, 'i': 1, 'f': 'deviation_from_previous_point', 'd': dir1, 's': s1},
+    {'k': -i2, 'i': 2, 'f': 'above_recent_p90', 'd': dir2, 's': s2},
+    {'k': -i3, 'i': 3, 'f': 'peak_hour', 'd': dir3, 's': s3}]) AS x FROM g)
+SELECT series_id, step, CAST(row_number() OVER (PARTITION BY series_id, step ORDER BY x.k, x.i) AS INTEGER) AS rank,
+  x.f AS feature, x.d AS direction, x.s AS strength, -x.k AS impact_score
+FROM u WHERE x.k < 0
+""")
+def forecast_factors(spark: SparkSession, sf: str) -> DataFrame:
+    """D10 + K2: ranked forecast factors per point (impact > 0, descending)."""
+    d = _forecast_decisions(spark, sf)
+    ex = d.select("series_id", "step", F.posexplode("top_factors").alias("pos", "f"))
+    return ex.select("series_id", "step", (F.col("pos") + 1).cast("int").alias("rank"),
+                     F.col("f.feature").alias("feature"), F.col("f.direction").alias("direction"),
+                     F.col("f.strength").alias("strength"), F.col("f.impact_score").alias("impact_score"))
+
+
+POINT_COUNT = 7
+
+
+@register("downsample_points", f"""
+WITH {_BACKTEST_SQL.strip()[5:].split("), hist AS")[0]}),
+pts AS (SELECT series_id, CAST(pos - (n - 24) AS INTEGER) AS step, ts, prediction FROM q
+        WHERE pos > n - 24 AND ts IS NOT NULL AND prediction IS NOT NULL AND isfinite(prediction)),
+r AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY step) - 1 AS idx,
+             count(*) OVER (PARTITION BY series_id) AS cnt FROM pts)
+SELECT series_id, step, ts, round(prediction, 6) AS prediction FROM r
+WHERE cnt <= {POINT_COUNT} OR list_contains(list_transform(range({POINT_COUNT}),
+  lambda i: CAST(round_even(i / {POINT_COUNT - 1}.0 * (cnt - 1), 0) AS BIGINT)), idx)
+""")
+def downsample_points_query(spark: SparkSession, sf: str) -> DataFrame:
+    """K3: evenly sample 7 of each series' forecast points (first and last always kept)."""
+    points, _ = seasonal_backtest(spark, sf)
+    out = downsample_points(points.select("series_id", "step", "ts", "prediction"), ["series_id"], "step", POINT_COUNT)
+    return out.select("series_id", "step", "ts", _R6("prediction"))

@@ -112,3 +112,45 @@ SELECT '{target}' AS target, n_rows, {len(cols)} AS n_columns, missing_values, d
   (n_rows > 0 AND target_nulls = 0 AND target_distinct >= 2) AS valid
 FROM m, d
 """
+
+
+def _sql_lit(v) -> str:
+    if v is None:
+        return "NULL"
+    if isinstance(v, bool):
+        return "TRUE" if v else "FALSE"
+    if isinstance(v, (int, float)):
+        return repr(v)
+    return "'" + str(v).replace("'", "''") + "'"
+
+
+def condition_sql(conditions: dict, fields: set[str]) -> str:
+    """SQL form of the rule condition language (for oracles): *_min / *_max numeric
+    bounds (null fails), *_in membership, *_equals and bare keys equality."""
+    parts = []
+    for key, expected in conditions.items():
+        if key.endswith("_min") or key.endswith("_max"):
+            f = key[:-4]
+            op = ">=" if key.endswith("_min") else "<="
+            parts.append(f"({f} IS NOT NULL AND CAST({f} AS DOUBLE) {op} {float(expected)!r})" if f in fields
+                         else "FALSE")
+        elif key.endswith("_in"):
+            f = key[:-3]
+            vals = expected if isinstance(expected, list) else [expected]
+            lits = ", ".join(_sql_lit(v) for v in vals if v is not None)
+            parts.append(f"coalesce({f} IN ({lits}), FALSE)" if f in fields and lits else "FALSE")
+        else:
+            f = key[:-7] if key.endswith("_equals") else key
+            parts.append((f"{f} IS NULL" if expected is None else f"coalesce({f} = {_sql_lit(expected)}, FALSE)")
+                         if f in fields else ("TRUE" if expected is None else "FALSE"))
+    return " AND ".join(parts) if parts else "TRUE"
+
+
+def rule_case_sql(rule_set_name: str, attr: str, fields: set[str]) -> str:
+    """CASE expression returning ``attr`` (rule_id / scenario / summary) of the first
+    matching rule ordered by (priority, rule_id) descending."""
+    from verdin.operators.rulesets import RULE_SETS
+    rules = sorted(RULE_SETS[rule_set_name]["rules"], key=lambda r: (int(r.get("priority", 0)), str(r["rule_id"])),
+                   reverse=True)
+    whens = " ".join(f"WHEN {condition_sql(r.get('conditions', {}), fields)} THEN {_sql_lit(r[attr])}" for r in rules)
+    return f"CASE {whens} END"
