@@ -1,4 +1,4 @@
 """Imports every plan module so the registry is complete."""
 
-from verdin.plans import decisions, drift_queries, inline, profiling, quality, timeseries, versions  # noqa: F401
+from verdin.plans import decisions, drift_queries, inline, modeling, profiling, quality, timeseries, versions  # noqa: F401
 from verdin.plans.registry import ORACLE, QUERIES  # noqa: F401
