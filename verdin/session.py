@@ -23,6 +23,7 @@ def build_session(master: str = "local[8]", partitions: int = 8, app: str = "ver
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.sql.legacy.javaCharsets", "true")
         .config("spark.driver.memory", os.environ.get("VERDIN_DRIVER_MEMORY", "16g"))
     )
     for key, value in (extra or {}).items():
