@@ -32,6 +32,8 @@ DATETIME_FORMATS = (
 )
 # Fixed value: the time-of-day pattern (hours:minutes with optional seconds).
 TIME_ONLY_PATTERN = r"^\d{1,2}:\d{2}(:\d{2})?$"
+# Shape shared by every layout above: a numeric date (time-only text never matches).
+DATE_SHAPE = r"^\d{1,4}[-./]\d{1,2}[-./]\d{1,4}"
 
 
 def col_of(c) -> Column:
@@ -49,7 +51,8 @@ def parse_timestamp(c) -> Column:
     Pure time-of-day strings are rejected (they would otherwise get today's date)."""
     text = F.regexp_replace(F.trim(col_of(c).cast("string")), r"Z$", "")
     parsed = F.coalesce(*[F.try_to_timestamp(text, F.lit(fmt)) for fmt in DATETIME_FORMATS])
-    return (F.when(text.rlike(TIME_ONLY_PATTERN) | (text == ""), F.lit(None))
+    # every accepted layout starts with a numeric date; anything else skips the parsers
+    return (F.when(~text.rlike(DATE_SHAPE), F.lit(None))
             .otherwise(parsed.cast(TimestampNTZType())))
 
 

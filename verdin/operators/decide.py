@@ -167,18 +167,29 @@ def _feature_names(factors: Column, pred) -> Column:
 
 
 def add_factor_lists(df: DataFrame, factors: str = "top_factors") -> DataFrame:
-    """D1 lists and D2 counters from a factor array (a null array counts as empty)."""
-    fac = F.col(factors)
-    out = (df.withColumn("strong_positive_factors", _feature_names(
-                fac, lambda f: (f["direction"] == "positive") & (f["strength"] == "strong")))
-             .withColumn("medium_positive_factors", _feature_names(
-                fac, lambda f: (f["direction"] == "positive") & (f["strength"] == "medium")))
-             .withColumn("negative_factors", _feature_names(fac, lambda f: f["direction"] == "negative")))
-    for lst, cnt in (("strong_positive_factors", "strong_positive_count"),
-                     ("medium_positive_factors", "medium_positive_count"), ("negative_factors", "negative_count")):
-        out = out.withColumn(lst, F.coalesce(F.col(lst), F.array().cast("array<string>")))
-        out = out.withColumn(cnt, F.size(lst))
-    return out
+    """D1 lists and D2 counters from a factor array (a null array counts as empty).
+
+    One ``aggregate`` pass fills all three lists (instead of a filter/transform pair
+    per list)."""
+    empty = F.array().cast("array<string>")
+    init = F.struct(empty.alias("sp"), empty.alias("mp"), empty.alias("ng"))
+
+    def step(acc, f):
+        pos = f["direction"] == "positive"
+        one = F.array(f["feature"])
+        return F.struct(
+            F.when(pos & (f["strength"] == "strong"), F.concat(acc["sp"], one)).otherwise(acc["sp"]).alias("sp"),
+            F.when(pos & (f["strength"] == "medium"), F.concat(acc["mp"], one)).otherwise(acc["mp"]).alias("mp"),
+            F.when(f["direction"] == "negative", F.concat(acc["ng"], one)).otherwise(acc["ng"]).alias("ng"))
+
+    lists = F.aggregate(F.coalesce(F.col(factors), F.array().cast(df.schema[factors].dataType)), init, step)
+    out = df.withColumn("_lists", lists)
+    out = (out.withColumn("strong_positive_factors", F.col("_lists.sp"))
+              .withColumn("medium_positive_factors", F.col("_lists.mp"))
+              .withColumn("negative_factors", F.col("_lists.ng")).drop("_lists"))
+    return (out.withColumn("strong_positive_count", F.size("strong_positive_factors"))
+               .withColumn("medium_positive_count", F.size("medium_positive_factors"))
+               .withColumn("negative_count", F.size("negative_factors")))
 
 
 def label_token(prediction: Column) -> Column:
@@ -196,7 +207,10 @@ def build_facts(df: DataFrame, task_type: str, prediction: str = "prediction",
     if task_type != "regression":
         score = F.when(label_token(F.col(prediction)).isin(*POSITIVE_LABELS), score).otherwise(1 - score)
     risk = F.when(score >= 0.75, F.lit("high")).when(score >= 0.45, F.lit("medium")).otherwise(F.lit("low"))
-    return add_factor_lists(df.withColumn("risk_score", score).withColumn("risk_level", risk), factors)
+    out = df.withColumn("risk_score", score).withColumn("risk_level", risk)
+    if "negative_factors" in df.columns:      # lists already derived with the factors
+        return out
+    return add_factor_lists(out, factors)
 
 
 # Rationale texts (our wording).
@@ -212,8 +226,10 @@ def recommendations(facts: DataFrame, rule_set_name: str | None = None, config:
                     F.concat(F.lit(RATIONALE_STRONG), F.concat_ws(", ", "strong_positive_factors")))
     neg = F.when(F.size("negative_factors") > 0,
                  F.concat(F.lit(RATIONALE_NEGATIVE), F.concat_ws(", ", "negative_factors")))
-    lines = F.array_compact(F.array(strong, neg))
-    return matched.withColumn("rationale", F.when(F.size(lines) > 0, lines).otherwise(F.array(F.lit(RATIONALE_NONE))))
+    has_s, has_n = F.size("strong_positive_factors") > 0, F.size("negative_factors") > 0
+    lines = (F.when(has_s & has_n, F.array(strong, neg)).when(has_s, F.array(strong)).when(has_n, F.array(neg))
+             .otherwise(F.array(F.lit(RATIONALE_NONE))))
+    return matched.withColumn("rationale", lines)
 
 
 # ---------------------------------------------------------------------------
@@ -250,23 +266,24 @@ F_PEAK = "peak_hour"
 
 def _factor(idx: int, name: str, value: Column, baseline: Column, delta: Column,
             pos: Column, neg: Column, scale: float | None = None) -> Column:
+    """One D10 factor; (-impact, index) lead the struct so natural order ranks it."""
     denom = F.lit(abs(scale)) if scale is not None else F.greatest(F.abs(pos), F.abs(neg), F.lit(1.0))
     raw = F.abs(delta) / denom
     direction = F.when(delta >= pos, F.lit("positive")).when(delta <= neg, F.lit("negative")).otherwise(F.lit("neutral"))
     impact = F.when(direction == "neutral", F.lit(0.0)).otherwise(raw)
+    score = F.bround(F.least(impact, F.lit(IMPACT_CAP)), 6)
     return F.struct(
+        (-score).alias("_k"), F.lit(idx).alias("_i"),
         F.lit(name).alias("feature"), value.cast("double").alias("value"), baseline.cast("double").alias("baseline"),
-        direction.alias("direction"), strength(impact).alias("strength"),
-        F.bround(F.least(impact, F.lit(IMPACT_CAP)), 6).alias("impact_score"), F.lit(idx).alias("_i"))
+        direction.alias("direction"), strength(impact).alias("strength"), score.alias("impact_score"))
 
 
 def rank_factors(factors: Column, k: int = TOP_FACTORS) -> Column:
-    """K2: keep impact > 0, order by impact descending (stable on ties), take k."""
+    """K2: keep impact > 0, order by impact descending (stable on ties), take k.
+    (-impact, index) lead each struct, so ``sort_array``'s natural order is the ranking."""
     kept = F.filter(factors, lambda f: f["impact_score"] > 0)
-    ordered = F.array_sort(kept, lambda a, b: F.when(a["impact_score"] > b["impact_score"], -1)
-                           .when(a["impact_score"] < b["impact_score"], 1)
-                           .when(a["_i"] < b["_i"], -1).when(a["_i"] > b["_i"], 1).otherwise(0))
-    return F.transform(F.slice(ordered, 1, k), lambda f: f.dropFields("_i"))
+    return F.transform(F.slice(F.sort_array(kept), 1, k),
+                       lambda f: F.struct(*[f[n].alias(n) for n in FACTOR_TYPE.fieldNames()]))
 
 
 def forecast_decisions(points: DataFrame, baseline: DataFrame, keys: Sequence[str],

@@ -187,9 +187,11 @@ def feature_stages(numeric: Sequence[str], categorical: Sequence[str], modes: di
 def forest(task: str, num_trees: int = FOREST_TREES, seed: int = SEED, max_depth: int = 5):
     if task == "regression":
         return RandomForestRegressor(labelCol="label", featuresCol="features", numTrees=num_trees, seed=seed,
-                                     maxDepth=max_depth, featureSubsetStrategy="all", maxMemoryInMB=2048)
+                                     maxDepth=max_depth, featureSubsetStrategy="all", maxMemoryInMB=2048,
+                                     cacheNodeIds=True, checkpointInterval=10)
     return RandomForestClassifier(labelCol="label", featuresCol="features", numTrees=num_trees, seed=seed,
-                                  maxDepth=max_depth, featureSubsetStrategy="sqrt", maxMemoryInMB=2048)
+                                  maxDepth=max_depth, featureSubsetStrategy="sqrt", maxMemoryInMB=2048,
+                                  cacheNodeIds=True, checkpointInterval=10)
 
 
 def candidate_estimator(code: str, task: str, seed: int = SEED):

@@ -42,7 +42,7 @@ def forecast_risk_df(spark: SparkSession, sf: str, rule_set: str = "forecast_def
     return d.select(
         "series_id", "step", "ts", _R6("prediction"), "risk_level", "rule_id", "scenario_id",
         "strong_positive_count", "medium_positive_count", "negative_count",
-        F.concat_ws("|", F.transform("top_factors", lambda f: f["feature"])).alias("factor_order"),
+        F.concat_ws("|", F.col("top_factors.feature")).alias("factor_order"),
         _R6("recent_mean"), _R6("recent_std"), _R6("recent_p75"), _R6("recent_p90"), _R6("last_actual"))
 
 

@@ -24,9 +24,9 @@ def _names(col: str, pred) -> F.Column:
 
 
 def _factor_summary(df: DataFrame) -> list:
-    tf = F.col("top_factors")
-    return [F.concat_ws("|", F.transform(tf, lambda f: f["feature"])).alias("factor_order"),
-            F.coalesce(F.array_max(F.transform(tf, lambda f: f["impact_score"])), F.lit(0.0)).alias("top_impact")]
+    # struct-field extraction from an array (no lambdas): stays inside whole-stage codegen
+    return [F.concat_ws("|", F.col("top_factors.feature")).alias("factor_order"),
+            F.coalesce(F.array_max(F.col("top_factors.impact_score")), F.lit(0.0)).alias("top_impact")]
 
 
 @register("proxy_impact", """
@@ -66,7 +66,6 @@ def proxy_impact(spark: SparkSession, sf: str) -> DataFrame:
     profile = explain.baseline_profile(li, LINE_NUMERIC, LINE_CATEGORICAL, digits=6)
     x = explain.proxy_impact(li.select("l_orderkey", "l_linenumber", *LINE_NUMERIC, *LINE_CATEGORICAL), profile,
                              LINE_IMPORTANCES, LINE_NUMERIC, LINE_CATEGORICAL)
-    x = decide.add_factor_lists(x, "top_factors")
     return x.select("l_orderkey", "l_linenumber", *_factor_summary(x),
                     F.col("strong_positive_count").cast("long").alias("strong_positive_count"),
                     F.col("medium_positive_count").cast("long").alias("medium_positive_count"),
