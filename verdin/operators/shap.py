@@ -100,10 +100,11 @@ def kernel_shap(rows: DataFrame, background: DataFrame, features: Sequence[str],
     bgs = F.array(*[F.struct(*[F.lit(float(r[f]) if r[f] is not None else None).cast("double").alias(f)
                                for f in features]) for r in bg_rows])
     base_rows = rows.select(F.col(id_col).alias("row_id"), *[F.col(f).cast("double").alias(f) for f in features])
-    synth = (base_rows.select("row_id", *features, F.explode(masks).alias("c"))
-             .select("row_id", "c", *features, F.explode(bgs).alias("b")))
-    mixed = synth.select("row_id", F.col("c.cid").alias("cid"),
-                         *[F.when(F.col("c.mask")[j], F.col(f)).otherwise(F.col(f"b.{f}")).alias(f)
+    # internal names start with "__" so they cannot collide with feature names
+    synth = (base_rows.select("row_id", *features, F.explode(masks).alias("__coal"))
+             .select("row_id", "__coal", *features, F.explode(bgs).alias("__bg")))
+    mixed = synth.select("row_id", F.col("__coal.cid").alias("cid"),
+                         *[F.when(F.col("__coal.mask")[j], F.col(f)).otherwise(F.col("__bg")[f]).alias(f)
                            for j, f in enumerate(features)])
     v = score(mixed).groupBy("row_id", "cid").agg(F.avg("score").alias("v"))
     fx = score(base_rows).select("row_id", F.col("score").alias("fx"))
