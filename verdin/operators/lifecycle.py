@@ -72,9 +72,12 @@ def activate(df: DataFrame, version_id, project: str = "project_id") -> DataFram
 
 
 def latest(df: DataFrame, project: str = "project_id") -> DataFrame:
-    """K4/L3: newest record per project by (created_at, version_id) (Q10 tie-break)."""
-    w = Window.partitionBy(project).orderBy(*_order_new_first())
-    return df.withColumn("_rk", F.row_number().over(w)).filter(F.col("_rk") == 1).drop("_rk")
+    """K4/L3: newest record per project by (created_at, version_id) (Q10 tie-break).
+    A grouped ``max_by`` over a struct — no window, so a project with many versions is
+    pre-aggregated per partition."""
+    cols = [c for c in df.columns if c != project]
+    best = df.groupBy(project).agg(F.max_by(F.struct(*cols), F.struct("created_at", "version_id")).alias("_r"))
+    return best.select(project, "_r.*")
 
 
 def model_history(models: DataFrame, datasets: DataFrame, project: str = "project_id") -> DataFrame:
@@ -122,3 +125,103 @@ def model_summary(models: DataFrame) -> DataFrame:
     """Compact projection of a model record."""
     return models.select("project_id", "version_id", "task_type", "status", "metric_name", "metric_value",
                          "created_at")
+
+
+# ---------------------------------------------------------------------------
+# Registry tables on shared storage
+
+MODEL_SCHEMA = ("project_id string, version_id string, dataset_version_id string, task_type string, "
+                "metric_name string, metric_value double, status string, created_at timestamp_ntz, record string")
+FORECAST_SCHEMA = "run_id string, project_id string, step int, ts timestamp_ntz, prediction double, unit string"
+
+
+class Registry:
+    """Version tables as Parquet under ``root`` partitioned by project (partition pruning on
+    every lookup).  A registration rewrites only its project's partition (dynamic partition
+    overwrite), after a reliable checkpoint so the read and the overwrite never overlap."""
+
+    def __init__(self, spark, root: str):
+        self.spark = spark
+        self.root = root.rstrip("/")
+
+    # -- reads -------------------------------------------------------------
+    def _read(self, name: str, schema: str) -> DataFrame:
+        path = f"{self.root}/{name}"
+        try:
+            return self.spark.read.schema(schema).parquet(path)
+        except Exception:  # noqa: BLE001 — the table does not exist yet
+            return self.spark.createDataFrame([], schema)
+
+    def models(self, project_id: str | None = None) -> DataFrame:
+        df = self._read("model_versions", MODEL_SCHEMA)
+        return df if project_id is None else df.filter(F.col("project_id") == project_id)
+
+    def datasets(self, project_id: str | None = None) -> DataFrame:
+        from verdin.sources.tabular import DATASET_VERSION_SCHEMA
+        df = self._read("dataset_versions", DATASET_VERSION_SCHEMA)
+        return df if project_id is None else df.filter(F.col("project_id") == project_id)
+
+    def _write_project(self, name: str, df: DataFrame) -> None:
+        (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy("project_id").parquet(f"{self.root}/{name}"))
+
+    # -- L1 / L2 / L5 -------------------------------------------------------
+    def register_model(self, project_id: str, version_id: str, dataset_version_id: str | None, task_type: str,
+                       metric_name: str, metric_value: float, record: dict | None = None,
+                       mode: str = "auto", created_at=None) -> str:
+        """Append a version; it becomes champion when the project has none or it is
+        strictly better on the primary metric (``candidate`` mode never promotes)."""
+        import datetime as dt
+        import json
+        current = self.models(project_id)
+        champ = current.filter(F.col("status") == "champion").select("metric_value").first()
+        lower = lower_is_better(metric_name)
+        better = champ is None or (metric_value < champ[0] if lower else metric_value > champ[0])
+        status = "champion" if (mode != "candidate" and better) else "candidate"
+        ts = created_at or dt.datetime.utcnow().replace(microsecond=0)
+        new = self.spark.createDataFrame(
+            [(project_id, version_id, dataset_version_id, task_type, metric_name, float(metric_value), status, ts,
+              json.dumps(record or {}, default=str))], MODEL_SCHEMA)
+        existing = current.withColumn("status", F.when((F.lit(status == "champion")) & (F.col("status") == "champion"),
+                                                       F.lit("archived")).otherwise(F.col("status")))
+        self._write_project("model_versions", existing.unionByName(new).checkpoint(eager=True))
+        return status
+
+    def activate(self, project_id: str, version_id: str) -> None:
+        """L2 on the stored table."""
+        updated = activate(self.models(project_id), version_id).checkpoint(eager=True)
+        self._write_project("model_versions", updated)
+
+    def champion(self, project_id: str) -> DataFrame:
+        return self.models(project_id).filter(F.col("status") == "champion")
+
+    def latest_model(self, project_id: str) -> DataFrame:
+        """L3 (Q10 tie-break on version id)."""
+        return latest(self.models(project_id))
+
+    # -- L7 -------------------------------------------------------------------
+    def append_forecast_run(self, run_id: str, project_id: str, points: DataFrame, unit: str | None = None) -> None:
+        """Append-only forecast points with the dataset unit."""
+        out = points.select(F.lit(run_id).alias("run_id"), F.lit(project_id).alias("project_id"),
+                            F.col("step").cast("int"), F.col("ts").cast("timestamp_ntz"),
+                            F.col("prediction").cast("double"), F.lit(unit).cast("string").alias("unit"))
+        out.write.mode("append").partitionBy("project_id").parquet(f"{self.root}/forecast_points")
+
+    def forecast_run(self, run_id: str) -> DataFrame:
+        return self._read("forecast_points", FORECAST_SCHEMA).filter(F.col("run_id") == run_id)
+
+    # -- L8 -------------------------------------------------------------------
+    def save_comparison(self, project_id: str, comparison: DataFrame) -> None:
+        """The latest comparison snapshot, kept per project (the partition is replaced)."""
+        self._write_project("comparisons", comparison.withColumn("project_id", F.lit(project_id)))
+
+    def latest_comparison(self, project_id: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.root}/comparisons").filter(F.col("project_id") == project_id)
+
+    # -- L12 ------------------------------------------------------------------
+    def dataset_summary(self, project_id: str, version_id: str | None = None) -> DataFrame:
+        """Metadata of one dataset version, or of the project's latest one (K4)."""
+        ds = self.datasets(project_id)
+        if version_id is not None:
+            return ds.filter(F.col("version_id") == version_id)
+        return latest(ds)

@@ -444,3 +444,15 @@ def train_with_fallback(df: DataFrame, target: str, id_col: str, algos: Sequence
     model.warnings = warnings
     effective = {"backend": "search+forest" if board is not None else "forest", "trees": kw.get("num_trees", FOREST_TREES)}
     return model, holdout, {"requested": requested, "effective": effective, "leaderboard": board}
+
+
+def compare_with_actual(model: TabularModel, df: DataFrame, id_col: str) -> tuple[DataFrame, dict]:
+    """Score rows that carry the actual target in place (row id carried through the
+    transform, no join) and evaluate with k = 1."""
+    prepared = model.projector.transform(df)
+    labelled = label_column(prepared, model.target, model.task_type, model.classes)
+    scored = score(model, labelled)
+    pairs = scored.select(_q(id_col), _q(model.target).alias("actual"), F.col("prediction_value").alias("prediction"),
+                          (F.col("confidence") if "confidence" in scored.columns else F.lit(None).cast("double"))
+                          .alias("confidence"))
+    return pairs, evaluate(scored, model.task_type, 1)

@@ -293,3 +293,48 @@ def target_summary_numeric(df: DataFrame, target: str) -> DataFrame:
     out = one_row_join(basic, med)
     return out.select(F.lit(target).alias("target"), "non_null_values",
                       *[F.bround(c, 6).alias(c) for c in ("min", "max", "mean", "median")])
+
+
+HISTOGRAM_BINS = 30
+
+
+def target_distribution(df: DataFrame, target: str, task: str, bins: int = HISTOGRAM_BINS) -> DataFrame:
+    """Regression → ``bins`` equal-width bins between min and max (max falls in the
+    last bin); classification → class counts sorted by count (ties by label).  One
+    min/max aggregate (a single row, broadcast) and one grouped count."""
+    if task != "regression":
+        return (df.filter(_q(target).isNotNull()).groupBy(_q(target).cast("string").alias("label"))
+                .agg(F.count(F.lit(1)).alias("count")))
+    x = _q(target).try_cast("double")
+    vals = df.select(x.alias("_x")).filter(F.col("_x").isNotNull())
+    rng = vals.agg(F.min("_x").alias("_lo"), F.max("_x").alias("_hi"))
+    j = one_row_join(vals, rng)
+    width = (F.col("_hi") - F.col("_lo")) / bins
+    b = F.when(F.col("_hi") > F.col("_lo"),
+               F.least(F.floor((F.col("_x") - F.col("_lo")) / width), F.lit(bins - 1))).otherwise(F.lit(0))
+    g = j.groupBy(b.cast("int").alias("bin"), "_lo", "_hi").agg(F.count(F.lit(1)).alias("count"))
+    w = (F.col("_hi") - F.col("_lo")) / bins
+    return g.select("bin", F.bround(F.col("_lo") + w * F.col("bin"), 6).alias("lower"),
+                    F.bround(F.col("_lo") + w * (F.col("bin") + 1), 6).alias("upper"), "count")
+
+
+def inspection_summary(spark: SparkSession, df: DataFrame, target: str | None = None,
+                       project: DataFrame | None = None) -> dict[str, DataFrame]:
+    """A7 (+ A8 when a project summary row is given): the whole upload profile as lazy
+    DataFrames — summary, column profile, target ranking, kinds, target summary,
+    temporal context of the first datetime column, unit suggestion."""
+    from verdin.operators.temporal import temporal_context
+    prof = column_profile(spark, df)
+    ranking = target_ranking(prof)
+    out = {"profile": prof, "ranking": ranking, "kinds": kind_summary(spark, prof), "unit": unit_suggestion(df)}
+    chosen = target or ranking.filter("recommended").select("column_name").first()["column_name"]
+    out["summary"] = dataset_summary(df, chosen)
+    task = prof.filter(F.col("column_name") == chosen).select("suggested_task_type").first()[0]
+    out["target_summary"] = (target_summary_numeric(df, chosen) if task == "regression"
+                             else target_summary_class(df, chosen))
+    dt_cols = [r["column_name"] for r in prof.filter("kind = 'datetime'").orderBy("position").select("column_name").collect()]
+    if dt_cols:
+        out["temporal"] = temporal_context(spark, df, dt_cols[0])
+    if project is not None:
+        out["project"] = project
+    return out

@@ -126,3 +126,92 @@ def kernel_shap(spark: SparkSession, sf: str) -> DataFrame:
         return s.withColumn("score", F.col("p_positive"))
 
     return shap.kernel_shap(df, background, feats, "doc_id", score)
+
+
+@register("compare_actual")
+def compare_actual(spark: SparkSession, sf: str) -> DataFrame:
+    """A model trained on orders before 2000 scores the later orders in place
+    (actual vs predicted per order) with k = 1 metrics attached."""
+    df = order_frame(spark, sf)
+    cut = F.lit("2000-01-01").cast("timestamp_ntz")
+    model, _ = ml.fit_tabular(df.filter(F.col("o_orderdate") < cut), "o_totalprice", "o_orderkey", importance=False)
+    pairs, metrics = ml.compare_with_actual(model, df.filter(F.col("o_orderdate") >= cut), "o_orderkey")
+    return pairs.select("*", *[F.lit(v).alias(k) for k, v in metrics.items()])
+
+
+@register("retrain_decision")
+def retrain_decision(spark: SparkSession, sf: str) -> DataFrame:
+    """V4 + L6: champion trained on orders before 2000; the orders from 2000 on arrive as
+    a new batch; candidate = last 90 days of history + new training rows; both are
+    scored on the newest 20 % of the batch; gain vs a 3 % threshold decides activation."""
+    from verdin.operators import retrain
+    from verdin.options import RetrainingOptions
+    df = order_frame(spark, sf)
+    cut = F.lit("2000-01-01").cast("timestamp_ntz")
+    hist, batch = df.filter(F.col("o_orderdate") < cut), df.filter(F.col("o_orderdate") >= cut)
+    current, _ = ml.fit_tabular(hist, "o_totalprice", "o_orderkey", importance=False)
+    report = retrain.inspect_retraining(batch, current, "o_totalprice")
+    opts = RetrainingOptions.from_payload({"history_scope": "last_90_days"})
+    res = retrain.retrain(hist, batch, current, "o_totalprice", "o_orderkey", "o_orderdate", opts)
+    return res.frame.withColumn("batch_ready", F.lit(bool(report["ready"])))
+
+
+@register("model_registry")
+def model_registry(spark: SparkSession, sf: str) -> DataFrame:
+    """L1 + L2 + L5 + L7 + L8 + L12: versions registered per line status from the metrics
+    of the two pricing rules, one activation, a stored forecast run and comparison."""
+    import uuid
+
+    from verdin.operators import asof, lifecycle
+    from verdin.plans.quality import priced_lines
+    from verdin.session import scratch_table_path
+    from verdin.sources import tabular
+    reg = lifecycle.Registry(spark, scratch_table_path(spark, f"registry-{uuid.uuid4().hex[:12]}"))
+    lines = priced_lines(spark, sf)
+    from verdin.operators.metrics import regression_metrics
+    ma = {r["l_linestatus"]: r["rmse"] for r in regression_metrics(lines, "y", "p", ["l_linestatus"]).collect()}
+    mb = {r["l_linestatus"]: r["rmse"] for r in regression_metrics(lines, "y", "p_candidate", ["l_linestatus"]).collect()}
+    for status in sorted(ma):                      # one project per line status (a handful)
+        project = f"lines-{status}"
+        tabular.register_dataset_version(spark, reg.root, lines.filter(F.col("l_linestatus") == status), project,
+                                         "v1", "y")
+        reg.register_model(project, "m1", "v1", "regression", "rmse", ma[status])
+        reg.register_model(project, "m2", "v1", "regression", "rmse", mb[status])
+        reg.register_model(project, "m3", "v1", "regression", "rmse", max(ma[status], mb[status]), mode="candidate")
+    first = sorted(ma)[0]
+    reg.activate(f"lines-{first}", "m3")
+    points, _ = seasonal_backtest_points(spark, sf)
+    reg.append_forecast_run("run-1", f"lines-{first}", points, unit="USD")
+    reg.save_comparison(f"lines-{first}", asof.comparison_summary(asof.postfactum_errors(
+        points.withColumn("actual", F.col("prediction")))))
+    assert reg.forecast_run("run-1").count() == points.count()
+    return reg.models().select("project_id", "version_id", "status", "metric_value") \
+        .join(reg.datasets().select("project_id", F.col("rows").alias("dataset_rows")), "project_id")
+
+
+def seasonal_backtest_points(spark: SparkSession, sf: str):
+    from verdin.plans.decisions import seasonal_backtest
+    points, history = seasonal_backtest(spark, sf)
+    return points.select("series_id", "step", "ts", "prediction"), history
+
+
+@register("shap_factors")
+def shap_factors(spark: SparkSession, sf: str) -> DataFrame:
+    """E1 (with E2 fallback) + K1: top-5 SHAP factors per labelled document."""
+    from verdin.operators import explain
+    feats = ["kchars", "hwords", "digit_share", "lines"]
+    df = document_features(spark, sf).select("doc_id", *feats, "quality")
+    model, _ = ml.fit_tabular(df, "quality", "doc_id", importance=False, num_trees=100)
+    background = df.orderBy("doc_id").limit(shap.MAX_BACKGROUND)
+
+    def score(frame: DataFrame) -> DataFrame:
+        return ml.score(model, frame).withColumn("score", F.col("p_positive"))
+
+    def proxy() -> DataFrame:
+        prof = explain.baseline_profile(df, feats, [])
+        imp = {f: 1.0 / len(feats) for f in feats}
+        return explain.proxy_impact(df, prof, imp, feats, []).select(F.col("doc_id").alias("row_id"), "top_factors")
+
+    method, factors = shap.explain_rows(model, df, background, feats, "doc_id", score, proxy)
+    return factors.select("row_id", F.lit(method).alias("method"), F.size("top_factors").alias("n_factors"),
+                          F.col("top_factors")[0]["feature"].alias("top_feature"))

@@ -95,3 +95,25 @@ def unit_suggestion(spark: SparkSession, sf: str) -> DataFrame:
     """V9 on events with event_type presented as the unit column."""
     ev = table(spark, sf, "events").select("event_id", "ts", "value", F.col("event_type").alias("unit"))
     return P.unit_suggestion(ev)
+
+
+@register("target_histogram", """
+WITH v AS (SELECT o_totalprice AS x FROM orders WHERE o_totalprice IS NOT NULL),
+r AS (SELECT min(x) AS lo, max(x) AS hi FROM v),
+b AS (SELECT CAST(CASE WHEN hi > lo THEN least(floor((x - lo) / ((hi - lo) / 30)), 29) ELSE 0 END AS INTEGER) AS bin,
+             lo, hi FROM v, r)
+SELECT bin, round_even(lo + (hi - lo) / 30 * bin, 6) AS lower, round_even(lo + (hi - lo) / 30 * (bin + 1), 6) AS upper,
+  count(*) AS count FROM b GROUP BY bin, lo, hi
+""")
+def target_histogram(spark: SparkSession, sf: str) -> DataFrame:
+    """A11 (regression): 30 equal-width bins of o_totalprice."""
+    return P.target_distribution(table(spark, sf, "orders"), "o_totalprice", "regression")
+
+
+@register("target_classes", """
+SELECT CAST(o_orderpriority AS VARCHAR) AS label, count(*) AS count FROM orders
+WHERE o_orderpriority IS NOT NULL GROUP BY 1
+""")
+def target_classes(spark: SparkSession, sf: str) -> DataFrame:
+    """A11 (classification): class counts of o_orderpriority."""
+    return P.target_distribution(table(spark, sf, "orders"), "o_orderpriority", "multiclass")

@@ -463,3 +463,21 @@ def union_dedupe(spark: SparkSession, sf: str) -> DataFrame:
     hist = o.filter(F.col("o_orderdate") < F.lit("1999-01-01").cast("timestamp_ntz")).withColumn("_ord", F.lit(0))
     batch = o.filter(F.col("o_orderdate") >= F.lit("1998-07-01").cast("timestamp_ntz")).withColumn("_ord", F.lit(1))
     return merge.append_dedupe(hist, batch, "_ord").drop("_ord")
+
+
+@register("forecast_request", f"""
+WITH d AS (SELECT series_id, epoch(ts) - epoch(lag(ts) OVER (PARTITION BY series_id ORDER BY ts)) AS gap FROM {_HOURLY}),
+c AS (SELECT series_id, greatest(1, CAST(round_even(quantile_cont(gap, 0.5) / 60.0, 0) AS BIGINT)) AS cadence_minutes
+      FROM d WHERE gap > 0 GROUP BY 1),
+r AS (SELECT *, CAST(least(greatest(round(cadence_minutes * 7.5 / 10.0) * 10, 10.0), 1440.0) AS INTEGER) AS interval_minutes
+      FROM c)
+SELECT series_id, cadence_minutes, interval_minutes,
+  CAST(least(greatest(ceil(interval_minutes / greatest(cadence_minutes, 1)), 1), 720) AS INTEGER) AS steps FROM r
+""")
+def forecast_request(spark: SparkSession, sf: str) -> DataFrame:
+    """A request of 7.5 cadences per series, rounded to 10 minutes in [10, 1440],
+    turned into a step count (at most 720 points)."""
+    from verdin.functions.numeric import forecast_steps, normalize_interval
+    c = temporal.cadence_minutes(hourly_events(spark, sf), ["series_id"], "ts").select("series_id", "cadence_minutes")
+    r = c.withColumn("interval_minutes", normalize_interval(F.col("cadence_minutes") * 7.5))
+    return r.withColumn("steps", forecast_steps(F.col("interval_minutes"), F.col("cadence_minutes")))

@@ -205,3 +205,17 @@ def source_label(spark: SparkSession, sf: str) -> DataFrame:
         F.transform(F.array_sort(F.collect_list(F.struct("rk", "file"))), lambda x: x["file"]).alias("names"))
     out = top.join(counts, "n_nationkey")
     return out.select("n_name", "files", T.source_label(F.col("names"), F.col("files")).alias("label"))
+
+
+DELETED_PROJECT = "cust-7"
+
+
+@register("project_delete", f"""
+WITH {_MV} SELECT project_id, version_id FROM mv WHERE project_id <> '{DELETED_PROJECT}'
+""")
+def project_delete(spark: SparkSession, sf: str) -> DataFrame:
+    """Remove one project's rows from the model-version table (left anti join)."""
+    from verdin.operators.merge import remove_project
+    m = model_versions(spark, sf).select("project_id", "version_id")
+    doomed = spark.createDataFrame([(DELETED_PROJECT,)], "project_id string")
+    return remove_project(m, doomed)
