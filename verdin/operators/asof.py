@@ -3,7 +3,7 @@
 A range join made equi: time is cut into buckets as wide as the tolerance, each
 prediction is offered to its own and both neighbouring buckets (3 rows per
 prediction), actuals stay in one bucket, so an equi-join on ``(keys, bucket)``
-followed by ``|Δt| ≤ tolerance`` finds every candidate.  ``row_number`` per
+followed by ``|Δt| ≤ tolerance`` finds every candidate.  A grouped ``min_by`` per
 prediction then keeps an exact hit first, else the smallest gap, ties to the
 earliest-inserted actual.  The predictions side is never multiplied by more than 3
 and AQE's skew-join splits a bucket that holds a large share of the actuals.
@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from verdin.functions.timefuncs import epoch_micros
@@ -36,10 +36,12 @@ def nearest_match(predictions: DataFrame, actuals: DataFrame, keys: Sequence[str
     aa = a.select(*a_cols).withColumnRenamed("_bucket", "_b_bucket")
     cand = offered.join(aa, cond).withColumn("_gap", F.abs(F.col("_pus") - F.col("_aus"))) \
         .filter(F.col("_gap") <= tol_us)
-    w = Window.partitionBy(*pred_id).orderBy(F.col("_gap").asc(), *[F.col(f"_ord{i}").asc()
-                                                                    for i in range(len(actual_order))])
-    best = cand.withColumn("_rk", F.row_number().over(w)).filter(F.col("_rk") == 1) \
-        .select(*pred_id, "matched_ts", "actual")
+    # nearest candidate per prediction as a grouped min_by (partial aggregation), so a
+    # prediction with very many candidates is reduced map-side instead of sorted in one task
+    order_key = F.struct(F.col("_gap"), *[F.col(f"_ord{i}") for i in range(len(actual_order))])
+    best = (cand.groupBy(*pred_id)
+            .agg(F.min_by(F.struct("matched_ts", "actual"), order_key).alias("_best"))
+            .select(*pred_id, "_best.matched_ts", "_best.actual"))
     return predictions.join(best, list(pred_id), "left")
 
 

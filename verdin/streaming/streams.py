@@ -149,9 +149,9 @@ def run_postfactum(spark: SparkSession, events_static: DataFrame, points: DataFr
             .select("series_id", "step", "_gap", "event_id", "matched_ts", "actual"))
     drain(cand, f"{ws}/sink", f"{ws}/checkpoint", mode="append")
     allc = spark.read.option("recursiveFileLookup", "true").parquet(f"{ws}/sink")
-    w = Window.partitionBy("series_id", "step").orderBy("_gap", "event_id")
-    best = allc.withColumn("_rk", F.row_number().over(w)).filter(F.col("_rk") == 1) \
-        .select("series_id", "step", "matched_ts", "actual")
+    best = (allc.groupBy("series_id", "step")
+            .agg(F.min_by(F.struct("matched_ts", "actual"), F.struct("_gap", "event_id")).alias("_b"))
+            .select("series_id", "step", "_b.matched_ts", "_b.actual"))
     return points.join(best, ["series_id", "step"], "left")
 
 
