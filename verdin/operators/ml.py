@@ -44,6 +44,15 @@ def _q(c: str):
     return F.col(f"`{c}`")
 
 
+def balanced(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-spread a training table over the session's parallelism before it is
+    checkpointed: AQE coalesces small shuffles into one partition, which would leave an
+    iterative fit on a single core."""
+    spark = df.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return df.repartition(n, *[_q(k) for k in keys]) if keys else df.repartition(n)
+
+
 # ---------------------------------------------------------------------------
 # Temporal projection learned on the training data
 
@@ -275,7 +284,7 @@ def fit_tabular(df: DataFrame, target: str, id_col: str, task: str | None = None
     classes = class_labels(prepared, target) if task != "regression" else None
     split = seeded_split(prepared, id_col, test_size, seed, stratify=target if task != "regression" else None)
     # iterative fits re-read the split many times: cut lineage once (shared checkpoint dir)
-    split = label_column(split, target, task, classes).checkpoint(eager=True)
+    split = balanced(label_column(split, target, task, classes), id_col).checkpoint(eager=True)
     train = split.filter(F.col("split") == "train")
     test = split.filter(F.col("split") == "test")
     modes = column_modes(train, categorical)
@@ -385,7 +394,7 @@ def leaderboard(df: DataFrame, target: str, id_col: str, algos: Sequence[str] =
     classes = class_labels(prepared, target) if task != "regression" else None
     split = label_column(seeded_split(prepared, id_col, test_size, seed,
                                       stratify=target if task != "regression" else None), target, task, classes)
-    split = split.checkpoint(eager=True)
+    split = balanced(split, id_col).checkpoint(eager=True)
     train = split.filter(F.col("split") == "train")
     test = split.filter(F.col("split") == "test")
     folds = cv_folds(train, target, task)

@@ -99,7 +99,10 @@ def kernel_shap(rows: DataFrame, background: DataFrame, features: Sequence[str],
                                F.lit(float(wt)).alias("weight")) for i, (mask, wt) in enumerate(coal)])
     bgs = F.array(*[F.struct(*[F.lit(float(r[f]) if r[f] is not None else None).cast("double").alias(f)
                                for f in features]) for r in bg_rows])
-    base_rows = rows.select(F.col(id_col).alias("row_id"), *[F.col(f).cast("double").alias(f) for f in features])
+    from verdin.operators.ml import balanced
+    # spread rows before the ×(coalitions × background) expansion so every core scores
+    base_rows = balanced(rows.select(F.col(id_col).alias("row_id"),
+                                     *[F.col(f).cast("double").alias(f) for f in features]), "row_id")
     # internal names start with "__" so they cannot collide with feature names
     synth = (base_rows.select("row_id", *features, F.explode(masks).alias("__coal"))
              .select("row_id", "__coal", *features, F.explode(bgs).alias("__bg")))
