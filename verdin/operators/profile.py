@@ -55,7 +55,8 @@ def value_counts_long(df: DataFrame) -> DataFrame:
     """(column_name, value, cnt): one row per distinct value per column (null kept as a value)."""
     pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), _q(c).cast("string").alias("value"))
                                 for c in df.columns])).alias("p")
-    long = df.select(pairs).select("p.column_name", "p.value")
+    from verdin.session import spread_if_narrow
+    long = spread_if_narrow(df).select(pairs).select("p.column_name", "p.value")
     return long.groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("cnt"))
 
 

@@ -57,3 +57,15 @@ def scratch_table_path(spark: SparkSession, name: str) -> str:
     """A path for an intermediate table under the shared checkpoint folder."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/tables/{name}"
+
+
+def spread_if_narrow(df):
+    """Repartition only when the plan has fewer partitions than the cluster has cores
+    (e.g. one large file with a single row group).  A scan of many files/row groups is
+    left untouched, so this adds no shuffle to already-parallel inputs.  Planning the
+    partition count does not execute the query."""
+    spark = df.sparkSession
+    want = spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < want:
+        return df.repartition(want)
+    return df
