@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from verdin.functions.timefuncs import CALENDAR_COLUMNS, calendar_features
 from verdin.operators.metrics import regression_metrics
-from verdin.operators.ml import balanced
+from verdin.operators.ml import balanced_checkpoint
 from verdin.operators.series import (HISTORY_TAIL_ROWS, LAG_CANDIDATES, ROLLING_CANDIDATES, autoregressive_features,
                                      chrono_split, required_history, series_gate, series_tail)
 from verdin.operators.temporal import cadence_minutes
@@ -76,7 +76,7 @@ def train_forecaster(series: DataFrame, keys: Sequence[str], ts: str = "ts", y:
     rows = autoregressive_features(s, keys, ts, y, lags, widths)
     rows = rows.select(*keys, ts, y, *[c.alias(n) for c, n in zip(calendar_features(F.col(ts)), CALENDAR_COLUMNS)],
                        *[c for c in rows.columns if c.startswith("target_")])
-    rows = balanced(rows, *keys, ts).checkpoint(eager=True)
+    rows = balanced_checkpoint(rows, *keys, ts)
     split = chrono_split(rows, keys, [ts])
     train, test = split.filter(F.col("split") == "train"), split.filter(F.col("split") == "test")
     eval_model = _forest(num_trees, seed, max_depth).fit(train)

@@ -44,10 +44,32 @@ def _q(c: str):
     return F.col(f"`{c}`")
 
 
+TRAINING_PARTITION_BYTES = 2 * 1024 * 1024
+
+
+def balanced_checkpoint(df: DataFrame, *keys: str) -> DataFrame:
+    """Materialize a training table spread by data volume: a hash repartition whose
+    partition count AQE derives from a small advisory size (~2 MiB), so a large table
+    is fitted by every core while a tiny one stays in one partition (no per-task
+    overhead in iterative fits).  Without this, AQE coalesces small shuffles into one
+    partition and a forest trains on a single core.  Reliable checkpoint (shared dir)."""
+    spark = df.sparkSession
+    key = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    old = spark.conf.get(key, None)
+    spark.conf.set(key, str(TRAINING_PARTITION_BYTES))
+    try:
+        spread = df.repartition(*[_q(k) for k in keys]) if keys else df.repartition(
+            int(spark.conf.get("spark.sql.shuffle.partitions")))
+        return spread.checkpoint(eager=True)
+    finally:
+        if old is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, old)
+
+
 def balanced(df: DataFrame, *keys: str) -> DataFrame:
-    """Hash-spread a training table over the session's parallelism before it is
-    checkpointed: AQE coalesces small shuffles into one partition, which would leave an
-    iterative fit on a single core."""
+    """Hash-spread over the session's parallelism (fixed count; used before row expansion)."""
     spark = df.sparkSession
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     return df.repartition(n, *[_q(k) for k in keys]) if keys else df.repartition(n)
@@ -284,7 +306,7 @@ def fit_tabular(df: DataFrame, target: str, id_col: str, task: str | None = None
     classes = class_labels(prepared, target) if task != "regression" else None
     split = seeded_split(prepared, id_col, test_size, seed, stratify=target if task != "regression" else None)
     # iterative fits re-read the split many times: cut lineage once (shared checkpoint dir)
-    split = balanced(label_column(split, target, task, classes), id_col).checkpoint(eager=True)
+    split = balanced_checkpoint(label_column(split, target, task, classes), id_col)
     train = split.filter(F.col("split") == "train")
     test = split.filter(F.col("split") == "test")
     modes = column_modes(train, categorical)
@@ -394,7 +416,7 @@ def leaderboard(df: DataFrame, target: str, id_col: str, algos: Sequence[str] =
     classes = class_labels(prepared, target) if task != "regression" else None
     split = label_column(seeded_split(prepared, id_col, test_size, seed,
                                       stratify=target if task != "regression" else None), target, task, classes)
-    split = balanced(split, id_col).checkpoint(eager=True)
+    split = balanced_checkpoint(split, id_col)
     train = split.filter(F.col("split") == "train")
     test = split.filter(F.col("split") == "test")
     folds = cv_folds(train, target, task)
