@@ -178,7 +178,7 @@ class Registry:
         lower = lower_is_better(metric_name)
         better = champ is None or (metric_value < champ[0] if lower else metric_value > champ[0])
         status = "champion" if (mode != "candidate" and better) else "candidate"
-        ts = created_at or dt.datetime.utcnow().replace(microsecond=0)
+        ts = created_at or dt.datetime.now(dt.UTC).replace(microsecond=0, tzinfo=None)
         new = self.spark.createDataFrame(
             [(project_id, version_id, dataset_version_id, task_type, metric_name, float(metric_value), status, ts,
               json.dumps(record or {}, default=str))], MODEL_SCHEMA)

@@ -21,6 +21,9 @@ def _scratch(spark: SparkSession, name: str) -> str:
 
 
 def _write_csv(df: DataFrame, path: str, sep: str, encoding: str) -> None:
+    if encoding.upper() not in ("UTF-8", "ISO-8859-1", "US-ASCII"):
+        # Spark 4 writes only a few charsets unless Java charsets are allowed
+        df.sparkSession.conf.set("spark.sql.legacy.javaCharsets", "true")
     df.write.option("header", True).option("sep", sep).option("encoding", encoding).csv(path)
 
 

@@ -225,7 +225,7 @@ def register_dataset_version(spark: SparkSession, root: str, df: DataFrame, proj
     """Append one metadata row (schema from ``df.schema``, row count from one job)."""
     import datetime as dt
     row = (project_id, version_id, name, target, df.count(), len(df.columns), df.schema.json(), unit,
-           dt.datetime.utcnow().replace(microsecond=0))
+           dt.datetime.now(dt.UTC).replace(microsecond=0, tzinfo=None))
     rec = spark.createDataFrame([row], DATASET_VERSION_SCHEMA)
     rec.write.mode("append").partitionBy("project_id").parquet(f"{root.rstrip('/')}/dataset_versions")
     return rec
