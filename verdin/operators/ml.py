@@ -231,7 +231,7 @@ def candidate_estimator(code: str, task: str, seed: int = SEED):
         if task == "multiclass":
             return None  # GBT in Spark ML is binary-only
         return (GBTRegressor if task == "regression" else GBTClassifier)(labelCol="label", featuresCol="features",
-                                                                          maxIter=50, seed=seed)
+                                                                          seed=seed)
     if code == "rf":
         return forest(task, num_trees=100, seed=seed)
     if code == "linear_l2":
