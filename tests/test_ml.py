@@ -1,6 +1,5 @@
 import uuid
 
-from pyspark.sql import functions as F
 
 from verdin.operators import ml
 from verdin.session import scratch_table_path

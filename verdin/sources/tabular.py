@@ -10,7 +10,6 @@ distributed), and files are then read by ONE ``spark.read.csv`` per
 from __future__ import annotations
 
 import csv
-import io
 import json
 import re
 from collections.abc import Sequence
