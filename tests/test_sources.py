@@ -15,6 +15,8 @@ def test_cp1251_semicolon_csv(spark):
         .to_csv(os.path.join(d, "energy.csv"), sep=";", index=False, encoding="cp1251")
     probe = tabular.probe_csv(spark, d).first()
     assert probe["encoding"] == "cp1251" and probe["sep"] == ";"
+    remote_style = tabular.probe_csv(spark, d, local=False).first()     # head from the content column
+    assert (remote_style["encoding"], remote_style["sep"]) == ("cp1251", ";")
     df = tabular.read_tabular(spark, os.path.join(d, "energy.csv"))
     assert df.columns == ["Час", "Температура", "Потребление"] and df.count() == 10
 

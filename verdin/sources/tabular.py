@@ -75,10 +75,25 @@ def _probe_partition(batches):
         yield pd.DataFrame(rows, columns=["path", "encoding", "sep"])
 
 
-def probe_csv(spark: SparkSession, location: str, glob: str = "*.csv") -> DataFrame:
-    """S1 probe table: one row per file with its encoding and delimiter."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(location).select("path")
-    return files.mapInPandas(_probe_partition, schema=PROBE_SCHEMA)
+def _probe_heads(batches):
+    for pdf in batches:
+        rows = [(path, *probe_bytes(bytes(head))) for path, head in zip(pdf["path"], pdf["head"])]
+        yield pd.DataFrame(rows, columns=["path", "encoding", "sep"])
+
+
+def probe_csv(spark: SparkSession, location: str, glob: str = "*.csv", local: bool | None = None) -> DataFrame:
+    """S1 probe table: one row per file with its encoding and delimiter.
+
+    Local/shared POSIX paths: only file paths flow through Spark and each task reads
+    8 KiB per file.  Any other Hadoop filesystem (object stores): the head is cut from
+    the ``binaryFile`` content column (the file is read by the source, then trimmed)."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(location)
+    if local is None:
+        local = "://" not in location or location.startswith("file:")
+    if local:
+        return files.select("path").mapInPandas(_probe_partition, schema=PROBE_SCHEMA)
+    heads = files.select("path", F.substring("content", 1, PROBE_BYTES).alias("head"))
+    return heads.mapInPandas(_probe_heads, schema=PROBE_SCHEMA)
 
 
 def read_csv_collection(spark: SparkSession, location: str, glob: str = "*.csv", infer: bool = True) -> DataFrame:
