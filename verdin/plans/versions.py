@@ -3,7 +3,7 @@ project summaries, activation, slugs and labels (L1–L4, L10, J7, W12, W13, K4,
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verdin.functions import text as T
@@ -198,9 +198,11 @@ def source_label(spark: SparkSession, sf: str) -> DataFrame:
     n = table(spark, sf, "nation")
     j = s.join(n, s.s_nationkey == n.n_nationkey).select("n_nationkey", "n_name", "s_suppkey",
                                                          F.concat("s_name", F.lit(".csv")).alias("file"))
-    w = Window.partitionBy("n_nationkey").orderBy("s_suppkey")
-    r = j.withColumn("rk", F.row_number().over(w))
-    counts = j.groupBy("n_nationkey").agg(F.count(F.lit(1)).cast("int").alias("files"))
+    from verdin.operators.series import sequenced
+    # ordinals per nation from the chunked primitive: a nation holding most suppliers is
+    # still numbered by many tasks; the count per nation comes with it
+    r = sequenced(j, ["n_nationkey"], ["s_suppkey"]).withColumnRenamed("_pos", "rk")
+    counts = r.groupBy("n_nationkey").agg(F.max("_n").cast("int").alias("files"))
     top = r.filter(F.col("rk") <= 3).groupBy("n_nationkey", "n_name").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("rk", "file"))), lambda x: x["file"]).alias("names"))
     out = top.join(counts, "n_nationkey")
