@@ -4,6 +4,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -131,6 +132,15 @@ def test_lattice_sums_all_segmentations():
     assert math.isclose(total, 1, rel_tol=1e-9) and math.isfinite(lattice.word("x" * 5000))
 
 
+def test_words_of_a_slice():
+    texts = [f"Ähre {i} THE\tthe  \u00a0x" if i % 7 else None for i in range(900)]
+    for a, n in ((0, 900), (300, 400), (899, 1)):
+        words, index, per, times = lattice_lm._distinct(pa.array(texts).slice(a, n), np.ones(n))
+        want = [w.decode() for t in texts[a:a + n] for w in (t or "").encode().lower().split()]
+        assert [words[i].as_py() for i in index] == want and times.sum() == len(want)
+        assert list(np.bincount(per, minlength=n)) == [len((t or "").encode().split()) for t in texts[a:a + n]]
+
+
 @pytest.mark.parametrize("block_bytes", [200, 10**9])
 def test_scores_equal_brute_force(spark, block_bytes):
     rnd = random.Random(4)

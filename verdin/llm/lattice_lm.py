@@ -110,6 +110,7 @@ def from_vocabulary(path: str) -> Lattice:
 
 def _distinct(texts: pa.Array, weight: np.ndarray):
     """(distinct words, their occurrences by weight): words of ASCII lower case, cut at ASCII space."""
+    texts = texts.take(pa.array(np.arange(len(texts))))   # a copy: ascii_lower misreads slices of arrays
     lists = pc.ascii_split_whitespace(pc.ascii_lower(texts.cast(pa.large_string()).fill_null("")))
     flat = lists.flatten()
     per = np.repeat(np.arange(len(texts)), np.diff(np.asarray(lists.offsets)))
