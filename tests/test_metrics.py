@@ -31,3 +31,10 @@ def test_improvement_gate():
     from pyspark.sql import functions as F  # noqa: F401
     assert metrics.primary_metric_name("regression") == "rmse"
     assert metrics.primary_metric_name("binary") == "f1_weighted"
+
+
+def test_flat_predictions_have_no_correlation(spark):
+    from verdin.operators.metrics import regression_metrics
+    df = spark.createDataFrame([(1.0, 3.0), (2.0, 3.0), (4.0, 3.0)], "y double, p double")
+    m = regression_metrics(df, "y", "p").first()
+    assert m["r"] is None and m["mae"] == round(4 / 3, 6)

@@ -15,8 +15,7 @@ def test_cp1251_semicolon_csv(spark):
         .to_csv(os.path.join(d, "energy.csv"), sep=";", index=False, encoding="cp1251")
     probe = tabular.probe_csv(spark, d).first()
     assert probe["encoding"] == "cp1251" and probe["sep"] == ";"
-    remote_style = tabular.probe_csv(spark, d, local=False).first()     # head from the content column
-    assert (remote_style["encoding"], remote_style["sep"]) == ("cp1251", ";")
+    assert probe["header"] == "Час;Температура;Потребление" and not probe["multiline"]
     df = tabular.read_tabular(spark, os.path.join(d, "energy.csv"))
     assert df.columns == ["Час", "Температура", "Потребление"] and df.count() == 10
 
@@ -39,3 +38,48 @@ def test_snapshot_roundtrip_and_delete(spark):
     assert tabular.delete_path(spark, tabular.dataset_path(root, "p1"))
     js = tabular.json_safe(spark.createDataFrame([(float("nan"),)], "x double")).first()["record"]
     assert js == "{}"
+
+
+def _folder(**files):
+    d = tempfile.mkdtemp(prefix="verdin-test-", dir="/tmp")
+    for name, content in files.items():
+        with open(os.path.join(d, f"{name.replace('__', '-')}.csv"), "wb") as fh:
+            fh.write(content)
+    return d
+
+
+def test_files_of_one_delimiter_keep_their_own_headers(spark):
+    days = [f"2024-01-0{k} 00:00:00" for k in range(1, 7)]
+    d = _folder(part__a="\n".join(["ts,load,temp", *[f"{t},{100 + k},{k}" for k, t in enumerate(days)]]).encode(),
+                part__b="\n".join(["cloud,ts,wind", *[f"{7 + k},{t},3" for k, t in enumerate(days)]]).encode())
+    raw = tabular.read_csv_collection(spark, d, infer=False).collect()
+    assert sorted(r["load"] for r in raw if r["_source"] == "part-a.csv") == [str(100 + k) for k in range(6)]
+    assert sorted(int(r["cloud"]) for r in raw if r["_source"] == "part-b.csv") == list(range(7, 13))
+    assert all(r["ts"] in days for r in raw)
+    merged = tabular.ingest(spark, d, target="load").orderBy("load").collect()
+    assert [(r["load"], r["cloud"], r["wind"]) for r in merged] == [(100 + k, 7 + k, 3) for k in range(6)]
+
+
+def test_encoding_from_the_whole_file_and_quoted_fields(spark):
+    late = b"a;b\n" + b"1;plain\n" * 5000 + "2;поздно\n".encode("cp1251")
+    d = _folder(late=late)
+    assert tabular.probe_csv(spark, d).first()["encoding"] == "cp1251"
+    assert [r["b"] for r in tabular.read_csv_collection(spark, d).filter("a = 2").collect()] == ["поздно"]
+    d = _folder(quoted=b'a,b\n1,"line one\nline ""two"""\n2,x\n')
+    got = tabular.read_csv_collection(spark, d).orderBy("a").collect()
+    assert [r["b"] for r in got] == ['line one\nline "two"', "x"]
+
+
+def test_snapshots_of_two_schemas_live_together(spark):
+    root = scratch_table_path(spark, f"snap-{uuid.uuid4().hex[:8]}")
+    tabular.save_dataset(spark.createDataFrame([(1, 2.0)], "a long, b double"), root, "p1", "v1")
+    tabular.save_dataset(spark.createDataFrame([("x",)], "c string"), root, "p2", "v1")
+    assert tabular.load_dataset(spark, root, "p2", "v1").collect() == [("x",)]
+    assert tabular.load_dataset(spark, root, "p1", "v1").collect() == [(1, 2.0)]
+
+
+def test_rows_without_an_order_key_are_staged(spark):
+    from verdin.streaming.streams import stage_ordered_files
+    rows = spark.createDataFrame([(i if i % 5 else None, i) for i in range(100)], "k long, v long")
+    path = stage_ordered_files(rows, scratch_table_path(spark, f"slices-{uuid.uuid4().hex[:8]}"), "k")
+    assert spark.read.parquet(path).count() == 100

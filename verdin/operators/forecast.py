@@ -148,9 +148,8 @@ def recursive_forecast(bundle: ForecastBundle, steps: int = DEFAULT_STEPS,
     for o in outputs[1:]:
         out = out.unionByName(o)
     warn = F.when((F.col("cadence_minutes") > 0) & (F.col("horizon_minutes") != F.col("cadence_minutes")),
-                  F.concat(F.lit("Requested horizon ("), F.col("horizon_minutes").cast("string"),
-                           F.lit(" min) differs from training cadence ("), F.col("cadence_minutes").cast("string"),
-                           F.lit(" min). Short-horizon extrapolation may be less stable.")))
+                  F.concat(F.lit("steps of "), F.col("horizon_minutes").cast("string"), F.lit(" min on a series of one value each "),
+                           F.col("cadence_minutes").cast("string"), F.lit(" min")))
     return out.withColumn("warning", warn)
 
 

@@ -7,6 +7,7 @@ rewrites of these small tables (Parquet, partitioned by project).
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -149,7 +150,9 @@ class Registry:
         path = f"{self.root}/{name}"
         try:
             return self.spark.read.schema(schema).parquet(path)
-        except Exception:  # noqa: BLE001 — the table does not exist yet
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":   # any other error must not pass for an empty table
+                raise
             return self.spark.createDataFrame([], schema)
 
     def models(self, project_id: str | None = None) -> DataFrame:

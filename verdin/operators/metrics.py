@@ -32,7 +32,7 @@ def regression_metrics(df: DataFrame, y: str, p: str, keys: Sequence[str] = (),
         F.count(F.lit(1)).alias("n"),
         F.sum(F.col("_e") * F.col("_e")).alias("_rss"),
         F.avg(F.abs("_e")).alias("_mae"),
-        F.corr("_y", "_p").alias("_corr"),
+        F.covar_pop("_y", "_p").alias("_cov"),
         F.stddev_pop("_y").alias("_sy"), F.stddev_pop("_p").alias("_sp"),
         F.var_pop("_y").alias("_vy"))
     n = F.col("n").cast("double")
@@ -40,7 +40,9 @@ def regression_metrics(df: DataFrame, y: str, p: str, keys: Sequence[str] = (),
     sstot = F.col("_vy") * n
     r2 = (F.when(sstot > 0, 1 - F.col("_rss") / sstot)
           .when(F.col("_rss") == 0, F.lit(1.0)).otherwise(F.lit(0.0)))
-    r = F.when((F.col("n") >= 2) & (F.col("_sy") > 0) & (F.col("_sp") > 0), F.col("_corr"))
+    # null for a flat series; deviations whose product underflows to zero give null as well
+    r = F.when((F.col("n") >= 2) & (F.col("_sy") > 0) & (F.col("_sp") > 0),
+               F.try_divide("_cov", F.col("_sy") * F.col("_sp")))
     sigma2 = F.greatest(mse, F.lit(FLOAT_EPS))
     aic = n * F.log(sigma2) + 2.0 * k
     bic = n * F.log(sigma2) + k * F.log(n)

@@ -366,14 +366,14 @@ def holdout_table(scored: DataFrame, model: TabularModel, id_col: str) -> DataFr
 
 
 def permutation_importance(model: TabularModel, test: DataFrame, id_col: str, seed: int = SEED,
-                           buckets: int | None = None) -> dict[str, float]:
-    """For every feature, the test rows get that feature from another row of the same hash
-    bucket (a seeded permutation inside buckets instead of a global shuffle), all
-    feature copies are scored in ONE transform, and the metric change per feature is
-    clipped at 0 and normalized (uniform when all are 0)."""
+                           bucket_rows: int = 100_000) -> dict[str, float]:
+    """Each feature's share of the harm done by permuting it.  Rows are dealt into hash buckets of
+    about ``bucket_rows`` and a seeded permutation runs inside each, so the answer depends on the
+    rows alone, not on the session's partitions.  All feature copies are scored in ONE
+    transform.  Without any harm the shares are equal."""
     task = model.task_type
     metric = primary_metric_name(task)
-    b = buckets or max(1, int(test.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    b = max(1, -(-test.count() // bucket_rows))
     from pyspark.sql import Window
     base = test.withColumn("_b", F.pmod(F.xxhash64(_q(id_col)), F.lit(b)))
     base = base.withColumn("_i", F.row_number().over(Window.partitionBy("_b").orderBy(_q(id_col))))
@@ -392,13 +392,12 @@ def permutation_importance(model: TabularModel, test: DataFrame, id_col: str, se
         s = scored.withColumn("_a", F.col("label").cast("int"))
         m = classification_metrics(s, "_a", "_pidx", ["_feature"]).select("_feature", F.col(metric).alias("m"))
     rows = {r["_feature"]: r["m"] for r in m.collect()}   # one row per feature
-    basev = rows.pop("__baseline__")
-    lower = metric == "rmse"
-    raw = {f: max((rows[f] - basev) if lower else (basev - rows[f]), 0.0) for f in model.features}
-    total = sum(raw.values())
-    if total == 0:
-        return {f: 1.0 / max(len(model.features), 1) for f in model.features}
-    return {f: round(v / total, 6) for f, v in raw.items()}
+    sign = 1.0 if metric == "rmse" else -1.0
+    harm = {f: sign * (rows[f] - rows["__baseline__"]) for f in model.features}
+    positive = {f: h for f, h in harm.items() if h > 0}
+    if not positive:
+        return dict.fromkeys(model.features, 1.0 / max(len(model.features), 1))
+    return {f: round(positive.get(f, 0.0) / sum(positive.values()), 6) for f in model.features}
 
 
 # ---------------------------------------------------------------------------

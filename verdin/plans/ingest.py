@@ -51,39 +51,48 @@ def _hourly_source(spark: SparkSession, sf: str, kind: str) -> DataFrame:
 _SRC = """SELECT date_trunc('hour', ts) AS timestamp, round(sum(value), 6) AS value,
   CAST(count(DISTINCT user_id) AS DOUBLE) AS users FROM events WHERE event_type = '{k}' GROUP BY 1"""
 
-
-@register("collection_ingest", f"""
-WITH c AS ({_SRC.format(k="click")}), p AS ({_SRC.format(k="purchase")}),
-v AS (SELECT *, 'просмотр' AS "комментарий" FROM ({_SRC.format(k="view")})),
-m1 AS (SELECT coalesce(c.timestamp, p.timestamp) AS timestamp, coalesce(c.value, p.value) AS value,
-              coalesce(c.users, p.users) AS users, p.value AS value__purchase, p.users AS users__purchase
-       FROM c FULL OUTER JOIN p ON c.timestamp = p.timestamp),
-m2 AS (SELECT coalesce(m1.timestamp, v.timestamp) AS timestamp, coalesce(m1.value, v.value) AS value,
-              coalesce(m1.users, v.users) AS users, value__purchase, users__purchase, v."комментарий",
-              v.value AS value__view, v.users AS users__view
-       FROM m1 FULL OUTER JOIN v ON m1.timestamp = v.timestamp)
-SELECT * FROM m2 WHERE value IS NOT NULL
-""")
+# column order of each source; all but the last share encoding and delimiter
+_LAYOUT = {"click": ("ts", "value", "users"), "error": ("users", "ts", "value"), "purchase": ("value", "users", "ts"),
+           "signup": ("ts", "users", "value"), "view": ("ts", "value", "users", "комментарий")}
+
+
+def _merge_sql() -> str:
+    kinds = list(_LAYOUT)
+    steps, extra = [f"{k}_ AS ({_SRC.format(k=k)})" for k in kinds], ""
+    before = f"{kinds[0]}_"
+    for k in kinds[1:]:
+        steps.append(f"""m_{k} AS (SELECT coalesce(a.timestamp, b.timestamp) AS timestamp, coalesce(a.value, b.value) AS value,
+          coalesce(a.users, b.users) AS users{extra}, b.value AS value__{k}, b.users AS users__{k}
+          {", CASE WHEN b.timestamp IS NOT NULL THEN 'просмотр' END AS \"комментарий\"" if k == "view" else ""}
+          FROM {before} a FULL OUTER JOIN {k}_ b ON a.timestamp = b.timestamp)""")
+        extra += f", a.value__{k}, a.users__{k}"
+        before = f"m_{k}"
+    return f"WITH {', '.join(steps)} SELECT * FROM {before} WHERE value IS NOT NULL"
+
+
+@register("collection_ingest", _merge_sql())
 def collection_ingest(spark: SparkSession, sf: str) -> DataFrame:
-    """S9 + S11 + J5: three hourly sources written with different encodings and
-    delimiters (UTF-8 ',', windows-1251 ';', ISO-8859-1 '|'), ingested as one
-    collection and merged on the inferred time axis with target ``value``."""
+    """S9 + S11 + J5: one hourly source per event type, four of them with one encoding and
+    delimiter but headers in different orders, the fifth in windows-1251 with ';' and a
+    text column; ingested as one collection and merged on the inferred time axis with
+    target ``value``."""
     root = _scratch(spark, "collection")
-    _write_csv(_hourly_source(spark, sf, "click"), f"{root}/click", ",", "UTF-8")
-    _write_csv(_hourly_source(spark, sf, "view").withColumn("комментарий", F.lit("просмотр")), f"{root}/view", ";",
-               "windows-1251")
-    _write_csv(_hourly_source(spark, sf, "purchase"), f"{root}/purchase", "|", "ISO-8859-1")
+    for kind, names in _LAYOUT.items():
+        rows = _hourly_source(spark, sf, kind).withColumn("комментарий", F.lit("просмотр")).select(*names)
+        last = kind == "view"
+        _write_csv(rows.coalesce(1), f"{root}/{kind}", ";" if last else ",", "windows-1251" if last else "UTF-8")
     return tabular.ingest(spark, f"{root}/*", target="value")
 
 
 @register("snapshot_roundtrip", "SELECT * FROM orders")
 def snapshot_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
-    """Two dataset versions saved under project/version partitions; one is read back
-    with partition pruning and the other deleted."""
+    """Three dataset versions of different schemas saved under project/version folders; one is
+    deleted, one read back while the third, with its own schema, stays."""
     root = _scratch(spark, "snapshots")
     tabular.save_dataset(table(spark, sf, "orders"), root, "orders", "v1")
     tabular.save_dataset(table(spark, sf, "customer"), root, "customers", "v1")
-    tabular.delete_path(spark, tabular.dataset_path(root, "customers"))
+    tabular.save_dataset(table(spark, sf, "nation"), root, "nations", "v1")
+    tabular.delete_path(spark, tabular.dataset_path(root, "nations"))
     return tabular.load_dataset(spark, root, "orders", "v1")
 
 

@@ -47,6 +47,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get(CHECKPOINT_CONF, None)
     if not configured:
+        if not sc.master.startswith("local"):
+            raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder that all machines share")
         configured = tempfile.mkdtemp(prefix="verdin-ckpt-", dir="/tmp")
         spark.conf.set(CHECKPOINT_CONF, configured)
     sc.setCheckpointDir(configured)
@@ -62,8 +64,8 @@ def scratch_table_path(spark: SparkSession, name: str) -> str:
 def spread_if_narrow(df):
     """Repartition only when the plan has fewer partitions than the cluster has cores
     (e.g. one large file with a single row group).  A scan of many files/row groups is
-    left untouched, so this adds no shuffle to already-parallel inputs.  Planning the
-    partition count does not execute the query."""
+    left untouched, so this adds no shuffle to already-parallel inputs.  Where the plan holds a
+    shuffle, adaptive execution runs it to know the partition count."""
     spark = df.sparkSession
     want = spark.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() < want:

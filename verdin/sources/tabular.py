@@ -1,122 +1,102 @@
 """Tabular sources and sinks.
 
-Bulk CSV ingestion: files are listed with the ``binaryFile`` source (only ``path``
-and ``length`` are selected, so contents are not read), each file's first 8 KiB is
-probed for encoding and delimiter inside ``mapInPandas`` (the per-file work is
-distributed), and files are then read by ONE ``spark.read.csv`` per
-(encoding, delimiter) group and combined with ``unionByName``.
+Bulk CSV ingestion: the ``binaryFile`` source hands each file to a task, which decides its
+encoding from the whole file, sniffs the delimiter and notes the header line; files are then read
+by ONE ``spark.read.csv`` per (encoding, delimiter, header) group and combined with
+``unionByName``.
 """
 
 from __future__ import annotations
 
+import codecs
 import csv
 import json
-import re
 from collections.abc import Sequence
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Encodings and delimiters tried in order, and the probe size.
+# Encodings and delimiters tried in order, and the sniffed size.
 CSV_ENCODINGS = ("utf-8-sig", "utf-8", "cp1251", "latin-1")
 CSV_DELIMITERS = (None, ";", ",", "\t", "|")
-PROBE_BYTES = 8192
+SNIFF_BYTES = 8192   # fixed: the delimiter is sniffed from this much of a file
 SPARK_ENCODING = {"utf-8-sig": "UTF-8", "utf-8": "UTF-8", "cp1251": "windows-1251", "latin-1": "ISO-8859-1"}
 
-PROBE_SCHEMA = "path string, encoding string, sep string"
+PROBE_SCHEMA = "path string, encoding string, sep string, header string, multiline boolean"
 
 
-def _local(path: str) -> str:
-    return re.sub(r"^file:(//)?", "", path)
+def _decodes(content: bytes, encoding: str) -> bool:
+    decoder = codecs.getincrementaldecoder(encoding)()
+    try:
+        for k in range(0, len(content), 1 << 20):
+            decoder.decode(content[k:k + (1 << 20)])
+        decoder.decode(b"", final=True)
+    except UnicodeDecodeError:
+        return False
+    return True
 
 
-def probe_bytes(head: bytes) -> tuple[str, str]:
-    """Encoding = first of the fixed list that decodes the head (a split trailing
-    multi-byte character is tolerated); delimiter = sniffed from the head, else
-    sniffed from the header line, else ';' (the first explicit candidate)."""
-    sample = head.decode("utf-8", errors="ignore")
-    sep = None
-    try:
-        sep = csv.Sniffer().sniff(sample, delimiters=";,|\t").delimiter
-    except csv.Error:
-        first = sample.splitlines()[0] if sample else ""
+def _sniffed(sample: str) -> str:
+    """The delimiter of the sample, else of its first line, else the first candidate."""
+    for text in (sample, sample.split("\n", 1)[0]):
         try:
-            sep = csv.Sniffer().sniff(first, delimiters=";,|\t").delimiter
+            return csv.Sniffer().sniff(text, delimiters=";,|\t").delimiter
         except csv.Error:
-            sep = None
-    encoding = CSV_ENCODINGS[-1]
-    for enc in CSV_ENCODINGS:
-        for cut in range(0, 4):
-            try:
-                (head[:len(head) - cut] if cut else head).decode(enc)
-                encoding = enc
-                break
-            except UnicodeDecodeError:
-                continue
-        else:
             continue
-        break
-    if sep is None:
-        sep = next(d for d in CSV_DELIMITERS if d is not None)
-    return encoding, sep
+    return next(d for d in CSV_DELIMITERS if d is not None)
 
 
-def _probe_partition(batches):
-    for pdf in batches:
-        rows = []
-        for path in pdf["path"]:
-            with open(_local(path), "rb") as fh:
-                head = fh.read(PROBE_BYTES)
-            enc, sep = probe_bytes(head)
-            rows.append((path, enc, sep))
-        yield pd.DataFrame(rows, columns=["path", "encoding", "sep"])
+def probe_bytes(content: bytes) -> tuple[str, str, str, bool]:
+    """(encoding, delimiter, header line, does a quoted field hold a line break) of a whole file:
+    the encoding is the first of the fixed list that decodes all of it."""
+    encoding = next((e for e in CSV_ENCODINGS if _decodes(content, e)), CSV_ENCODINGS[-1])
+    sep = _sniffed(content[:SNIFF_BYTES].decode("utf-8", errors="ignore"))
+    header = content.split(b"\n", 1)[0].decode(encoding, errors="replace").lstrip("\ufeff").rstrip("\r")
+    multiline = b'"' in content and any(line.count(b'"') % 2 for line in content.split(b"\n"))
+    return encoding, sep, header, multiline
 
 
-def _probe_heads(batches):
-    for pdf in batches:
-        rows = [(path, *probe_bytes(bytes(head))) for path, head in zip(pdf["path"], pdf["head"])]
-        yield pd.DataFrame(rows, columns=["path", "encoding", "sep"])
+def probe_csv(spark: SparkSession, location: str, glob: str = "*.csv") -> DataFrame:
+    """S1 probe table: one row per file.  Spark's ``binaryFile`` source hands each file to a task, so
+    any file system that Spark reads will do."""
+    def probe(batches):
+        for pdf in batches:
+            rows = [(path, *probe_bytes(bytes(content))) for path, content in zip(pdf["path"], pdf["content"])]
+            yield pd.DataFrame(rows, columns=["path", "encoding", "sep", "header", "multiline"])
 
+    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(location)
+    return files.select("path", "content").mapInPandas(probe, schema=PROBE_SCHEMA)
 
-def probe_csv(spark: SparkSession, location: str, glob: str = "*.csv", local: bool | None = None) -> DataFrame:
-    """S1 probe table: one row per file with its encoding and delimiter.
 
-    Local/shared POSIX paths: only file paths flow through Spark and each task reads
-    8 KiB per file.  Any other Hadoop filesystem (object stores): the head is cut from
-    the ``binaryFile`` content column (the file is read by the source, then trimmed)."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(location)
-    if local is None:
-        local = "://" not in location or location.startswith("file:")
-    if local:
-        return files.select("path").mapInPandas(_probe_partition, schema=PROBE_SCHEMA)
-    heads = files.select("path", F.substring("content", 1, PROBE_BYTES).alias("head"))
-    return heads.mapInPandas(_probe_heads, schema=PROBE_SCHEMA)
+def _source_name() -> Column:
+    """The file's name; for a part of a folder that Spark wrote, the folder's."""
+    parts = F.split(F.input_file_name(), "/")
+    written = F.element_at(parts, -1).rlike(r"^part-\d{5}-[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}")
+    return F.when(written, F.element_at(parts, -2)).otherwise(F.element_at(parts, -1))
 
 
 def read_csv_collection(spark: SparkSession, location: str, glob: str = "*.csv", infer: bool = True) -> DataFrame:
-    """S1 + S9: read every CSV under ``location`` with its probed encoding/delimiter;
-    ``_source`` holds the file name.  Only the small probe table (one row per file)
-    reaches the driver to plan one scan per group."""
-    groups = probe_csv(spark, location, glob).groupBy("encoding", "sep").agg(
-        F.sort_array(F.collect_list("path")).alias("paths")).collect()
-    frames = []
+    """S1 + S9: read every CSV under ``location``; ``_source`` names the file.  Files that share
+    encoding, delimiter and header line are one scan with that header's schema; scans are united by
+    column name.  Quotes inside quoted fields are doubled; files with line breaks inside fields are read
+    whole.  The file list, which Spark holds in the driver anyway, plans the scans."""
+    kinds = ["encoding", "sep", "header", "multiline"]
+    groups = probe_csv(spark, location, glob).groupBy(*kinds).agg(F.sort_array(F.collect_list("path")).alias("paths")).collect()
+    if not groups:
+        raise ValueError(f"no CSV files under {location}")
     if any(SPARK_ENCODING[g["encoding"]] not in ("UTF-8", "ISO-8859-1") for g in groups):
         # Spark 4 accepts only a few charsets for CSV unless Java charsets are allowed
         spark.conf.set("spark.sql.legacy.javaCharsets", "true")
-    for g in sorted(groups, key=lambda r: (r["encoding"], r["sep"])):
-        df = (spark.read.option("header", True).option("sep", g["sep"])
-              .option("encoding", SPARK_ENCODING[g["encoding"]]).option("inferSchema", infer)
-              .option("mode", "PERMISSIVE").csv(list(g["paths"])))
-        parts = F.split(F.input_file_name(), "/")
-        # a Spark-written dataset is a folder of part files: the folder names the source
-        name = F.when(F.element_at(parts, -1).startswith("part-"), F.element_at(parts, -2)) \
-            .otherwise(F.element_at(parts, -1))
-        frames.append(df.withColumn("_source", name))
-    if not frames:
-        raise ValueError(f"no CSV files under {location}")
+    frames = []
+    for g in sorted(groups, key=lambda r: tuple(r[k] for k in kinds)):
+        reader = (spark.read.option("header", True).option("sep", g["sep"]).option("escape", '"')
+                  .option("encoding", SPARK_ENCODING[g["encoding"]]).option("inferSchema", infer).option("mode", "PERMISSIVE"))
+        if g["multiline"]:
+            reader = reader.option("multiLine", True)
+        frames.append(reader.csv(list(g["paths"])).withColumn("_source", _source_name()))
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
@@ -136,7 +116,7 @@ def normalize_frame(df: DataFrame) -> DataFrame:
 def frame_from_records(spark: SparkSession, records: Sequence[dict], schema: str | T.StructType | None = None) -> DataFrame:
     """Inline records to a table; an empty list is an error."""
     if not records:
-        raise ValueError("At least one record is required.")
+        raise ValueError("no records given")
     return spark.createDataFrame(list(records), schema=schema) if schema else spark.createDataFrame(
         pd.DataFrame.from_records(list(records)))
 
@@ -192,10 +172,8 @@ def save_dataset(df: DataFrame, root: str, project_id: str, version_id: str) ->
 
 
 def load_dataset(spark: SparkSession, root: str, project_id: str, version_id: str) -> DataFrame:
-    """S5 read: partition-pruned scan of the snapshot table."""
-    all_ds = spark.read.option("basePath", dataset_path(root)).parquet(dataset_path(root))
-    return all_ds.filter((F.col("project_id") == project_id) & (F.col("version_id") == version_id)) \
-        .drop("project_id", "version_id")
+    """S5 read: the version's own folder, so that each version keeps its own schema."""
+    return spark.read.parquet(dataset_path(root, project_id, version_id))
 
 
 def delete_path(spark: SparkSession, path: str) -> bool:

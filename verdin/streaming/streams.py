@@ -49,6 +49,8 @@ def stage_ordered_files(df: DataFrame, path: str, order: str, slices: int = 4) -
             cond = cond & (key > F.lit(lo))
         if hi is not None:
             cond = cond & (key <= F.lit(hi))
+        # rows without an order key come with the first slice
+        cond = (cond | key.isNull()) if i == 0 else (cond & key.isNotNull())
         # one file per slice: a slice is replayed as one micro-batch, so the watermark only
         # advances between time-ordered slices and no staged row is late
         df.filter(cond).coalesce(1).write.mode("overwrite").parquet(f"{path}/slice={i:04d}")
