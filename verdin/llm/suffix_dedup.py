@@ -165,11 +165,12 @@ def removals(docs: DataFrame, length: int = 400, hot: int = 2000, block_starts:
                                               pa.array(gram.view(np.int64)), pa.array(content.view(np.int64))], names=names)
 
     runs = stored(base.mapInArrow(cut, "doc_id long, h long, a long, n int, shift int, gram long, content long"), "runs")
-    often = runs.groupBy("gram").agg(F.count("*").alias("m")).where("m > 1").select("gram")
+    # tables of their own, so that a join reads two plain shuffles and a hot gram can be split
+    often = stored(runs.groupBy("gram").agg(F.count("*").alias("m")).where("m > 1").select("gram"), "grams")
     runs = stored(runs.join(often, "gram"), "shared-runs")
     content = ["gram", "content", "n", "shift"]
     contents = stored(runs.groupBy(*content).agg(F.count("*").alias("m"), F.min(F.struct("doc_id", "h", "a")).alias("at")), "contents")
-    several = contents.groupBy("gram").agg(F.count("*").alias("k")).where("k > 1")
+    several = stored(contents.groupBy("gram").agg(F.count("*").alias("k")).where("k > 1"), "several")
     wanted = (contents.join(several, "gram").groupBy(F.col("at.doc_id").alias("w_id"), F.col("at.h").alias("w_h"))
               .agg(F.collect_list(F.struct("at.a", *content, "k")).alias("wanted")))
     piece = "gram long, cell long, content long, n int, shift int, at int, count int, bytes binary"
