@@ -8,6 +8,8 @@ and a one-character apostrophe takes a contraction out of the letters after it.
 
 from __future__ import annotations
 
+from itertools import repeat
+
 import numpy as np
 import pyarrow as pa
 import regex
@@ -129,15 +131,16 @@ class Encoded:
             self.clear()
         coded = tokens.dictionary_encode()
         words = coded.dictionary.to_pylist()
-        new = [w for w in words if w not in self.index]
-        if new:
-            for w in new:
-                self.index[w] = len(self.index)
+        known = np.fromiter(map(self.index.get, words, repeat(-1)), np.int64, len(words))
+        at = np.flatnonzero(known < 0)
+        if len(at):
+            new = [words[i] for i in at]
+            known[at] = np.arange(len(self.index), len(self.index) + len(new))
+            self.index.update(zip(new, known[at].tolist(), strict=True))
             flat, sizes = self.encode(new)
-            at = len(self.flat) + np.cumsum(sizes) - sizes
+            first = len(self.flat) + np.cumsum(sizes) - sizes
             self.flat = np.concatenate([self.flat, flat])
-            self.starts, self.sizes = np.concatenate([self.starts, at]), np.concatenate([self.sizes, sizes])
-        known = np.fromiter((self.index[w] for w in words), np.int64, len(words))
+            self.starts, self.sizes = np.concatenate([self.starts, first]), np.concatenate([self.sizes, sizes])
         return known[np.asarray(coded.indices)] if len(words) else np.zeros(0, np.int64)
 
     def ids(self, numbers: np.ndarray) -> np.ndarray:

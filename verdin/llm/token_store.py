@@ -18,6 +18,7 @@ from __future__ import annotations
 import struct
 import uuid
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -152,7 +153,7 @@ def _encoder(path: str):
     def encode(words: list[bytes]):
         got = [e.ids for e in tok.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
         sizes = np.fromiter(map(len, got), np.int64, len(got))
-        return np.fromiter((i for x in got for i in x), np.uint32, int(sizes.sum())), sizes
+        return np.fromiter(chain.from_iterable(got), np.uint32, int(sizes.sum())), sizes
 
     return encode
 
