@@ -130,7 +130,7 @@ class Encoded:
         if len(self.index) > self.most:
             self.clear()
         coded = tokens.dictionary_encode()
-        words = coded.dictionary.to_pylist()
+        words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         known = np.fromiter(map(self.index.get, words, repeat(-1)), np.int64, len(words))
         at = np.flatnonzero(known < 0)
         if len(at):
