@@ -33,6 +33,7 @@ from verdin.session import ensure_checkpoint_dir
 MAGIC, SAMPLE = b"EFTK", 256
 SEGMENT = "part int, segment int, n_docs long, n_ids long, payload binary"
 _TOKENIZERS: dict = {}
+_TABLES: dict = {}
 
 
 def pack(values: np.ndarray, width: int) -> bytes:
@@ -158,6 +159,14 @@ def _encoder(path: str):
     return encode
 
 
+def _table(path: str) -> Encoded:
+    """This worker's ids of distinct tokens, which the tasks it runs one after another share."""
+    if path not in _TABLES:
+        _TABLES.clear()
+        _TABLES[path] = Encoded(_encoder(path))
+    return _TABLES[path]
+
+
 def write_store(docs: DataFrame, tokenizer: str, end_id: int, path: str, key: str = "doc_id", text: str = "text",
                 ids_a_segment: int = 500_000, partitions: int | None = None) -> None:
     """Encode the texts and write the segments in ascending order of the integer key.
@@ -179,7 +188,7 @@ def write_store(docs: DataFrame, tokenizer: str, end_id: int, path: str, key: st
 
     def run(batches):
         part = TaskContext.get().partitionId()
-        table, tok = Encoded(_encoder(tokenizer)), _tokenizer(tokenizer)
+        table, tok = _table(tokenizer), _tokenizer(tokenizer)
         keys, ids, held, first, number = [], [], 0, 0, 0
 
         def close():
