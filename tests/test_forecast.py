@@ -19,3 +19,19 @@ def test_recursive_forecast_hourly_series(spark, hourly_consumption):
     assert forecast.recent_history(s, ["series_id"]).count() == 120
     default = forecast.recursive_forecast(b, steps=2).collect()
     assert all(r["horizon_minutes"] == 30 for r in default)   # min(30, cadence 60)
+
+
+def test_every_eligible_series_is_forecast(spark):
+    """Short series use the lags they allow; the forecast set is the gate's eligible set."""
+    sizes = {"a": 200, "b": 40, "c": 22, "d": 13, "e": 8, None: 34}
+    rows = [(k, i, float((7 * i + 3 * n) % 11)) for k, n in sizes.items() for i in range(n)]
+    s = spark.createDataFrame(rows, "series_id string, i int, v double").select(
+        "series_id", F.timestamp_add("HOUR", F.col("i"), F.lit("2024-01-01").cast("timestamp_ntz")).alias("ts"), F.col("v").alias("y"))
+    eligible = {r["series_id"] for r in forecast.series_gate(s, ["series_id"]).filter("eligible").collect()}
+    assert {"a", "b", "c", None} <= eligible and "e" not in eligible
+    b = forecast.train_forecaster(s, ["series_id"], num_trees=3)
+    assert [r.required for r in b.regimes] == sorted({r.required for r in b.regimes}, reverse=True) and len(b.regimes) > 1
+    assert b.training_rows == sum(sizes[k] - max(x for x in (1, 2, 3, 6, 12, 24, 48) if x < sizes[k]) for k in eligible)
+    points = forecast.recursive_forecast(b, steps=2).collect()
+    assert sorted((p["series_id"] or "", p["step"]) for p in points) == sorted((k or "", n) for k in eligible for n in (1, 2))
+    assert all(p["prediction"] is not None for p in points)

@@ -1,7 +1,7 @@
 """Autoregressive forecasting for many series at once.
 
-One global forest is trained on the feature rows of every eligible series (series
-id is a partition key, not a feature).  The recursive forecast keeps, per series,
+Every eligible series is forecast.  Series of the same required history (W5) use the same
+lags and share a forest (series id is a partition key, not a feature).  The recursive forecast keeps, per series,
 the last ``max(required, 240)`` values as an array column; each step builds the
 feature row from that array with array functions, scores *all series in one
 transform*, appends the prediction and cuts lineage with a reliable
@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
@@ -24,7 +25,7 @@ from verdin.functions.timefuncs import CALENDAR_COLUMNS, calendar_features
 from verdin.operators.metrics import regression_metrics
 from verdin.operators.ml import balanced_checkpoint
 from verdin.operators.series import (HISTORY_TAIL_ROWS, LAG_CANDIDATES, ROLLING_CANDIDATES, autoregressive_features,
-                                     chrono_split, required_history, series_gate, series_tail)
+                                     chrono_split, series_gate, series_tail)
 from verdin.operators.temporal import cadence_minutes
 
 FORECAST_TREES = 400   # fixed value: trees in the forecasting forest
@@ -40,24 +41,38 @@ def feature_columns(lags: Sequence[int] = LAG_CANDIDATES, widths: Sequence[int]
 
 
 @dataclass
-class ForecastBundle:
+class Regime:
+    """What the series with the same usable lags share: their forest and their history state."""
     model: PipelineModel
-    keys: list[str]
     features: list[str]
     lags: list[int]
     widths: list[int]
     required: int
     history_window: int
     state: DataFrame            # keys, history array<double>, last_ts, cadence_minutes
+
+
+@dataclass
+class ForecastBundle:
+    keys: list[str]
+    regimes: list[Regime]       # one for each required history met, at most one a lag candidate
     metrics: dict
     historical_fit: DataFrame
     training_rows: int
     extra: dict = field(default_factory=dict)
 
+    @property
+    def state(self) -> DataFrame:
+        return _union([r.state for r in self.regimes])
+
+
+def _union(frames: Sequence[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, frames)
 
-def _forest(num_trees: int, seed: int, max_depth: int) -> Pipeline:
+
+def _forest(num_trees: int, seed: int, max_depth: int, features: Sequence[str]) -> Pipeline:
     return Pipeline(stages=[
-        VectorAssembler(inputCols=feature_columns(), outputCol="features", handleInvalid="keep"),
+        VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="keep"),
         RandomForestRegressor(labelCol="y", featuresCol="features", numTrees=num_trees, seed=seed,
                               maxDepth=max_depth, featureSubsetStrategy="all", maxMemoryInMB=1024,
                               cacheNodeIds=True, checkpointInterval=10)])
@@ -65,36 +80,49 @@ def _forest(num_trees: int, seed: int, max_depth: int) -> Pipeline:
 
 def train_forecaster(series: DataFrame, keys: Sequence[str], ts: str = "ts", y: str = "y",
                      num_trees: int = FORECAST_TREES, seed: int = 42, max_depth: int = 5) -> ForecastBundle:
-    """Eligibility (W5, full-lag regime), supervised rows (W4 + X3), chronological
-    80/20 evaluation (W7) with k = features + 1, refit on all rows, in-sample fit,
-    history state (W8) and cadence (W6)."""
+    """Eligibility (W5), supervised rows (W4 + X3), chronological 80/20 evaluation (W7) with
+    k = features + 1, refit on all rows, in-sample fit, history state (W8) and cadence (W6).
+
+    Every eligible series is trained, with the lags and widths that its length allows: series of
+    the same required history share a forest.  Raises ValueError when no series is eligible."""
     keys = list(keys)
-    lags, widths = list(LAG_CANDIDATES), list(ROLLING_CANDIDATES)
-    need = required_history(lags, widths)
-    gate = series_gate(series, keys).filter(F.col("eligible") & (F.col("required_history") == need)).select(*keys)
-    s = series.join(gate, keys, "left_semi").select(*keys, ts, y)
-    rows = autoregressive_features(s, keys, ts, y, lags, widths)
-    rows = rows.select(*keys, ts, y, *[c.alias(n) for c, n in zip(calendar_features(F.col(ts)), CALENDAR_COLUMNS)],
-                       *[c for c in rows.columns if c.startswith("target_")])
-    rows = balanced_checkpoint(rows, *keys, ts)
-    split = chrono_split(rows, keys, [ts])
-    train, test = split.filter(F.col("split") == "train"), split.filter(F.col("split") == "test")
-    eval_model = _forest(num_trees, seed, max_depth).fit(train)
-    scored = eval_model.transform(test)
-    k = len(feature_columns()) + 1
-    m = regression_metrics(scored, y, "prediction", k=k).first().asDict()
+    gate = series_gate(series, keys).filter("eligible").select(*keys, "required_history").checkpoint(eager=True)
+    needs = [r[0] for r in gate.select("required_history").distinct().orderBy(F.desc("required_history")).collect()]
+    if not needs:
+        raise ValueError("no series is long enough to forecast")
+    regimes, scored, fits, n_rows = [], [], [], 0
+    for need in needs:          # at most one value a lag candidate
+        lags, widths = [k for k in LAG_CANDIDATES if k <= need], [k for k in ROLLING_CANDIDATES if k <= need]
+        features = feature_columns(lags, widths)
+        members = gate.filter(F.col("required_history") == need).select(*[F.col(k).alias(f"_m_{k}") for k in keys])
+        same = [series[k].eqNullSafe(F.col(f"_m_{k}")) for k in keys]   # W5 gates a null key as a series of its own
+        s = series.join(members, same, "left_semi").select(*keys, ts, y)
+        rows = autoregressive_features(s, keys, ts, y, lags, widths)
+        rows = rows.select(*keys, ts, F.col(y).cast("double").alias("y"),
+                           *[c.alias(n) for c, n in zip(calendar_features(F.col(ts)), CALENDAR_COLUMNS)],
+                           *[c for c in rows.columns if c.startswith("target_")])
+        rows = balanced_checkpoint(rows, *keys, ts)
+        split = chrono_split(rows, keys, [ts])
+        train, test = split.filter(F.col("split") == "train"), split.filter(F.col("split") == "test")
+        eval_model = _forest(num_trees, seed, max_depth, features).fit(train)
+        scored.append(eval_model.transform(test).select("y", "prediction"))
+        model = _forest(num_trees, seed, max_depth, features).fit(rows)
+        fits.append(model.transform(rows).select(*keys, ts, F.col("y").alias("target"),
+                                                 F.bround("prediction", 6).alias("prediction")))
+        window = max(need, HISTORY_TAIL_ROWS)
+        tail = series_tail(s, keys, [ts], window)
+        state = (tail.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col("_pos"), F.col(y).cast("double").alias("v"))))
+                                         .alias("_h"), F.max(ts).alias("last_ts"))   # ≤ `window` values per series
+                 .select(*keys, F.transform("_h", lambda e: e["v"]).alias("history"), "last_ts"))
+        cad = cadence_minutes(s, keys, ts).select(*[F.col(k).alias(f"_c_{k}") for k in keys], "cadence_minutes")
+        state = state.join(cad, [state[k].eqNullSafe(cad[f"_c_{k}"]) for k in keys], "left") \
+            .drop(*[f"_c_{k}" for k in keys]).checkpoint(eager=True)
+        regimes.append(Regime(model, features, lags, widths, need, window, state))
+        n_rows += rows.count()
+    k = len(regimes[0].features) + 1
+    m = regression_metrics(_union(scored), "y", "prediction", k=k).first().asDict()
     metrics = {n: m[n] for n in ("r", "mse", "rmse", "mae", "r2", "aic", "bic", "aicc") if m[n] is not None}
-    model = _forest(num_trees, seed, max_depth).fit(rows)
-    fit = model.transform(rows).select(*keys, ts, F.col(y).alias("target"), F.bround("prediction", 6).alias("prediction"))
-    window = max(need, HISTORY_TAIL_ROWS)
-    tail = series_tail(s, keys, [ts], window)
-    state = (tail.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col("_pos"), F.col(y).cast("double").alias("v"))))
-                                     .alias("_h"), F.max(ts).alias("last_ts"))   # ≤ `window` values per series
-             .select(*keys, F.transform("_h", lambda e: e["v"]).alias("history"), "last_ts"))
-    cad = cadence_minutes(s, keys, ts).select(*keys, "cadence_minutes")
-    state = state.join(cad, keys, "left").checkpoint(eager=True)
-    n_rows = rows.count()
-    return ForecastBundle(model, keys, feature_columns(), lags, widths, need, window, state, metrics, fit, n_rows)
+    return ForecastBundle(keys, regimes, metrics, _union(fits), n_rows)
 
 
 def _roll(h: Column, w: int) -> tuple[Column, Column, Column, Column]:
@@ -121,7 +149,7 @@ def step_features(state: DataFrame, ts: Column, lags: Sequence[int], widths: Seq
 def recursive_forecast(bundle: ForecastBundle, steps: int = DEFAULT_STEPS,
                        horizon_minutes: int | None = None) -> DataFrame:
     """M15 + M17: ``steps`` predictions per series, each ``horizon_minutes`` after the
-    previous one (default: the series cadence, else 30), fed back into the history.
+    previous one (default: the smaller of 30 and the series cadence), fed back into the history.
     Adds a warning when the horizon differs from the training cadence."""
     if steps < 1:
         raise ValueError("steps must be at least 1")
@@ -131,22 +159,21 @@ def recursive_forecast(bundle: ForecastBundle, steps: int = DEFAULT_STEPS,
     hmin = (F.lit(int(horizon_minutes)) if horizon_minutes is not None
             else F.when(F.col("cadence_minutes") > 0, F.least(F.lit(DEFAULT_HORIZON), F.col("cadence_minutes")))
             .otherwise(F.lit(DEFAULT_HORIZON)))
-    state = bundle.state.withColumn("horizon_minutes", hmin.cast("int"))
-    H = bundle.history_window
     outputs = []
-    for k in range(1, steps + 1):
-        ts_k = F.timestamp_add("MINUTE", F.col("horizon_minutes") * k, F.col("last_ts"))
-        feats = step_features(state, ts_k, bundle.lags, bundle.widths)
-        stepped = bundle.model.transform(feats).select(*state.columns, "ts_step", "prediction").checkpoint(eager=True)
-        outputs.append(stepped.select(*keys, F.lit(k).alias("step"), F.col("ts_step").alias("ts"),
-                                      F.bround("prediction", 6).alias("prediction"), "horizon_minutes",
-                                      "cadence_minutes"))
-        grown = F.concat(F.col("history"), F.array(F.col("prediction")))
-        state = stepped.select(*[c for c in state.columns if c != "history"],
-                               F.slice(grown, F.greatest(F.size(grown) - H + 1, F.lit(1)), H).alias("history"))
-    out = outputs[0]
-    for o in outputs[1:]:
-        out = out.unionByName(o)
+    for regime in bundle.regimes:
+        state = regime.state.withColumn("horizon_minutes", hmin.cast("int"))
+        most = regime.history_window
+        for k in range(1, steps + 1):
+            ts_k = F.timestamp_add("MINUTE", F.col("horizon_minutes") * k, F.col("last_ts"))
+            feats = step_features(state, ts_k, regime.lags, regime.widths)
+            stepped = regime.model.transform(feats).select(*state.columns, "ts_step", "prediction").checkpoint(eager=True)
+            outputs.append(stepped.select(*keys, F.lit(k).alias("step"), F.col("ts_step").alias("ts"),
+                                          F.bround("prediction", 6).alias("prediction"), "horizon_minutes",
+                                          "cadence_minutes"))
+            grown = F.concat(F.col("history"), F.array(F.col("prediction")))
+            state = stepped.select(*[c for c in state.columns if c != "history"],
+                                   F.slice(grown, F.greatest(F.size(grown) - most + 1, F.lit(1)), most).alias("history"))
+    out = _union(outputs)
     warn = F.when((F.col("cadence_minutes") > 0) & (F.col("horizon_minutes") != F.col("cadence_minutes")),
                   F.concat(F.lit("steps of "), F.col("horizon_minutes").cast("string"), F.lit(" min on a series of one value each "),
                            F.col("cadence_minutes").cast("string"), F.lit(" min")))
