@@ -2,10 +2,11 @@ import random
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from verdin.operators.profile import exact_quantiles
-from verdin.operators.series import (autoregressive_features, prefix_sums, sequenced)
+from verdin.operators.series import autoregressive_features, prefix_sums, sequenced, with_chunks
 
 
 def _random_series(seed):
@@ -61,3 +62,36 @@ def test_feature_rows_start_after_required_history(spark, hourly_consumption):
     assert abs(first["target_lag_48"] - ys[0]) < 1e-12
     assert abs(first["target_roll_std_3"] - np.std(ys[45:48])) < 1e-9
     assert abs(first["target_diff_1"] - (ys[47] - ys[46])) < 1e-12
+
+
+def _check_chunks(df, keys, order, chunk_rows, most):
+    """Chunks follow the order, and none is larger than ``most``; ordinals equal those of one window."""
+    got = with_chunks(df, keys, order, chunk_rows)
+    assert max(r["count"] for r in got.groupBy(*keys, "_chunk").count().collect()) <= most
+    whole = Window.partitionBy(*keys).orderBy(*order)
+    back = got.withColumn("p", F.lag("_chunk").over(whole)).where("p > _chunk")
+    assert back.count() == 0
+    pos = sequenced(df, keys, order, chunk_rows=chunk_rows).withColumn("rn", F.row_number().over(whole))
+    assert pos.where("_pos <> rn").count() == 0
+
+
+def test_no_chunk_is_large_with_outliers_ties_nulls_and_text(spark):
+    rng = random.Random(5)
+    base = spark.range(10_000).withColumn("k", F.lit("a"))
+    outlier = base.union(spark.createDataFrame([(10 ** 15, "a")], "id long, k string"))
+    _check_chunks(outlier, ["k"], ["id"], 100, 300)
+    _check_chunks(base.withColumn("v", F.exp(F.col("id") / 50.0)), ["k"], ["v"], 100, 300)
+    ties = base.withColumn("v", F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") % 500).cast("int"))
+    _check_chunks(ties, ["k"], ["v", "id"], 100, 400)
+    nulls = base.withColumn("v", F.when(F.col("id") % 2 == 0, F.col("id")))
+    _check_chunks(nulls, ["k"], ["v", "id"], 100, 400)
+    texts = ["".join(rng.choice("abcdeйж") for _ in range(rng.randint(0, 9))) + f"-{i}" for i in range(3000)]
+    _check_chunks(spark.createDataFrame([("a", t) for t in texts], "k string, t string"), ["k"], ["t"], 100, 600)
+
+
+def test_chunks_follow_the_order_of_extreme_numbers(spark):
+    values = [float("-inf"), -1e308, -1.5, -0.0, 0.5, 1e300, 1e308, float("inf"), float("nan")]
+    rows = [("a", v, i) for v in values for i in range(30)] + [("a", None, i) for i in range(30)] + [("a", 2.0, None)]
+    _check_chunks(spark.createDataFrame(rows, "k string, v double, i int"), ["k"], ["v", "i"], 7, 90)
+    big = [("a", 2 ** 53 + j, j) for j in range(200)]
+    _check_chunks(spark.createDataFrame(big, "k string, v long, i int"), ["k"], ["v", "i"], 7, 60)

@@ -2,14 +2,15 @@
 
 Why not ``Window.partitionBy(series)``: one series may hold a third of all rows,
 and an unpartitioned window collapses onto one task.  :func:`sequenced` instead
-range-partitions by ``(keys, order)`` so a hot series is cut into many chunks,
+cuts a hot series between quantiles of its order into many chunks of like size,
 numbers rows inside each chunk, turns per-chunk counts into global ordinals, and
 hands every chunk a *halo* with the ``halo`` rows that precede it.  Lag and
 rolling windows of reach ≤ ``halo`` then run per chunk, exactly as if the whole
 series were one window, and halo rows are dropped afterwards.
 
-Shuffles: one range exchange, one hash exchange on ``(keys, chunk)``, a tiny
-aggregate over ``(keys, chunk)`` counts and one exchange after the halo union.
+Shuffles: partial counts per series, quantiles of the series over ``chunk_rows`` rows, one
+hash exchange on ``(keys, chunk)``, a tiny aggregate over ``(keys, chunk)`` counts and
+one exchange after the halo union.
 Nothing is broadcast by hint; AQE may broadcast the count table at run time.
 """
 
@@ -29,39 +30,102 @@ _HELPERS = ("_chunk", "_lrn", "_lcnt", "_offset", "_crank", "_halo")
 DEFAULT_CHUNK_ROWS = 1_000_000
 
 
+#: Quantiles that bound the slices of a hot series, and the rank error allowed to them (1 in ACCURACY).
+SLICES, ACCURACY = 1024, 10_000
+_EXACT = ("byte", "short", "integer", "long", "float", "double", "boolean", "date", "timestamp", "timestamp_ntz")
+
+
 def _order_number(c: str, dtype) -> Column:
+    """A double that never decreases along the order of ``c``.  Text: its first six bytes; types
+    without a number: one constant, so that they stay in one chunk."""
     name = dtype.typeName()
     if name in ("timestamp", "timestamp_ntz", "date"):
         return F.timestamp_diff("MICROSECOND", F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'"),
                                 F.col(c).cast("timestamp_ntz")).cast("double")
-    return F.col(c).cast("double")
+    if name in ("string", "varchar", "char", "binary"):
+        head = F.rpad(F.hex(F.substring(F.col(c).cast("binary"), 1, 6)), 12, "0")
+        return F.conv(head, 16, 10).cast("double")
+    if name in _EXACT or name == "decimal":
+        return F.col(c).cast("double")
+    return F.when(F.col(c).isNotNull(), F.lit(0.0))
+
+
+def _bounds_passed(bounds: Column, v: Column, ties: bool) -> Column:
+    """How many of the sorted ``bounds`` are below ``v`` (with ``ties``: or equal to it), by bisection."""
+    steps = F.array(*[F.lit(SLICES >> k) for k in range(1, SLICES.bit_length())])
+
+    def step(i, width):
+        bound = F.get(bounds, i + width - 1)
+        return i + F.when(bound <= v if ties else bound < v, width).otherwise(0)
+
+    return F.aggregate(steps, F.lit(0), step)
+
+
+def _place(bounds: Column, low: Column, high: Column, v: Column, cell: Column) -> Column:
+    """Place of ``v`` on the scale 0 to SLICES: its cell, and how far it is inside it."""
+    lo = F.when(cell == 0, low).otherwise(F.get(bounds, cell - 1))
+    hi = F.when(cell == SLICES - 1, high).otherwise(F.get(bounds, cell))
+    inside = (F.when(F.isnan(v), F.lit(1.0))
+              .when(hi > lo, F.nanvl((v - lo) / (hi - lo), F.lit(0.0))).otherwise(F.lit(0.0)))
+    return cell + F.least(F.greatest(inside, F.lit(0.0)), F.lit(1.0))
 
 
 def chunk_rows_setting(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("verdin.series.chunkRows", str(DEFAULT_CHUNK_ROWS)))
 
 
-def with_chunks(df: DataFrame, keys: list[str], first_order: str, chunk_rows: int | None = None) -> DataFrame:
-    """Deterministic chunk id: each series' order range is cut into ceil(n / chunk_rows)
-    equal-width slices.  A pure function of the row and one small per-series
-    aggregate, so every branch of a plan (and every retry) sees the same chunks."""
+def with_chunks(df: DataFrame, keys: list[str], order: Sequence[str], chunk_rows: int | None = None) -> DataFrame:
+    """Chunk id that never decreases along ``order`` inside a series: a series of n rows is cut into
+    about ceil(n / chunk_rows) slices of like size.
+
+    Slices lie between quantiles of the first order column, so outliers and skew do not fill one
+    slice.  Rows that tie on it, and rows where it is null, are cut by the quantiles of the second order
+    column.  Text is cut by its first six bytes, and texts alike in those stay together; so do ties
+    of decimals and of numbers beyond 2^53.  Series within ``chunk_rows`` stay in chunk 0 and are never
+    sorted for it.  The id depends on the row and on aggregates of its series, so every branch of a
+    plan sees the same chunks."""
     rows = chunk_rows or chunk_rows_setting(df)
-    v = _order_number(first_order, df.schema[first_order].dataType)
-    base = df.withColumn("_ov", v)
+    order = list(order)
+    names = [f"_ov{i}" for i in range(min(2, len(order)))]
+    types = [df.schema[c].dataType for c in order[:2]]
     grp = keys or ["_all"]
+    base = df.withColumns({n: _order_number(c, t) for n, c, t in zip(names, order, types, strict=False)})
     if not keys:
         base = base.withColumn("_all", F.lit(1))
-    stats = base.groupBy(*grp).agg(F.count(F.lit(1)).alias("_sn"), F.min("_ov").alias("_smin"),
-                                   F.max("_ov").alias("_smax"))
-    stats = stats.withColumn("_nch", F.greatest(F.lit(1), F.ceil(F.col("_sn") / F.lit(rows))))
-    side = stats.select(*[F.col(k).alias(f"_g_{k}") for k in grp], "_smin", "_smax", "_nch")
-    cond = [base[k].eqNullSafe(side[f"_g_{k}"]) for k in grp]
-    joined = base.join(F.broadcast(side) if not keys else side, cond).drop(*[f"_g_{k}" for k in grp])
-    span = F.col("_smax") - F.col("_smin")
-    frac = F.when(span > 0, (F.col("_ov") - F.col("_smin")) / span).otherwise(F.lit(0.0))
-    chunk = F.least(F.floor(frac * F.col("_nch")), F.col("_nch") - 1)
-    out = joined.withColumn("_chunk", F.coalesce(chunk, F.lit(-1)).cast("long")).drop("_ov", "_smin", "_smax", "_nch")
-    return out if keys else out.drop("_all")
+
+    sizes = base.groupBy(*grp).agg(F.count(F.lit(1)).alias("_sn")).where(F.col("_sn") > rows)
+    hot = sizes.select(*[F.col(k).alias(f"_h_{k}") for k in grp], "_sn")
+    of_hot = base.join(hot, [base[k].eqNullSafe(hot[f"_h_{k}"]) for k in grp]).drop(*[f"_h_{k}" for k in grp])
+    cuts = [i / SLICES for i in range(1, SLICES)]
+    stats = of_hot.groupBy(*grp).agg(
+        F.max("_sn").alias("_sn"), F.count_if(F.col(names[0]).isNull()).alias("_snull"),
+        *[x for n in names for x in (F.percentile_approx(n, cuts, ACCURACY).alias(f"_b{n}"), F.min(n).alias(f"_lo{n}"),
+                                     F.max(n).alias(f"_hi{n}"))])
+    helpers = [c for c in stats.columns if c not in grp]
+    side = stats.select(*[F.col(k).alias(f"_g_{k}") for k in grp], *helpers)
+    joined = base.join(side, [base[k].eqNullSafe(side[f"_g_{k}"]) for k in grp], "left").drop(*[f"_g_{k}" for k in grp])
+
+    def measured(n):
+        return F.col(f"_b{n}"), F.col(f"_lo{n}"), F.col(f"_hi{n}"), F.col(n)
+
+    b, lo, hi, v = measured(names[0])
+    cell = _bounds_passed(b, v, ties=True)
+    place = _place(b, lo, hi, v, cell)
+    void = F.lit(-1)
+    if len(names) == 2:
+        b2, lo2, hi2, v2 = measured(names[1])
+        # 0 to 1 along the second order column; nulls, which sort first, are at 0
+        along = F.coalesce(_place(b2, lo2, hi2, v2, _bounds_passed(b2, v2, ties=True)) / SLICES, F.lit(0.0))
+        if types[0].typeName() in _EXACT:
+            below = _bounds_passed(b, v, ties=False)
+            place = F.when((cell - below >= 2) & (F.abs(v) < 2.0 ** 53),
+                           below + 1 + (cell - below - 1) * along).otherwise(place)
+        slices = F.ceil(F.col("_snull") / F.lit(rows))
+        void = F.least(F.floor(along * slices) - slices, F.lit(-1))
+    number = F.ceil(F.col("_sn") / F.lit(rows))
+    chunk = F.when(v.isNull(), void).otherwise(F.least(F.floor(place * number / SLICES), number - 1))
+    out = joined.withColumn("_chunk", F.when(F.col("_sn").isNull(), F.lit(0)).otherwise(chunk).cast("long"))
+    return out.drop(*names, *helpers, *([] if keys else ["_all"]))
 
 
 def sequenced(df: DataFrame, keys: Sequence[str], order: Sequence[str], halo: int = 0,
@@ -73,7 +137,7 @@ def sequenced(df: DataFrame, keys: Sequence[str], order: Sequence[str], halo: in
 
     ``order`` must be unique inside each series (deduplicate with J4 first)."""
     keys, order = list(keys), list(order)
-    ranged = with_chunks(df, keys, order[0], chunk_rows)
+    ranged = with_chunks(df, keys, order, chunk_rows)
     part = keys + ["_chunk"]
     w_local = Window.partitionBy(*part).orderBy(*order)
     local = (ranged.withColumn("_lrn", F.row_number().over(w_local))
@@ -227,7 +291,7 @@ def prefix_sums(df: DataFrame, keys: Sequence[str], order: Sequence[str], cols:
     chunk its starting offset, a window inside the chunk adds the local running sum.
     ``order`` must be unique inside each series."""
     keys, order = list(keys), list(order)
-    ranged = with_chunks(df, keys, order[0], chunk_rows)
+    ranged = with_chunks(df, keys, order, chunk_rows)
     part = keys + ["_chunk"]
     totals = ranged.groupBy(*part).agg(*[F.sum(c).alias(f"_t_{c}") for c in cols])
     w_chunks = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
