@@ -49,9 +49,7 @@ SELECT w, t FROM s WHERE NOT live ORDER BY w, p
 """
 
 DECODE = """
-SELECT x.d, string_agg(v.h, '' ORDER BY x.n) AS h
-FROM (SELECT d, unnest(ids) AS id, generate_subscripts(ids, 1) AS n FROM blocks) x JOIN vocabulary v ON v.id = x.id
-GROUP BY x.d
+SELECT b.d, string_agg(v.c, '' ORDER BY b.n) AS c FROM blocks b JOIN vocabulary v ON v.id = b.id GROUP BY b.d
 """
 
 _OPEN: dict = {}
@@ -70,7 +68,7 @@ class DuckBpe:
         self.con = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "450MB"})
         self._table("merges", dict(zip("abr", np.array(rows, np.int32).T.copy(), strict=True)))
         self._table("vocabulary", {"id": np.array(list(self.ranks.values()), np.int32),
-                                   "h": [w.hex() for w in self.ranks]})
+                                   "c": [w.decode("latin-1") for w in self.ranks]})   # a character a byte
 
     def _table(self, name: str, columns: dict) -> None:
         self.con.register("given", pa.table(columns))
@@ -119,13 +117,12 @@ class DuckBpe:
                 n += len(pieces[b][1])
                 b += 1
             flat = np.concatenate([x for _, x in pieces[a:b]]).astype(np.int32)
-            offsets = np.concatenate([[0], np.cumsum([len(x) for _, x in pieces[a:b]])]).astype(np.int32)
-            self.con.register("blocks", pa.table({"d": np.arange(b - a, dtype=np.int32),
-                                                  "ids": pa.ListArray.from_arrays(offsets, flat)}))
+            owner = np.repeat(np.arange(b - a, dtype=np.int32), [len(x) for _, x in pieces[a:b]])
+            self.con.register("blocks", pa.table({"d": owner, "n": np.arange(len(flat), dtype=np.int32), "id": flat}))
             got = dict(self.con.execute(DECODE).fetchall())
             self.con.unregister("blocks")
             for k in range(a, b):
-                out[pieces[k][0]].append(bytes.fromhex(got[k - a]))
+                out[pieces[k][0]].append(got[k - a].encode("latin-1"))
             a = b
         return [b"".join(x) for x in out]
 
