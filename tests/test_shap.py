@@ -41,7 +41,40 @@ def test_kernel_shap_equals_exact_shapley_for_nonlinear_model(spark):
         assert abs(g["base_value"].iloc[0] + got.sum() - g["prediction"].iloc[0]) < 1e-9
 
 
-def test_sampled_coalitions_are_seeded():
+def test_sampled_values_are_near_the_exact_ones_with_eight_features(spark):
+    """2^8 − 2 coalitions, 36 of them evaluated.  Pairs of a coalition and its complement make terms of
+    two features exact on average; the bound is on the mean error relative to the values' spread."""
+    feats = [f"f{j}" for j in range(8)]
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(6, 8)).round(3)
+    df = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x)], "id long, " + ", ".join(f"{f} double" for f in feats))
+
+    def score(frame):
+        return frame.withColumn("score", F.col("f0") * F.col("f1") + 2 * F.col("f2") - F.col("f3") * F.col("f4") * F.col("f5") + F.col("f6") ** 2)
+
+    f = lambda z: z[0] * z[1] + 2 * z[2] - z[3] * z[4] * z[5] + z[6] ** 2
+    out = shap.kernel_shap(df, df.orderBy("id").limit(3), feats, "id", score).toPandas()
+    errors, exact = [], []
+    for rid, g in out.groupby("row_id"):
+        exp = _exact_shapley(f, list(x[rid]), [list(r) for r in x[:3]])
+        got = g.set_index("feature").loc[feats, "shap_value"].to_numpy()
+        assert abs(g["base_value"].iloc[0] + got.sum() - g["prediction"].iloc[0]) < 1e-9
+        assert abs(g["prediction"].iloc[0] - f(x[rid])) < 1e-9
+        errors += list(np.abs(got - exp))
+        exact += list(np.abs(exp))
+    assert np.mean(errors) < 0.15 * np.mean(exact) and max(errors) < 0.5 * max(exact)
+
+
+def test_one_feature_takes_the_whole_difference(spark):
+    df = spark.createDataFrame([(1, 2.0), (2, 5.0)], "id long, a double")
+    out = shap.kernel_shap(df, df.orderBy("id").limit(1), ["a"], "id", lambda g: g.withColumn("score", F.col("a") * 3))
+    assert [(r["row_id"], r["shap_value"]) for r in out.orderBy("row_id").collect()] == [(1, 0.0), (2, 9.0)]
+
+
+def test_coalitions_within_the_budget_carry_the_kernel_mass():
     a = shap.coalitions(12, 40, seed=1)
-    b = shap.coalitions(12, 40, seed=1)
-    assert a == b and len(a) == 40
+    assert a == shap.coalitions(12, 40, seed=1) and 38 <= len(a) <= 40
+    assert len({tuple(m) for m, _ in a}) == len(a)
+    total = sum(11 / (s * (12 - s)) for s in range(1, 12))
+    assert abs(sum(w for _, w in a) - total) < 1e-9
+    assert len(shap.coalitions(5, 30)) == 30

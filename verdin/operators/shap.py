@@ -2,11 +2,14 @@
 
 rows × coalitions × background rows are generated with ``explode`` over two
 literal arrays (coalition masks, ≤ 20 background rows — both bounded by
-construction), scored in ONE model transform, averaged per (row, coalition), and
-each row's constrained weighted least-squares problem (an M×M system over at most
-``nsamples`` coalitions) is solved in ``applyInPandas`` grouped by row id.  All
+construction) and scored in ONE model transform.  All rows share the masks and
+weights, so the constrained weighted least-squares solution is one fixed matrix, computed
+once on the driver (M × at most ``nsamples``): a SHAP value is a weighted sum of
+scores, taken by one grouped aggregate per row in built-in expressions.  All
 coalitions are enumerated when 2^M − 2 ≤ nsamples (exact Shapley values for the
-background distribution); otherwise a seeded sample by the Shapley kernel is used.
+background distribution); otherwise the smallest and largest coalitions are enumerated
+with their kernel weights and the rest of the kernel's mass goes to seeded pairs of a
+coalition and its complement.
 """
 
 from __future__ import annotations
@@ -16,7 +19,6 @@ import math
 from collections.abc import Callable, Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,56 +35,52 @@ def kernel_weight(m: int, s: int) -> float:
 
 
 def coalitions(m: int, nsamples: int, seed: int = 42) -> list[tuple[list[bool], float]]:
-    """Non-trivial coalitions with kernel weights: all of them when they fit in the budget,
-    else a seeded sample (sizes drawn by total kernel mass, members uniformly)."""
+    """Non-trivial coalitions with kernel weights, at most ``nsamples``: sizes s and m − s are
+    enumerated, the heaviest first, while all their coalitions fit; then coalitions of the other
+    sizes are drawn with their complements, by kernel mass, and share that mass by times drawn."""
     if m < 2:
         return []
-    total = 2 ** m - 2
-    if total <= nsamples:
-        out = []
-        for s in range(1, m):
-            for members in itertools.combinations(range(m), s):
-                mask = [j in members for j in range(m)]
-                out.append((mask, kernel_weight(m, s)))
+    out, left = [], nsamples
+    sizes = list(range(1, m // 2 + 1))          # a size stands for its complement too
+    while sizes:
+        s = sizes[0]
+        both = {s, m - s}
+        number = sum(math.comb(m, x) for x in both)
+        if number > left:
+            break
+        out += [([j in members for j in range(m)], kernel_weight(m, x))
+                for x in sorted(both) for members in itertools.combinations(range(m), x)]
+        left -= number
+        sizes.pop(0)
+    if not sizes or left < 2:
         return out
+    mass = np.array([len({s, m - s}) * (m - 1) / (s * (m - s)) for s in sizes])
     rng = np.random.default_rng(seed)
-    sizes = np.arange(1, m)
-    mass = np.array([(m - 1) / (s * (m - s)) for s in sizes])
-    mass /= mass.sum()
-    seen, out = set(), []
-    while len(out) < nsamples:
-        s = int(rng.choice(sizes, p=mass))
-        members = tuple(sorted(rng.choice(m, size=s, replace=False).tolist()))
-        if members in seen:
-            continue
-        seen.add(members)
-        out.append(([j in members for j in range(m)], 1.0))
-    return out
-
-
-def _solve(features: Sequence[str]):
-    m = len(features)
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        fx = float(pdf["fx"].iloc[0])
-        base = float(pdf["base"].iloc[0])
-        z = np.vstack(pdf["mask"].to_numpy()).astype(float)
-        w = pdf["weight"].to_numpy(dtype=float)
-        v = pdf["v"].to_numpy(dtype=float)
-        total = fx - base
-        # eliminate the last feature with the efficiency constraint Σφ = f(x) − E f(b)
-        y = v - base - z[:, -1] * total
-        x = z[:, :-1] - z[:, [-1]]
-        sw = np.sqrt(w)[:, None]
-        if x.shape[1]:
-            phi_head, *_ = np.linalg.lstsq(x * sw, y * sw[:, 0], rcond=None)
-        else:
-            phi_head = np.array([])
-        phi = np.append(phi_head, total - phi_head.sum())
-        return pd.DataFrame({"row_id": pdf["row_id"].iloc[0], "feature": list(features), "shap_value": phi,
-                             "base_value": base, "prediction": fx})[["row_id", "feature", "shap_value",
-                                                                       "base_value", "prediction"]][:m]
-    return solve
+    drawn: dict = {}
+    for _ in range(20 * nsamples):
+        if len(drawn) + 2 > left:
+            break
+        s = int(rng.choice(sizes, p=mass / mass.sum()))
+        mask = np.zeros(m, bool)
+        mask[rng.choice(m, size=s, replace=False)] = True
+        for z in (mask, ~mask):
+            drawn[tuple(z.tolist())] = drawn.get(tuple(z.tolist()), 0) + 1
+    times = sum(drawn.values())
+    return out + [(list(z), float(mass.sum()) * n / times) for z, n in drawn.items()]
+
+
+def solution(m: int, coal: list[tuple[list[bool], float]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(A, a, t): the SHAP values are A·v − a·base + t·(f(x) − base), where v are the coalition
+    values.  The last feature is eliminated by Σφ = f(x) − base; the rest is least squares."""
+    if m == 1:
+        return np.zeros((1, 0)), np.zeros(1), np.ones(1)
+    z = np.array([mask for mask, _ in coal], float)
+    root = np.sqrt(np.array([w for _, w in coal]))[:, None]
+    head = np.linalg.pinv((z[:, :-1] - z[:, [-1]]) * root) * root.T
+    matrix = np.vstack([head, -head.sum(axis=0)])
+    total = -matrix @ z[:, -1]
+    total[-1] += 1.0
+    return matrix, matrix.sum(axis=1), total
 
 
 def kernel_shap(rows: DataFrame, background: DataFrame, features: Sequence[str], id_col: str,
@@ -95,32 +93,45 @@ def kernel_shap(rows: DataFrame, background: DataFrame, features: Sequence[str],
     if not bg_rows:
         raise ValueError("background sample is empty")
     coal = coalitions(m, nsamples or default_nsamples(m), seed)
-    masks = F.array(*[F.struct(F.lit(i).alias("cid"), F.array(*[F.lit(b) for b in mask]).alias("mask"),
-                               F.lit(float(wt)).alias("weight")) for i, (mask, wt) in enumerate(coal)])
-    bgs = F.array(*[F.struct(*[F.lit(float(r[f]) if r[f] is not None else None).cast("double").alias(f)
-                               for f in features]) for r in bg_rows])
+    matrix, of_base, of_total = solution(m, coal)
+    # the full coalition, scored with the first background row alone, is the row's own prediction
+    full = len(coal)
+    every = [mask for mask, _ in coal] + [[True] * m]
+    masks = F.array(*[F.struct(F.lit(i).alias("cid"), F.array(*[F.lit(b) for b in mask]).alias("mask"))
+                      for i, mask in enumerate(every)])
+    bgs = F.array(*[F.struct(F.lit(i).alias("__at"), *[F.lit(float(r[f]) if r[f] is not None else None).cast("double").alias(f)
+                                                       for f in features]) for i, r in enumerate(bg_rows)])
     from verdin.operators.ml import balanced
     # spread rows before the ×(coalitions × background) expansion so every core scores
     base_rows = balanced(rows.select(F.col(id_col).alias("row_id"),
                                      *[F.col(f).cast("double").alias(f) for f in features]), "row_id")
     # internal names start with "__" so they cannot collide with feature names
     synth = (base_rows.select("row_id", *features, F.explode(masks).alias("__coal"))
-             .select("row_id", "__coal", *features, F.explode(bgs).alias("__bg")))
+             .select("row_id", "__coal", *features, F.explode(bgs).alias("__bg"))
+             .where((F.col("__coal.cid") < full) | (F.col("__bg.__at") == 0)))
     mixed = synth.select("row_id", F.col("__coal.cid").alias("cid"),
                          *[F.when(F.col("__coal.mask")[j], F.col(f)).otherwise(F.col("__bg")[f]).alias(f)
                            for j, f in enumerate(features)])
-    v = score(mixed).groupBy("row_id", "cid").agg(F.avg("score").alias("v"))
-    fx = score(base_rows).select("row_id", F.col("score").alias("fx"))
     spark = rows.sparkSession
     bg_df = spark.createDataFrame([tuple(float(r[f]) if r[f] is not None else None for f in features) for r in bg_rows],
                                   ", ".join(f"`{f}` double" for f in features))
     base = score(bg_df).agg(F.avg("score").alias("base"))
-    cdf = spark.createDataFrame([(i, mask, float(wt)) for i, (mask, wt) in enumerate(coal)],
-                                "cid int, mask array<boolean>, weight double")
+
+    def weighed(j):
+        weights = F.array(*[F.lit(float(x) / len(bg_rows)) for x in matrix[j]], F.lit(0.0))
+        return F.sum(F.col("score") * F.get(weights, F.col("cid"))).alias(f"__v{j}")
+
+    sums = score(mixed).groupBy("row_id").agg(F.max(F.when(F.col("cid") == full, F.col("score"))).alias("fx"),
+                                              *[weighed(j) for j in range(m)])
     from verdin.operators.profile import one_row_join
-    j = one_row_join(v.join(F.broadcast(cdf), "cid").join(fx, "row_id"), base)
-    schema = "row_id long, feature string, shap_value double, base_value double, prediction double"
-    return j.groupBy("row_id").applyInPandas(_solve(features), schema=schema)
+    j = one_row_join(sums, base)
+    each = [F.struct(F.lit(f).alias("feature"),
+                     (F.col(f"__v{i}") - F.lit(float(of_base[i])) * F.col("base")
+                      + F.lit(float(of_total[i])) * (F.col("fx") - F.col("base"))).alias("shap_value"))
+            for i, f in enumerate(features)]
+    return (j.select("row_id", "base", "fx", F.explode(F.array(*each)).alias("__e"))
+            .select("row_id", "__e.feature", "__e.shap_value", F.col("base").alias("base_value"),
+                    F.col("fx").alias("prediction")))
 
 
 def shap_top_factors(shap_values: DataFrame, rows: DataFrame, id_col: str, background_first: dict | None = None,
