@@ -31,21 +31,20 @@ CONTRACT = """
 WITH RECURSIVE s AS (
   SELECT w, p, t, true AS live FROM cells
   UNION ALL
-  (WITH pr AS (SELECT w, p, t, lead(t) OVER o AS nx, row_number() OVER o AS n
-               FROM s WHERE live WINDOW o AS (PARTITION BY w ORDER BY p)),
-        rk AS (SELECT w, n, r FROM pr JOIN merges ON a = t AND b = nx),
+  (WITH pr AS (SELECT w, p, t, lead(t) OVER o AS nx, lead(w) OVER o AS nw, row_number() OVER o AS n
+               FROM s WHERE live WINDOW o AS (ORDER BY p)),
+        rk AS (SELECT w, n, r FROM pr JOIN merges ON a = t AND b = nx WHERE w = nw),
         best AS (SELECT w, min(r) AS r FROM rk GROUP BY w),
-        hit AS (SELECT rk.w, rk.n, rk.r, rk.n - row_number() OVER (PARTITION BY rk.w ORDER BY rk.n) AS isle
+        hit AS (SELECT rk.n, rk.r, rk.n - row_number() OVER (ORDER BY rk.n) AS isle
                 FROM rk JOIN best ON rk.w = best.w AND rk.r = best.r),
-        cut AS (SELECT w, n, r FROM (SELECT *, row_number() OVER (PARTITION BY w, isle ORDER BY n) AS k FROM hit)
-                WHERE k % 2 = 1)
-   SELECT pr.w, pr.p, coalesce(c.r, pr.t), best.w IS NOT NULL
-   FROM pr LEFT JOIN best ON pr.w = best.w
-           LEFT JOIN cut c ON c.w = pr.w AND c.n = pr.n
-           LEFT JOIN cut d ON d.w = pr.w AND d.n = pr.n - 1
-   WHERE d.w IS NULL)
+        cut AS (SELECT n, r FROM (SELECT *, min(n) OVER (PARTITION BY isle) AS first FROM hit)
+                WHERE (n - first) % 2 = 0),
+        done AS (SELECT n, r FROM cut UNION ALL SELECT n + 1, -1 FROM cut)
+   SELECT pr.w, pr.p, coalesce(done.r, pr.t), best.w IS NOT NULL
+   FROM pr LEFT JOIN best ON pr.w = best.w LEFT JOIN done ON done.n = pr.n
+   WHERE done.r IS NULL OR done.r >= 0)
 )
-SELECT w, t FROM s WHERE NOT live ORDER BY w, p
+SELECT w, t FROM s WHERE NOT live ORDER BY p
 """
 
 DECODE = """
@@ -78,33 +77,34 @@ class DuckBpe:
     def encode_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all words, joined; number of ids of each)."""
         whole = np.fromiter((self.ranks.get(w, -1) for w in words), np.int64, len(words))
-        parts = [None] * len(words)
-        rest = [i for i in np.flatnonzero(whole < 0) if words[i]]
-        a = 0
+        sizes = (whole >= 0).astype(np.int64)
+        rest = np.array([i for i in np.flatnonzero(whole < 0) if words[i]], np.int64)
+        contracted, a = [np.zeros(0, np.uint32)], 0
         while a < len(rest):
             b, cells = a, 0
             while b < len(rest) and b - a < self.words_a_query and (b == a or cells + len(words[rest[b]]) <= self.cells_a_query):
                 cells += len(words[rest[b]])
                 b += 1
-            for i, ids in zip(rest[a:b], self._contract([words[i] for i in rest[a:b]]), strict=True):
-                parts[i] = ids
+            sizes[rest[a:b]], ids = self._contract([words[i] for i in rest[a:b]])
+            contracted.append(ids)
             a = b
-        none = np.zeros(0, np.uint32)
-        parts = [p if p is not None else np.array([w], np.uint32) if w >= 0 else none
-                 for p, w in zip(parts, whole, strict=True)]
-        return np.concatenate([none, *parts]), np.fromiter(map(len, parts), np.int64, len(parts))
-
-    def _contract(self, words: list[bytes]) -> list[np.ndarray]:
+        first = np.cumsum(sizes) - sizes
+        flat = np.empty(int(sizes.sum()), np.uint32)
+        flat[first[whole >= 0]] = whole[whole >= 0]
+        n = sizes[rest]
+        flat[np.arange(int(n.sum())) + np.repeat(first[rest] - (np.cumsum(n) - n), n)] = np.concatenate(contracted)
+        return flat, sizes
+
+    def _contract(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(number of ids of each word, ids of all words in order).  Positions count through all words."""
         sizes = np.fromiter(map(len, words), np.int64, len(words))
         data = np.frombuffer(b"".join(words), np.uint8)
-        first = np.repeat(np.cumsum(sizes) - sizes, sizes)
         self.con.register("cells", pa.table({
             "w": np.repeat(np.arange(len(words), dtype=np.int32), sizes),
-            "p": (np.arange(len(data)) - first).astype(np.int32), "t": self.byte_id[data]}))
+            "p": np.arange(len(data), dtype=np.int32), "t": self.byte_id[data]}))
         got = self.con.execute(CONTRACT).fetchnumpy()
         self.con.unregister("cells")
-        return np.split(np.asarray(got["t"]).astype(np.uint32),
-                        np.searchsorted(np.asarray(got["w"]), np.arange(1, len(words))))
+        return np.bincount(np.asarray(got["w"]), minlength=len(words)), np.asarray(got["t"]).astype(np.uint32)
 
     def decode(self, documents: list[np.ndarray], ids_a_query: int = 300_000) -> list[bytes]:
         """The bytes of each list of ids.  A long list is decoded in pieces, joined in order."""
