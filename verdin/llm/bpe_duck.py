@@ -85,7 +85,7 @@ class DuckBpe:
             while b < len(rest) and b - a < self.words_a_query and (b == a or cells + len(words[rest[b]]) <= self.cells_a_query):
                 cells += len(words[rest[b]])
                 b += 1
-            sizes[rest[a:b]], ids = self._contract([words[i] for i in rest[a:b]])
+            sizes[rest[a:b]], ids = self._contract_flat([words[i] for i in rest[a:b]])
             contracted.append(ids)
             a = b
         first = np.cumsum(sizes) - sizes
@@ -95,7 +95,12 @@ class DuckBpe:
         flat[np.arange(int(n.sum())) + np.repeat(first[rest] - (np.cumsum(n) - n), n)] = np.concatenate(contracted)
         return flat, sizes
 
-    def _contract(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    def _contract(self, words: list[bytes]) -> list[np.ndarray]:
+        """The ids of each word."""
+        sizes, ids = self._contract_flat(words)
+        return np.split(ids, np.cumsum(sizes)[:-1])
+
+    def _contract_flat(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(number of ids of each word, ids of all words in order).  Positions count through all words."""
         sizes = np.fromiter(map(len, words), np.int64, len(words))
         data = np.frombuffer(b"".join(words), np.uint8)
