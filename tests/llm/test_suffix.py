@@ -66,6 +66,28 @@ def test_equals_brute_force(spark, hot):
     assert sorted(r.doc_id or 0 for r in rows) == sorted([i or 0 for i in ids] + [60, 60])
 
 
+def test_no_sort_holds_a_group_of_many_contexts(spark, monkeypatch):
+    rnd, solve = random.Random(5), X.repeated_starts
+
+    def words(n):
+        return " ".join(str(rnd.randrange(10**6)) for _ in range(n))
+
+    def bounded(bucket, *rest):
+        assert np.bincount(bucket).max() <= 6, "more contents of a group in one task than hot"
+        return solve(bucket, *rest)
+
+    monkeypatch.setattr(X, "repeated_starts", bounded)
+    long, short = words(40), words(28)   # over and under the length
+    assert len(long) > 200 > len(short) > 186
+    texts = [words(30) + p + words(30) for p in [long, short] for _ in range(40)]
+    texts += [words(30) + "#" + short + "!" + words(30) for _ in range(3)] + [texts[0], texts[50], words(99)]
+    df = spark.createDataFrame([*enumerate(texts), (1, texts[1])], "doc_id long, text string")
+    gone = {(r.doc_id, r.h): X.merged(r.spans) for r in X.removals(df, 200, hot=6, block_starts=500).collect()}
+    rows = df.selectExpr("doc_id", "xxhash64(text) AS h", "octet_length(text) AS n").collect()
+    got = [(r.n, sum(b - a for a, b in gone.get((r.doc_id, r.h), [])), len(gone.get((r.doc_id, r.h), []))) for r in rows]
+    assert got == [w[:3] for w in brute([*texts, texts[1]], 200)]
+
+
 def test_long_text_in_segments(monkeypatch):
     rnd = np.random.default_rng(1)
     data = rnd.integers(97, 101, 5000, np.uint8)

@@ -14,8 +14,11 @@ window over it starts anywhere else too.  Suffixes are sorted one bucket at a ti
   ``length - 31`` bytes each; a suffix is then the short record of its first 31 bytes, the rank at
   its next sample position and its last 31 bytes, so long ties are settled by ranks.  Positions count
   from the bucket's gram, so suffixes that can tie have equal residues and share that sample.
-  A task sorts bounded blocks of buckets; a bucket of over ``hot`` contents is first cut by the 359
-  bytes that all windows of an eighth of it share.
+  A task sorts bounded blocks of buckets; a bucket of over ``hot`` contents is first cut into cells by
+  the bytes that all windows of an eighth of it share.
+* Dealing.  A cell that still has over ``hot`` contents (a passage longer than those bytes, in many
+  contexts) is not sorted: its windows are dealt one a row by their 128-bit digests, counted with map-side
+  aggregation, and the repeated ones joined back.  Equal windows have one gram, distance and cell.
 
 Null text: no bytes.  Texts shorter than ``length`` stay as they are.  Repeated rows are texts like any
 other, so their windows count as repeated.  Matches never cross texts.
@@ -141,7 +144,6 @@ def repeated_starts(bucket: np.ndarray, shift: np.ndarray, count: np.ndarray, fl
     return which[again], i[again]
 
 
-
 def removals(docs: DataFrame, length: int = 400, hot: int = 2000, block_starts: int = 150_000) -> DataFrame:
     """(doc_id, h, spans): for each text (h: its XXH64) with repeated windows the bytes to remove, as
     pairs of first byte and end, not merged.  ``docs``: doc_id, text."""
@@ -198,7 +200,26 @@ def removals(docs: DataFrame, length: int = 400, hot: int = 2000, block_starts:
                                                  names=[c.split()[0] for c in piece.split(", ")])
 
     same = (base["doc_id"].eqNullSafe(F.col("w_id"))) & (base["h"] == F.col("w_h"))
-    pieces = base.join(wanted, same).select("text", "wanted").mapInArrow(fetch, piece)
+    pieces = stored(base.join(wanted, same).select("text", "wanted").mapInArrow(fetch, piece), "pieces")
+    # cell 0: of a bucket that is not cut
+    full = stored(pieces.where("cell <> 0").groupBy("gram", "cell").agg(F.count("*").alias("k")).where(F.col("k") > hot).select("gram", "cell"), "full-cells")
+
+    def deal(batches):
+        for batch in batches:
+            for x in range(0, batch.num_rows, 1000):
+                part = batch.slice(x, 1000)
+                count = part.column("count").to_numpy()
+                which = np.repeat(np.arange(len(count)), count)
+                i = np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count) + part.column("at").to_numpy()[which]
+                keys = [hashlib.blake2b(body[k:k + length].tobytes(), digest_size=16).digest()
+                        for body, c in zip(_bodies(part.column("bytes")), count, strict=True) for k in range(c)]
+                yield pa.RecordBatch.from_arrays([*(part.column(c).take(pa.array(which)) for c in content), pa.array(i.astype(np.int32)), pa.array(keys, pa.binary())],
+                                                 names=[*content, "i", "key"])
+
+    windows = stored(pieces.join(full, ["gram", "cell"], "left_semi").mapInArrow(deal, "gram long, content long, n int, shift int, i int, key binary"), "windows")
+    keys = stored(windows.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key"), "window-keys")
+    # windows of a content start less than ``length`` apart: from the first to the last all bytes are covered
+    dealt = windows.join(keys, "key").groupBy(*content).agg(F.min("i").alias("first"), F.max("i").alias("last"))
 
     def sort(batches):
         def solve(rows):
@@ -244,8 +265,8 @@ def removals(docs: DataFrame, length: int = 400, hot: int = 2000, block_starts:
                 yield done
 
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = (pieces.repartition(parts, "gram", "cell").sortWithinPartitions("gram", "cell")
-             .mapInArrow(sort, "gram long, content long, n int, shift int, first int, last int"))
+    found = (pieces.join(full, ["gram", "cell"], "left_anti").select(*pieces.columns).repartition(parts, "gram", "cell").sortWithinPartitions("gram", "cell")
+             .mapInArrow(sort, "gram long, content long, n int, shift int, first int, last int")).unionByName(dealt)
     whole = contents.where("m > 1").select(*content, F.lit(0).alias("first"), (F.col("n") - 1).alias("last"))
     single = found.join(contents.where("m = 1").select(*content), content, "left_semi")
     spans = runs.join(stored(whole.unionByName(single), "repeated"), content).select(
