@@ -138,3 +138,16 @@ def test_decontamination_equals_brute_force(spark):
     kept = D.clean(docs, bench).collect()
     assert sorted(r.doc_id for r in kept) == sorted(d for d, _, _ in rows if not any(d == w for w, _ in want)) and kept[0].asDict().keys() == {"doc_id", "text", "found"}
     assert D.matches(docs.limit(0), bench).collect() == [] and len(D.clean(docs, bench.limit(0)).collect()) == len(rows)
+
+
+def test_short_items_have_the_edit_budget_of_their_length(spark):
+    rnd = random.Random(3)
+    items = [(m, "".join(rnd.choice("abcdefgh") for _ in range(m))) for m in (12, 13, 25, 38, 49)]
+    rows = []
+    for i, x in items:
+        for edits in range(5):
+            places = rnd.sample(range(1, len(x) - 1), edits)
+            rows.append((i * 10 + edits, "qq " + "".join("z" if k in places else c for k, c in enumerate(x)) + " rr"))
+    got = {(r.doc_id, f["item"]): f["distance"] for r in D.matches(spark.createDataFrame(rows, "doc_id long, text string"),
+                                                                   spark.createDataFrame(items, "item_id long, text string")).collect() for f in r.found}
+    assert got == {(i * 10 + e, i): e for i, x in items for e in range(5) if e <= len(x) * 8 // 100}

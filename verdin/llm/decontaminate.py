@@ -8,8 +8,8 @@ the item is verified by Myers' bit-parallel algorithm, which gives the least edi
 to any part of the window.
 
 The benchmark is the stated query set: it goes to the tasks in blocks of at most ``block_chars``
-characters, whatever its size, and each block is matched against all texts.  Items with fewer than
-``least`` plain characters are matched without errors and only as whole words; items without any
+characters, whatever its size, and each block is matched against all texts.  Items too short for an
+edit (k = 0) are matched without errors and only as whole words; items without any
 character match nothing.  Null texts match nothing; repeated items each match; repeated rows each
 keep a row.
 """
@@ -66,14 +66,14 @@ def distance(pattern: str, text: str, most: int) -> int | None:
 class Matcher:
     """The automaton and patterns of one block of items."""
 
-    def __init__(self, items: list[tuple], rate: float, least: int):
+    def __init__(self, items: list[tuple], rate: float):
         self.items = []
         pieces: dict[str, list] = {}
         for item_id, text in items:
             p = plain(text)
             if not p:
                 continue
-            k = int(rate * len(p)) if len(p) >= least else 0
+            k = int(rate * len(p))
             at = len(self.items)
             if k == 0:
                 # blanks around it: whole words
@@ -130,7 +130,7 @@ def item_blocks(benchmark: DataFrame, item_id: str, text: str, block_chars: int)
         yield held
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, rate: float = 0.08, least: int = 50, keep: tuple = ("doc_id",), text: str = "text",
+def matches(docs: DataFrame, benchmark: DataFrame, rate: float = 0.08, keep: tuple = ("doc_id",), text: str = "text",
             item_id: str = "item_id", item_text: str = "text", block_chars: int = 4_000_000) -> DataFrame:
     """The columns ``keep`` of every row, and found: its (item, distance) pairs, sorted."""
     spark = docs.sparkSession
@@ -147,7 +147,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, rate: float = 0.08, least: in
         def matcher(i):
             if i not in ready:
                 ready.clear()
-                ready[i] = Matcher(shared[i].value, rate, least)
+                ready[i] = Matcher(shared[i].value, rate)
             return ready[i]
 
         from pyspark.sql.pandas.types import to_arrow_type
