@@ -151,3 +151,26 @@ def test_short_items_have_the_edit_budget_of_their_length(spark):
     got = {(r.doc_id, f["item"]): f["distance"] for r in D.matches(spark.createDataFrame(rows, "doc_id long, text string"),
                                                                    spark.createDataFrame(items, "item_id long, text string")).collect() for f in r.found}
     assert got == {(i * 10 + e, i): e for i, x in items for e in range(5) if e <= len(x) * 8 // 100}
+
+
+def test_a_private_key_goes_with_its_body(spark):
+    rnd = random.Random(4)
+
+    def pem(lines, kind="RSA ", head="", eol="\n", end=True, last="Zm9v=="):
+        body = [*("".join(rnd.choice("ABCxyz019+/") for _ in range(64)) for _ in range(lines)), last]
+        return eol.join([f"-----BEGIN {kind}PRIVATE KEY-----", *head.split("|"), *body][:None if head else 1] + ([] if head else body)) + \
+            (f"{eol}-----END {kind}PRIVATE KEY-----" if end else "")
+
+    keys = [pem(3), pem(25, ""), pem(3, "EC ", eol="\r\n"), pem(3, eol="\\n"), pem(2, head="Proc-Type: 4,ENCRYPTED|DEK-Info: AES-128-CBC,0A1B|"),
+            pem(5, end=False), pem(5, end=False, eol="\\n"), pem(3, head="Proc-Type: 4,ENCRYPTED|DEK-Info: AES-128-CBC,0A1B|", end=False),
+            pem(20_000), pem(20_000, end=False), "-----BEGIN PRIVATE KEY-----"]
+    rows = [(i, f"before\n{k}\nafter it - all of this stays -----") for i, k in enumerate(keys)]
+    rows += [(50, "x " + keys[0] + "\n" + keys[5] + "\n" + keys[1] + " y"), (51, "-----BEGIN PRIVATE KEY----- " + "a - b -- c --- " * 20_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.text for r in S.redact(df).collect()}
+    for i in range(len(keys)):
+        assert got[i] == "before\n[SECRET]\nafter it - all of this stays -----", (i, got[i][:200])
+    assert got[50] == "x [SECRET]\n[SECRET]\n[SECRET] y"
+    assert got[51] == "[SECRET] " + "a - b -- c --- " * 20_000
+    for r in S.find_secrets(df).toDF("doc_id", "text", "got").collect():
+        assert [(s.a, s.k, s.b) for s in r.got] == brute_spans(r.text, S.BASE + S.MORE)

@@ -45,9 +45,17 @@ BASE = (
     Rule("access", r"AKIA[A-Z0-9]{16,}"),
     Rule("hex", r"[0-9a-f]{24,}"),
 )
+# Between two runs of base64 in a text or a quoted string.
+_GAP = r"""(?:[\s"'#>*,]|\\[nrt])*+"""
+#: A PEM key: up to its END line, which comes before any other five dashes.  Where there is none, the header
+#: fields, the runs of 16 characters or more, and a shorter last one that ends its line.  Possessive
+#: groups, which Java's matcher repeats without recursion.
+PRIVATE_KEY = (r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----(?:(?:[^-]|-(?!----))*+-----END [A-Z ]{0,20}PRIVATE KEY-----|"
+               rf"(?:{_GAP}(?:Proc-Type|DEK-Info):[^\r\n\\]*+)*+(?:{_GAP}[A-Za-z0-9+/=]{{16,}}+)*+"
+               rf"""(?:(?<=[A-Za-z0-9+/=]{{16}}){_GAP}[A-Za-z0-9+/=]{{1,15}}(?![^\r\n"'\\]))?+)""")
 #: Public formats of further credentials.
 MORE = (
-    Rule("private_key", r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----"),
+    Rule("private_key", PRIVATE_KEY),
     Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("google", r"AIza[0-9A-Za-z_-]{35}"),
