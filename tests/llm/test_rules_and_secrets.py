@@ -174,3 +174,25 @@ def test_a_private_key_goes_with_its_body(spark):
     assert got[51] == "[SECRET] " + "a - b -- c --- " * 20_000
     for r in S.find_secrets(df).toDF("doc_id", "text", "got").collect():
         assert [(s.a, s.k, s.b) for s in r.got] == brute_spans(r.text, S.BASE + S.MORE)
+
+
+def test_one_block_of_the_benchmark_is_held_at_a_time(spark, monkeypatch):
+    rnd = random.Random(9)
+    items = [(i if i else None, "".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(60, 90)))) for i in range(30)]
+    bench = spark.createDataFrame([*items, items[3], (99, None)], "item_id long, text string")
+    docs = spark.createDataFrame([(k % 20, None if k == 7 else f"{rnd.choice(items)[1]} and {items[k % 5][1]}") for k in range(40)], "doc_id long, text string")
+    want = sorted(map(repr, D.matches(docs, bench).collect()))
+    kind, live, most = type(spark.sparkContext.broadcast(0)), set(), []
+    make, free = type(spark.sparkContext).broadcast, kind.destroy
+
+    def tracked(self, value):
+        out = make(self, value)
+        live.add(id(out))
+        most.append((len(live), sum(len(t or "") for _, t in value)))
+        return out
+
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", tracked)
+    monkeypatch.setattr(kind, "destroy", lambda self, *a: (live.discard(id(self)), free(self, *a)))
+    got = D.matches(docs, bench, block_chars=300)
+    assert sorted(map(repr, got.collect())) == want and not live
+    assert len(most) > 5 and max(n for n, _ in most) == 1 and max(c for _, c in most) <= 300

@@ -7,8 +7,9 @@ at least unchanged.  Pieces are found exactly, all at once, by an Aho-Corasick a
 the item is verified by Myers' bit-parallel algorithm, which gives the least edit distance of the item
 to any part of the window.
 
-The benchmark is the stated query set: it goes to the tasks in blocks of at most ``block_chars``
-characters, whatever its size, and each block is matched against all texts.  Items too short for an
+A benchmark of at most ``block_chars`` characters goes to the tasks at once.  A larger one is numbered
+by Spark into blocks of that size; one block at a time is broadcast, matched against all texts and freed,
+and what the blocks found is united by the text's digest, since it depends on the text alone.  Items too short for an
 edit (k = 0) are matched without errors and only as whole words; items without any
 character match nothing.  Null texts match nothing; repeated items each match; repeated rows each
 keep a row.
@@ -16,13 +17,15 @@ keep a row.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import ahocorasick
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verdin.llm.common import ship_package
+from verdin.llm.common import ship_package, stored
 
 _GAP = regex.compile(r"[^\p{L}\p{N}]+")
 
@@ -116,54 +119,91 @@ class Matcher:
         return {(at, self.items[at][0]): d for at, d in out.items()}
 
 
-def item_blocks(benchmark: DataFrame, item_id: str, text: str, block_chars: int):
-    """Lists of (id, text) of at most ``block_chars`` characters, one item at least."""
-    held, chars = [], 0
-    for r in benchmark.select(benchmark[item_id].alias("i"), benchmark[text].alias("t")).toLocalIterator():
-        size = len(r["t"] or "")
-        if held and chars + size > block_chars:
-            yield held
-            held, chars = [], 0
-        held.append((r["i"], r["t"]))
-        chars += size
-    if held:
-        yield held
+def _chars(column):
+    """What an item counts for in a block."""
+    return F.coalesce(F.length(column), F.lit(0)).cast("long") + 1
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, rate: float = 0.08, keep: tuple = ("doc_id",), text: str = "text",
-            item_id: str = "item_id", item_text: str = "text", block_chars: int = 4_000_000) -> DataFrame:
-    """The columns ``keep`` of every row, and found: its (item, distance) pairs, sorted."""
-    spark = docs.sparkSession
-    ship_package(spark)
-    shared = [spark.sparkContext.broadcast(b) for b in item_blocks(benchmark, item_id, item_text, block_chars)]
-    item = benchmark.schema[item_id].dataType.simpleString()
-    inner = docs.select(*[docs[c].alias(f"k{i}") for i, c in enumerate(keep)], docs[text].alias("body"))
-    schema = ", ".join([f"k{i} {inner.schema[f'k{i}'].dataType.simpleString()}" for i in range(len(keep))] + [f"found array<struct<item:{item},distance:int>>"])
-
+def numbered(items: DataFrame, block_chars: int) -> DataFrame:
+    """``items`` (i, t) and their task and part: parts of a task hold at most ``block_chars`` characters, one item at
+    least."""
     def run(batches):
-        # one block's automaton at a time for each batch of rows; a single block is made once
-        ready = {}
-
-        def matcher(i):
-            if i not in ready:
-                ready.clear()
-                ready[i] = Matcher(shared[i].value, rate)
-            return ready[i]
+        import pyspark
+        task, part, chars = pyspark.TaskContext.get().partitionId(), 0, 0
+        for batch in batches:
+            parts = []
+            for t in batch.column("t").to_pylist():
+                size = len(t or "") + 1
+                if chars and chars + size > block_chars:
+                    part, chars = part + 1, 0
+                chars += size
+                parts.append(part)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([task] * len(parts), pa.int64()), pa.array(parts, pa.int64())],
+                                             names=["i", "t", "task", "part"])
+
+    return stored(items.mapInArrow(run, f"i {items.schema['i'].dataType.simpleString()}, t string, task long, part long"), "benchmark-blocks")
+
+
+def item_blocks(items: DataFrame, block_chars: int):
+    """Lists of (id, text) of at most ``block_chars`` characters, one item at least, one list at a time."""
+    parts = numbered(items, block_chars)
+    sizes = parts.groupBy("task", "part").agg(F.sum(_chars("t")).alias("n")).orderBy("task", "part").collect()   # a row a part
+    bound = lambda k: F.struct(*[F.lit(sizes[k][c]).cast("long") for c in ("task", "part")])
+    at = 0
+    while at < len(sizes):
+        upto, chars = at + 1, sizes[at]["n"]
+        while upto < len(sizes) and chars + sizes[upto]["n"] <= block_chars:
+            chars, upto = chars + sizes[upto]["n"], upto + 1
+        yield [(r["i"], r["t"]) for r in parts.where((F.struct("task", "part") >= bound(at)) & (F.struct("task", "part") <= bound(upto - 1))).select("i", "t").collect()]
+        at = upto
+
+
+def _order(found: list) -> list:
+    return sorted(found, key=lambda r: (r[0] is None, r[0], r[1]))
+
+
+def _found(inner: DataFrame, block, rate: float, item_type) -> DataFrame:
+    """``inner`` with found in the place of its last column, the text: the pairs of one broadcast block, sorted."""
+    names = [*inner.columns[:-1], "found"]
+    schema = ", ".join([f"{c} {inner.schema[c].dataType.simpleString()}" for c in names[:-1]] + [f"found array<struct<item:{item_type.simpleString()},distance:int>>"])
 
+    def run(batches):
         from pyspark.sql.pandas.types import to_arrow_type
         kind = pa.list_(pa.struct([("item", to_arrow_type(item_type)), ("distance", pa.int32())]))
+        m = None
         for batch in batches:
-            texts = batch.column("body").to_pylist()
-            found = [[] for _ in texts]
-            for i in range(len(shared)):
-                m = matcher(i)
-                for row, t in zip(found, texts, strict=True):
-                    row += [(x, d) for (_, x), d in m.find(t).items()]
-            rows = [[{"item": x, "distance": d} for x, d in sorted(row, key=lambda r: (r[0] is None, r[0], r[1]))] for row in found]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(rows, kind)], names=[c.split()[0] for c in schema.split(", ")][:len(keep)] + ["found"])
+            m = m or Matcher(block.value, rate)
+            rows = [[{"item": x, "distance": d} for x, d in _order([(x, d) for (_, x), d in m.find(t).items()])] for t in batch.column(batch.num_columns - 1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(rows, kind)], names=names)
+
+    return inner.mapInArrow(run, schema)
 
+
+def matches(docs: DataFrame, benchmark: DataFrame, rate: float = 0.08, keep: tuple = ("doc_id",), text: str = "text",
+            item_id: str = "item_id", item_text: str = "text", block_chars: int = 4_000_000) -> DataFrame:
+    """The columns ``keep`` of every row, and found: its (item, distance) pairs, sorted."""
+    spark = docs.sparkSession
+    ship_package(spark)
     item_type = benchmark.schema[item_id].dataType
-    return inner.mapInArrow(run, schema).withColumnsRenamed({f"k{i}": c for i, c in enumerate(keep)})
+    items = benchmark.select(benchmark[item_id].alias("i"), benchmark[item_text].alias("t"))
+    names = {f"k{i}": c for i, c in enumerate(keep)}
+    inner = docs.select(*[docs[c].alias(k) for k, c in names.items()], docs[text].alias("body"))
+    if (items.agg(F.sum(_chars("t"))).first()[0] or 0) <= block_chars:
+        block = spark.sparkContext.broadcast([(r["i"], r["t"]) for r in items.collect()])
+        return _found(inner, block, rate, item_type).withColumnsRenamed(names)
+    digest = F.sha2("body", 256)
+    texts = inner.where("body IS NOT NULL").select(digest.alias("h"), "body")
+    parts = []
+    for number, held in enumerate(item_blocks(items, block_chars)):
+        block = spark.sparkContext.broadcast(held)
+        parts.append(stored(_found(texts, block, rate, item_type).where(F.size("found") > 0)
+                            .groupBy("h").agg(F.first("found").alias("found")), f"found-{number}"))   # equal texts have equal pairs
+        block.destroy()
+    every = reduce(DataFrame.unionAll, parts).groupBy("h").agg(F.flatten(F.collect_list("found")).alias("found"))
+    ordered = F.transform(F.sort_array(F.transform("found", lambda f: F.struct(f["item"].isNull().alias("last"), f["item"].alias("item"), f["distance"].alias("distance")))),
+                          lambda f: F.struct(f["item"].alias("item"), f["distance"].alias("distance")))
+    out = inner.withColumn("h", digest).join(every, "h", "left")
+    return out.select(*names, F.coalesce(ordered, F.array().cast(parts[0].schema["found"].dataType)).alias("found")).withColumnsRenamed(names)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", **options) -> DataFrame:
