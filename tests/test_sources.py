@@ -83,3 +83,20 @@ def test_rows_without_an_order_key_are_staged(spark):
     rows = spark.createDataFrame([(i if i % 5 else None, i) for i in range(100)], "k long, v long")
     path = stage_ordered_files(rows, scratch_table_path(spark, f"slices-{uuid.uuid4().hex[:8]}"), "k")
     assert spark.read.parquet(path).count() == 100
+
+
+def test_probe_reads_files_in_splits(spark):
+    d = _folder(late=b"a;b\n" + b"1;plain\n" * 3000 + "2;поздно\n".encode("cp1251"), bom="\ufeffa,b\r\n1,é\r\n".encode(), empty=b"",
+                quoted=b"a\tb\n" + b"1\tx\n" * 3000 + b'2\t"one\ntwo"\n', undefined=b"a|b\n1|\x98\n2|\xe9\n", open__end="ч,b\n1,й".encode())
+    settings = {"spark.sql.sources.binaryFile.maxLength": "16", "spark.sql.files.maxPartitionBytes": "1000", "spark.sql.files.openCostInBytes": "0",
+                "spark.sql.execution.arrow.maxRecordsPerBatch": "7"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        got = {os.path.basename(r["path"]): tuple(r)[1:] for r in tabular.probe_csv(spark, d).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == {"late.csv": ("cp1251", ";", "a;b", False), "bom.csv": ("utf-8-sig", ",", "a,b", False),
+                   "quoted.csv": ("utf-8-sig", "\t", "a\tb", True), "undefined.csv": ("latin-1", "|", "a|b", False), "open-end.csv": ("utf-8-sig", ",", "ч,b", False)}

@@ -1,7 +1,7 @@
 """Tabular sources and sinks.
 
-Bulk CSV ingestion: the ``binaryFile`` source hands each file to a task, which decides its
-encoding from the whole file, sniffs the delimiter and notes the header line; files are then read
+Bulk CSV ingestion: a splittable scan of the lines as bytes tests each encoding and the quotes on all
+of a file, keeps its first bytes to sniff the delimiter and its header line; files are then read
 by ONE ``spark.read.csv`` per (encoding, delimiter, header) group and combined with
 ``unionByName``.
 """
@@ -29,11 +29,8 @@ PROBE_SCHEMA = "path string, encoding string, sep string, header string, multili
 
 
 def _decodes(content: bytes, encoding: str) -> bool:
-    decoder = codecs.getincrementaldecoder(encoding)()
     try:
-        for k in range(0, len(content), 1 << 20):
-            decoder.decode(content[k:k + (1 << 20)])
-        decoder.decode(b"", final=True)
+        codecs.decode(content, encoding)
     except UnicodeDecodeError:
         return False
     return True
@@ -49,26 +46,52 @@ def _sniffed(sample: str) -> str:
     return next(d for d in CSV_DELIMITERS if d is not None)
 
 
-def probe_bytes(content: bytes) -> tuple[str, str, str, bool]:
-    """(encoding, delimiter, header line, does a quoted field hold a line break) of a whole file:
-    the encoding is the first of the fixed list that decodes all of it."""
-    encoding = next((e for e in CSV_ENCODINGS if _decodes(content, e)), CSV_ENCODINGS[-1])
-    sep = _sniffed(content[:SNIFF_BYTES].decode("utf-8", errors="ignore"))
-    header = content.split(b"\n", 1)[0].decode(encoding, errors="replace").lstrip("\ufeff").rstrip("\r")
-    multiline = b'"' in content and any(line.count(b'"') % 2 for line in content.split(b"\n"))
-    return encoding, sep, header, multiline
+def probe_lines(batches):
+    """Of lines as bytes (file, start of the split, value): a row for each file of a batch with the encodings
+    that decode its lines, whether one has an odd number of quotes and, in a task's first batch of a
+    file's start, the header line and the first bytes."""
+    seen, head = None, 0
+    for pdf in batches:
+        rows = []
+        for (file, start), part in pdf.groupby(["file", "start"], sort=False):
+            lines = [bytes(v) for v in part["value"]]
+            text = b"\n".join(lines) + b"\n"
+            fits = [_decodes(text, e) for e in CSV_ENCODINGS]
+            first, sample = None, None
+            if start == 0 and seen != file:
+                seen, head, first = file, 0, lines[0]
+            if start == 0 and head < SNIFF_BYTES:
+                sample = text[:SNIFF_BYTES - head]
+            rows.append((file, fits, b'"' in text and any(line.count(b'"') % 2 for line in lines), first, head if sample else None, sample))
+            head += len(text) if start == 0 else 0
+        yield pd.DataFrame(rows, columns=["file", "fits", "odd", "first", "place", "sample"])
 
 
 def probe_csv(spark: SparkSession, location: str, glob: str = "*.csv") -> DataFrame:
-    """S1 probe table: one row per file.  Spark's ``binaryFile`` source hands each file to a task, so
-    any file system that Spark reads will do."""
-    def probe(batches):
+    """S1 probe table: one row per file that is not empty.  No encoding has a line feed inside a character,
+    so the first encoding that decodes every line decodes the file."""
+    def decide(batches):
         for pdf in batches:
-            rows = [(path, *probe_bytes(bytes(content))) for path, content in zip(pdf["path"], pdf["content"])]
+            rows = []
+            for path, fits, odd, first, sample in pdf.itertuples(index=False):
+                encoding = next((e for e, f in zip(CSV_ENCODINGS, fits) if f), CSV_ENCODINGS[-1])
+                header = bytes(first).decode(encoding, errors="replace").lstrip("\ufeff").rstrip("\r")
+                rows.append((path, encoding, _sniffed(bytes(sample).decode("utf-8", errors="ignore")), header, bool(odd)))
             yield pd.DataFrame(rows, columns=["path", "encoding", "sep", "header", "multiline"])
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(location)
-    return files.select("path", "content").mapInPandas(probe, schema=PROBE_SCHEMA)
+    # without its content, a file of any size is listed
+    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(location).select("path", F.col("_metadata.file_path").alias("file"))
+    lines = (spark.read.option("pathGlobFilter", glob).option("lineSep", "\n").text(location)
+             .select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.col("value").cast("binary").alias("value")))
+    found = lines.mapInPandas(probe_lines, "file string, fits array<boolean>, odd boolean, first binary, place long, sample binary")
+    empty = F.lit(b"")
+    verdicts = found.groupBy("file").agg(
+        F.array(*[F.min(F.col("fits")[i]) for i in range(len(CSV_ENCODINGS))]).alias("fits"), F.max("odd").alias("odd"), F.max("first").alias("first"),
+        F.sort_array(F.collect_list(F.when(F.col("sample").isNotNull(), F.struct("place", "sample")))).alias("samples"))
+    sample = F.aggregate("samples", empty, lambda a, x: F.concat(a, x["sample"]))
+    return files.join(verdicts, "file", "left").select(
+        "path", F.coalesce("fits", F.array(*[F.lit(True)] * len(CSV_ENCODINGS))).alias("fits"), F.coalesce("odd", F.lit(False)).alias("odd"),
+        F.coalesce("first", empty).alias("first"), F.coalesce(sample, empty).alias("sample")).mapInPandas(decide, schema=PROBE_SCHEMA)
 
 
 def _source_name() -> Column:
