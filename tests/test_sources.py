@@ -100,3 +100,23 @@ def test_probe_reads_files_in_splits(spark):
             spark.conf.set(k, v)
     assert got == {"late.csv": ("cp1251", ";", "a;b", False), "bom.csv": ("utf-8-sig", ",", "a,b", False),
                    "quoted.csv": ("utf-8-sig", "\t", "a\tb", True), "undefined.csv": ("latin-1", "|", "a|b", False), "open-end.csv": ("utf-8-sig", ",", "ч,b", False)}
+
+
+def test_hourly_sources_are_written_by_many_tasks(spark, monkeypatch):
+    from conftest import SF0001
+    from verdin.plans import ingest as plans
+    parts, read = [], tabular.ingest
+
+    def counted(session, location, **options):
+        files = session.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "part-*.csv").load(location.rstrip("/*"))
+        parts.append(files.select("path").count())
+        return read(session, location, **options)
+
+    monkeypatch.setattr(tabular, "ingest", counted)
+    want = sorted(map(repr, plans.collection_ingest(spark, SF0001).collect()))
+    try:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        got = sorted(map(repr, plans.collection_ingest(spark, SF0001).collect()))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert got == want and len(want) > 0 and parts[1] > len(plans._LAYOUT)

@@ -80,7 +80,7 @@ def collection_ingest(spark: SparkSession, sf: str) -> DataFrame:
     for kind, names in _LAYOUT.items():
         rows = _hourly_source(spark, sf, kind).withColumn("комментарий", F.lit("просмотр")).select(*names)
         last = kind == "view"
-        _write_csv(rows.coalesce(1), f"{root}/{kind}", ";" if last else ",", "windows-1251" if last else "UTF-8")
+        _write_csv(rows, f"{root}/{kind}", ";" if last else ",", "windows-1251" if last else "UTF-8")
     return tabular.ingest(spark, f"{root}/*", target="value")
 
 
