@@ -408,7 +408,8 @@ def leaderboard(df: DataFrame, target: str, id_col: str, algos: Sequence[str] =
                 task: str | None = None, test_size: float = 0.2, seed: int = SEED) -> DataFrame:
     """M3: each candidate is cross-validated on the training split (M4 folds, parallel
     fits), refit and scored on the holdout; leaderboard with rank and convex blend
-    weights (inverse error for rmse, proportional score otherwise)."""
+    weights (inverse error for rmse, proportional score otherwise).  A candidate without an estimator
+    for the task has a row with that status, after the others and with weight 0."""
     spark = df.sparkSession
     task = task or infer_task(df, target)
     prepared, proj, features, numeric, categorical = prepare(df, target, id_col)
@@ -435,21 +436,22 @@ def leaderboard(df: DataFrame, target: str, id_col: str, algos: Sequence[str] =
             est = MultilayerPerceptronClassifier(labelCol="label", featuresCol="features", seed=seed,
                                                  layers=[width, max(4, width), len(classes)], maxIter=100)
         if est is None:
+            rows.append((code, None, None, None, f"no estimator for {task}"))
             continue
         cv = CrossValidator(estimator=est, estimatorParamMaps=ParamGridBuilder().build(), evaluator=ev,
                             numFolds=folds, seed=seed, parallelism=4)
         cvm = cv.fit(tr)
         holdout = ev.evaluate(cvm.bestModel.transform(te))
-        rows.append((code, type(est).__name__, float(cvm.avgMetrics[0]), float(holdout)))
-    lb = spark.createDataFrame(rows, "algo string, estimator string, cv_metric double, holdout_metric double")
+        rows.append((code, type(est).__name__, float(cvm.avgMetrics[0]), float(holdout), "fitted"))
+    lb = spark.createDataFrame(rows, "algo string, estimator string, cv_metric double, holdout_metric double, status string")
     lower = metric == "rmse"
-    score_col = (1.0 / F.greatest(F.col("holdout_metric"), F.lit(1e-12))) if lower else F.col("holdout_metric")
+    score_col = F.when(F.col("holdout_metric").isNotNull(), 1.0 / F.greatest(F.col("holdout_metric"), F.lit(1e-12)) if lower else F.col("holdout_metric"))
     from pyspark.sql import Window
     w_all = Window.partitionBy(F.lit(1))      # the leaderboard has one row per candidate
-    order = F.col("holdout_metric").asc() if lower else F.col("holdout_metric").desc()
+    order = F.col("holdout_metric").asc_nulls_last() if lower else F.col("holdout_metric").desc_nulls_last()
     return (lb.withColumn("metric", F.lit(metric)).withColumn("folds", F.lit(folds))
             .withColumn("rank", F.row_number().over(Window.orderBy(order, F.col("algo"))))
-            .withColumn("blend_weight", F.bround(score_col / F.sum(score_col).over(w_all), 6))
+            .withColumn("blend_weight", F.when(F.col("status") == "fitted", F.bround(score_col / F.sum(score_col).over(w_all), 6)).otherwise(F.lit(0.0)))
             .withColumn("cv_metric", F.bround("cv_metric", 6)).withColumn("holdout_metric", F.bround("holdout_metric", 6)))
 
 
