@@ -53,5 +53,5 @@ def test_pipeline_on_odd_rows_and_empty_tables(spark, tmp_path):
 
 
 def test_every_operator_has_a_query():
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 14))
     assert trigram_secrets.BASE[0].kind == "assign" and [n for n, _ in corpus_pipeline.STAGES][-1] == "tokens"

@@ -6,9 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verdin.llm import (bpe_duck, decontaminate, langid, lattice_lm, quality_qda, quality_rules, simhash_bk, suffix_dedup,
-                        token_store, trigram_secrets)
-from verdin.llm.common import documents, remainder
+from verdin.llm import (align, bpe_duck, chat_format, decontaminate, langid, lattice_lm, quality_qda, quality_rules, simhash_bk,
+                        suffix_dedup, token_store, trigram_secrets, whitening)
+from verdin.llm.common import documents, remainder, stored
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -106,3 +106,26 @@ def op9_simhash_bk(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes that remain of every document without its repeated 400-byte strings."""
     return suffix_dedup.remove_repeats(documents(spark, sf_dir).select("doc_id", "text"), 400)
+
+
+@register
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first eight whitened components of every usable embedding."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+@register
+def op12_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every conversation, read back from its formatted and masked text."""
+    chats = chat_format.probe(table(spark, sf_dir, "conversations"))
+    return chat_format.digests(stored(chat_format.formatted(chats), "chats"))
+
+
+ORACLE["op12_chat_format"] = chat_format.ORACLE
+
+
+@register
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links between the byte-level and the piece tokens of every document."""
+    return align.align(documents(spark, sf_dir).select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"),
+                       public_tokenizers.path("piece_bpe_32k.model"))
