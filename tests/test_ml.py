@@ -39,19 +39,3 @@ def test_regression_holdout_and_unknown_categories(spark):
     assert {"rmse", "r2", "aic"} <= set(model.metrics)
     new = spark.createDataFrame([(100, 5.0, "never-seen", 0.0)], "id long, f double, cat string, y double")
     assert ml.score(model, model.projector.transform(new)).count() == 1
-
-
-def test_fallback_records_warnings(spark):
-    model, _, opts = ml.train_with_fallback(_sensor(spark), "target", "id", algos=["bogus"], num_trees=10)
-    assert any("bogus" in w for w in model.warnings)
-    assert opts["effective"]["backend"] in ("forest", "search+forest")
-
-
-def test_leaderboard_has_a_row_for_every_candidate(spark):
-    rows = [(i, float(i), float(i * 7 % 5), 3.0 * i + i * 7 % 5, "abc"[i % 3]) for i in range(90)]
-    df = spark.createDataFrame(rows, "id long, f double, g double, y double, c string")
-    for target, task, unfit in (("y", "regression", "nn"), ("c", "multiclass", "xgb")):
-        board = {r["algo"]: r for r in ml.leaderboard(df, target, "id", ("linear_l2", unfit), task).collect()}
-        assert (board["linear_l2"]["status"], board["linear_l2"]["rank"], board["linear_l2"]["blend_weight"]) == ("fitted", 1, 1.0)
-        assert (board[unfit]["status"], board[unfit]["rank"], board[unfit]["blend_weight"]) == (f"no estimator for {task}", 2, 0.0)
-        assert board[unfit]["holdout_metric"] is None

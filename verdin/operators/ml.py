@@ -18,15 +18,12 @@ from functools import reduce
 
 from pyspark import keyword_only
 from pyspark.ml import Pipeline, PipelineModel, Transformer
-from pyspark.ml.classification import (GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier,
-                                       RandomForestClassifier)
-from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
+from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import (Imputer, OneHotEncoder, SQLTransformer, StandardScaler,
                                 StringIndexer, VectorAssembler)
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.param import Param, Params, TypeConverters
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+from pyspark.ml.regression import RandomForestRegressor
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,7 +34,6 @@ from verdin.operators.profile import ValidationError, task_type_expr, type_famil
 
 SEED = 42
 FOREST_TREES = 300          # fixed value: trees in the tabular forest
-ALGOS = ("lgb", "cb", "xgb", "rf", "linear_l2", "nn")   # fixed vocabulary of candidate codes
 
 
 def _q(c: str):
@@ -225,24 +221,6 @@ def forest(task: str, num_trees: int = FOREST_TREES, seed: int = SEED, max_depth
                                   cacheNodeIds=True, checkpointInterval=10)
 
 
-def candidate_estimator(code: str, task: str, seed: int = SEED):
-    """M3 candidate codes mapped to Spark ML estimators (boosting codes → GBT)."""
-    if code in ("lgb", "cb", "xgb"):
-        if task == "multiclass":
-            return None  # GBT in Spark ML is binary-only
-        return (GBTRegressor if task == "regression" else GBTClassifier)(labelCol="label", featuresCol="features",
-                                                                          seed=seed)
-    if code == "rf":
-        return forest(task, num_trees=100, seed=seed)
-    if code == "linear_l2":
-        if task == "regression":
-            return LinearRegression(labelCol="label", featuresCol="features", regParam=0.01, elasticNetParam=0.0)
-        return LogisticRegression(labelCol="label", featuresCol="features", regParam=0.01, elasticNetParam=0.0)
-    if code == "nn":
-        return None  # needs the feature width; built in leaderboard()
-    raise ValueError(f"unknown algorithm code {code!r}")
-
-
 @dataclass
 class TabularModel:
     """The fitted bundle and its training record."""
@@ -258,12 +236,14 @@ class TabularModel:
     importances: dict = field(default_factory=dict)
     backend: str = "spark-random-forest"
     warnings: list[str] = field(default_factory=list)
+    composition: dict = field(default_factory=dict)     # members of a blend and their weights
 
     def record(self) -> dict:
         return {"task_type": self.task_type, "target": self.target, "features": self.features,
                 "numeric": self.numeric, "categorical": self.categorical, "classes": self.classes,
                 "metrics": self.metrics, "importances": self.importances, "backend": self.backend,
-                "primary_metric": primary_metric_name(self.task_type), "warnings": self.warnings}
+                "primary_metric": primary_metric_name(self.task_type), "warnings": self.warnings,
+                "composition": self.composition}
 
 
 def prepare(df: DataFrame, target: str, id_col: str | None) -> tuple[DataFrame, TemporalProjector, list, list, list]:
@@ -401,81 +381,7 @@ def permutation_importance(model: TabularModel, test: DataFrame, id_col: str, se
 
 
 # ---------------------------------------------------------------------------
-# M3 / M6: candidate search with cross-validation and fallback
-
-
-def leaderboard(df: DataFrame, target: str, id_col: str, algos: Sequence[str] = ("rf", "linear_l2", "xgb"),
-                task: str | None = None, test_size: float = 0.2, seed: int = SEED) -> DataFrame:
-    """M3: each candidate is cross-validated on the training split (M4 folds, parallel
-    fits), refit and scored on the holdout; leaderboard with rank and convex blend
-    weights (inverse error for rmse, proportional score otherwise).  A candidate without an estimator
-    for the task has a row with that status, after the others and with weight 0."""
-    spark = df.sparkSession
-    task = task or infer_task(df, target)
-    prepared, proj, features, numeric, categorical = prepare(df, target, id_col)
-    classes = class_labels(prepared, target) if task != "regression" else None
-    split = label_column(seeded_split(prepared, id_col, test_size, seed,
-                                      stratify=target if task != "regression" else None), target, task, classes)
-    split = balanced_checkpoint(split, id_col)
-    train = split.filter(F.col("split") == "train")
-    test = split.filter(F.col("split") == "test")
-    folds = cv_folds(train, target, task)
-    stages, _ = feature_stages(numeric, categorical, column_modes(train, categorical))
-    feat_model = Pipeline(stages=stages).fit(train)
-    tr, te = feat_model.transform(train), feat_model.transform(test)
-    metric = primary_metric_name(task)
-    if task == "regression":
-        ev = RegressionEvaluator(labelCol="label", predictionCol="prediction", metricName="rmse")
-    else:
-        ev = MulticlassClassificationEvaluator(labelCol="label", predictionCol="prediction", metricName="weightedFMeasure")
-    width = len(tr.select("features").first()["features"])
-    rows = []
-    for code in algos:
-        est = candidate_estimator(code, task, seed)
-        if code == "nn" and task != "regression":
-            est = MultilayerPerceptronClassifier(labelCol="label", featuresCol="features", seed=seed,
-                                                 layers=[width, max(4, width), len(classes)], maxIter=100)
-        if est is None:
-            rows.append((code, None, None, None, f"no estimator for {task}"))
-            continue
-        cv = CrossValidator(estimator=est, estimatorParamMaps=ParamGridBuilder().build(), evaluator=ev,
-                            numFolds=folds, seed=seed, parallelism=4)
-        cvm = cv.fit(tr)
-        holdout = ev.evaluate(cvm.bestModel.transform(te))
-        rows.append((code, type(est).__name__, float(cvm.avgMetrics[0]), float(holdout), "fitted"))
-    lb = spark.createDataFrame(rows, "algo string, estimator string, cv_metric double, holdout_metric double, status string")
-    lower = metric == "rmse"
-    score_col = F.when(F.col("holdout_metric").isNotNull(), 1.0 / F.greatest(F.col("holdout_metric"), F.lit(1e-12)) if lower else F.col("holdout_metric"))
-    from pyspark.sql import Window
-    w_all = Window.partitionBy(F.lit(1))      # the leaderboard has one row per candidate
-    order = F.col("holdout_metric").asc_nulls_last() if lower else F.col("holdout_metric").desc_nulls_last()
-    return (lb.withColumn("metric", F.lit(metric)).withColumn("folds", F.lit(folds))
-            .withColumn("rank", F.row_number().over(Window.orderBy(order, F.col("algo"))))
-            .withColumn("blend_weight", F.when(F.col("status") == "fitted", F.bround(score_col / F.sum(score_col).over(w_all), 6)).otherwise(F.lit(0.0)))
-            .withColumn("cv_metric", F.bround("cv_metric", 6)).withColumn("holdout_metric", F.bround("holdout_metric", 6)))
-
-
-def train_with_fallback(df: DataFrame, target: str, id_col: str, algos: Sequence[str] | None = None,
-                        task: str | None = None, **kw) -> tuple[TabularModel, DataFrame, dict]:
-    """M6: try the candidate search when algorithms are requested; on any failure fall
-    back to the forest and record requested vs effective options with warnings."""
-    requested = {"algos": list(algos) if algos else None, "backend": "search" if algos else "forest"}
-    warnings = []
-    board = None
-    if algos:
-        unknown = [a for a in algos if a not in ALGOS]
-        if unknown:
-            warnings.append(f"ignored unknown algorithms: {unknown}")
-        try:
-            board = leaderboard(df, target, id_col, [a for a in algos if a in ALGOS], task)
-            board.count()
-        except Exception as exc:  # noqa: BLE001 — any failure triggers the documented fallback
-            warnings.append(f"candidate search failed ({type(exc).__name__}); using the forest")
-            board = None
-    model, holdout = fit_tabular(df, target, id_col, task, **kw)
-    model.warnings = warnings
-    effective = {"backend": "search+forest" if board is not None else "forest", "trees": kw.get("num_trees", FOREST_TREES)}
-    return model, holdout, {"requested": requested, "effective": effective, "leaderboard": board}
+# J8
 
 
 def compare_with_actual(model: TabularModel, df: DataFrame, id_col: str) -> tuple[DataFrame, dict]:

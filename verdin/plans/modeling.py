@@ -68,23 +68,70 @@ def permutation_importance(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("automl_leaderboard")
 def automl_leaderboard(spark: SparkSession, sf: str) -> DataFrame:
-    """M3 + M4: cross-validated candidates (forest, L2 logistic, boosted trees, MLP) on
-    labelled documents, holdout metric, rank and blend weights."""
-    df = document_features(spark, sf)
-    return ml.leaderboard(df, "quality", "doc_id", algos=("rf", "linear_l2", "xgb", "nn"))
+    """M3 + M4: whole pipelines inside folds (forest, L2 logistic, boosted trees, network) on
+    labelled documents: out-of-fold and holdout metric, rank and the weight of each in the blend."""
+    from verdin.operators import search
+    from verdin.options import TrainingOptions
+    opts = TrainingOptions.from_payload({"algos": ["rf", "linear_l2", "xgb", "nn"], "timeout_seconds": 1800, "cv_folds": 2})
+    return search.search(document_features(spark, sf), "quality", "doc_id", opts).board.drop("seconds")
 
 
 @register("training_record")
 def training_record(spark: SparkSession, sf: str) -> DataFrame:
-    """M6 + M16 (L5 shape): train with fallback, return the training record as JSON."""
-    model, _, opts = ml.train_with_fallback(document_features(spark, sf).drop("lang", "source"), "quality", "doc_id",
-                                            algos=["rf", "unknown_algo"])
+    """M6 + M16 (L5 shape): the options' backend and candidates, the blend's training record as JSON."""
+    from verdin.operators import search
+    model, _, opts = search.train(document_features(spark, sf).drop("lang", "source"), "quality", "doc_id",
+                                  {"algos": "linear_l2,lgb", "timeout_seconds": 1800, "cv_folds": 2}, importance=False)
     rec = model.record()
     rec["options"] = {"requested": opts["requested"], "effective": opts["effective"]}
     return spark.createDataFrame([(rec["task_type"], rec["primary_metric"], json.dumps(rec, default=str))],
                                  "task_type string, primary_metric string, record string")
 
 
+def _one_feature(train: DataFrame, feature: str):
+    """The least-squares line of ``label`` on one column."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import LinearRegression
+    return Pipeline(stages=[VectorAssembler(inputCols=[feature], outputCol="features"),
+                            LinearRegression(labelCol="label", featuresCol="features", solver="normal", regParam=0.0)]).fit(train)
+
+
+_BLEND_FOLDS = 3
+
+
+@register("blend_weights", f"""
+WITH r AS (SELECT o_orderkey, o_orderstatus, o_totalprice / 10000 AS a, c_acctbal / 500 AS b,
+                  row_number() OVER (ORDER BY md5(o_orderkey::VARCHAR || 'fold42')) % {_BLEND_FOLDS} AS fold
+           FROM orders JOIN customer ON o_custkey = c_custkey),
+y AS (SELECT *, a + b AS label FROM r),
+m AS (SELECT f.fold, regr_slope(label, a) AS sa, regr_intercept(label, a) AS ia, regr_slope(label, b) AS sb, regr_intercept(label, b) AS ib
+      FROM (SELECT DISTINCT fold FROM y) f JOIN y ON y.fold <> f.fold GROUP BY f.fold),
+e AS (SELECT o_orderstatus, ia + sa * a - label AS ea, ib + sb * b - label AS eb FROM y JOIN m USING (fold)),
+g AS (SELECT o_orderstatus, count(*) AS n, avg(ea * ea) AS aa, avg(ea * eb) AS ab, avg(eb * eb) AS bb FROM e GROUP BY o_orderstatus)
+SELECT o_orderstatus, n, round(sqrt(aa), 4) AS rmse_price, round(sqrt(bb), 4) AS rmse_balance,
+       round(greatest(0, least(1, (bb - ab) / (aa - 2 * ab + bb))), 4) AS weight_price,
+       round(1 - greatest(0, least(1, (bb - ab) / (aa - 2 * ab + bb))), 4) AS weight_balance
+FROM g""")
+def blend_weights(spark: SparkSession, sf: str) -> DataFrame:
+    """M3: out-of-fold predictions of two candidates, their error Gram matrix per order status, convex weights."""
+    from verdin.operators import search
+    o, c = table(spark, sf, "orders"), table(spark, sf, "customer")
+    rows = o.join(c, o.o_custkey == c.c_custkey).select("o_orderkey", "o_orderstatus", (F.col("o_totalprice") / 10000).alias("price"),
+                                                        (F.col("c_acctbal") / 500).alias("balance"))
+    rows = ml.balanced_checkpoint(search.fold_column(rows.withColumn("label", F.col("price") + F.col("balance")), "o_orderkey", _BLEND_FOLDS), "o_orderkey")
+    models = {f: [_one_feature(rows.where(F.col("fold") != k), f) for k in range(_BLEND_FOLDS)] for f in ("price", "balance")}
+    predict = dict.fromkeys(models, lambda model, frame: model.transform(frame).withColumn("p", F.array("prediction")))
+    oof = search.out_of_fold(rows, ["o_orderkey", "o_orderstatus", "label"], models, predict)
+    found = search.gram(oof, list(models), "regression", ["o_orderstatus"]).collect()      # a row per status
+    out = []
+    for r in found:
+        w = search.convex_weights(search.gram_matrix(r, 2))
+        out.append((r["o_orderstatus"], r["n"], r["g_0_0"] ** 0.5, r["g_1_1"] ** 0.5, float(w[0]), float(w[1])))
+    df = spark.createDataFrame(out, "o_orderstatus string, n long, rmse_price double, rmse_balance double, weight_price double, weight_balance double")
+    return df.select("o_orderstatus", "n", *[F.round(x, 4).alias(x) for x in df.columns[2:]])
+
+
 def _bundle(spark: SparkSession, sf: str) -> forecast.ForecastBundle:
     return forecast.train_forecaster(hourly_events(spark, sf), ["series_id"], "ts", "y")
 

@@ -208,8 +208,11 @@ def delete_path(spark: SparkSession, path: str) -> bool:
 
 
 def save_model_bundle(spark: SparkSession, model, path: str) -> str:
-    """Pipeline + projector via Spark ML writers, training record as JSON."""
-    model.pipeline.write().overwrite().save(f"{path}/pipeline")
+    """Pipeline (or the members of a blend) + projector via Spark ML writers, training record as JSON."""
+    if hasattr(model.pipeline, "members"):
+        model.pipeline.save(spark, f"{path}/pipeline")
+    else:
+        model.pipeline.write().overwrite().save(f"{path}/pipeline")
     model.projector.write().overwrite().save(f"{path}/projector")
     spark.createDataFrame([(json.dumps(model.record(), default=str),)], "record string") \
         .write.mode("overwrite").json(f"{path}/record")
@@ -220,10 +223,12 @@ def load_model_bundle(spark: SparkSession, path: str):
     from pyspark.ml import PipelineModel
 
     from verdin.operators.ml import TabularModel, TemporalProjector
+    from verdin.operators.search import Blend
     rec = json.loads(spark.read.json(f"{path}/record").first()["record"])
-    return TabularModel(PipelineModel.load(f"{path}/pipeline"), rec["task_type"], rec["target"], rec["features"],
+    pipeline = Blend.load(spark, f"{path}/pipeline") if rec.get("composition") else PipelineModel.load(f"{path}/pipeline")
+    return TabularModel(pipeline, rec["task_type"], rec["target"], rec["features"],
                         rec["numeric"], rec["categorical"], rec["classes"], TemporalProjector.load(f"{path}/projector"),
-                        rec["metrics"], rec["importances"], rec["backend"], rec["warnings"])
+                        rec["metrics"], rec["importances"], rec["backend"], rec["warnings"], rec.get("composition") or {})
 
 
 def write_holdout(holdout: DataFrame, path: str) -> None:
