@@ -132,6 +132,43 @@ def test_lattice_sums_all_segmentations():
     assert math.isclose(total, 1, rel_tol=1e-9) and math.isfinite(lattice.word("x" * 5000))
 
 
+def test_many_words_at_once_equal_one_by_one(monkeypatch):
+    rnd = random.Random(8)
+    words = ["".join(rnd.choice("aethnors éß日🎉▁0") .strip() or "x" for _ in range(rnd.choice([1, 2, 5, 9, 17, 46, 47, 48, 49, 200]))) for _ in range(300)] + ["the", "the"]
+    counts = np.array([rnd.randint(1, 9) for _ in words], float)
+    lattice = lattice_lm.from_vocabulary(PIECES)
+    want: dict = {}
+    for w, c in zip(words, counts, strict=True):
+        lattice.expected(w, c, want)
+    for many in (7, 1000):
+        monkeypatch.setattr(lattice_lm, "MANY", many)
+        assert np.allclose(lattice.marginals(words), [lattice.word(w) for w in words], rtol=1e-12)
+        got: dict = {}
+        lattice.expected_all(words, counts, got)
+        assert {k for k, v in want.items() if v > 1e-200} <= got.keys() and all(math.isclose(v, want.get(k, 0.0), rel_tol=1e-8, abs_tol=1e-12) for k, v in got.items())
+    assert lattice.marginals([]).tolist() == []
+
+
+def test_thousands_of_equal_rows_are_dealt(spark, monkeypatch):
+    sizes = []
+    df = spark.range(20_000).selectExpr("5 AS doc_id", "'the same words of the same row' AS text")
+    got = lattice_lm.score(df, PIECES, F.lit(True), block_bytes=50_000).collect()
+    assert len(got) == 20_000 and len(set(got)) == 1 and got[0].train_tokens == 20_000 * 8 and got[0].n_known == 8
+    real = lattice_lm.Block.closed
+
+    def closed(block):
+        sizes.append(sum(map(len, block.ids)))
+        return real(block)
+
+    monkeypatch.setattr(lattice_lm.Block, "closed", closed)
+    block = lattice_lm.Block()
+    block.add(pa.RecordBatch.from_pydict({"doc_id": [1, None], "text": ["a b a", ""], "train": [True, False]}))
+    words, n, rest = block.closed()
+    ids, each, index = lattice_lm.Block.opened(rest)
+    assert words.to_pylist() == ["a", "b"] and n.tolist() == [2, 1] and ids == [1, None] and each.tolist() == [3, 0] and index.tolist() == [0, 0, 1]
+    assert sizes == [2]
+
+
 def test_words_of_a_slice():
     texts = [f"Ähre {i} THE\tthe  \u00a0x" if i % 7 else None for i in range(900)]
     for a, n in ((0, 900), (300, 400), (899, 1)):

@@ -11,24 +11,91 @@ probabilities; where they are merge ranks (whole numbers), by Zipf's law over th
 re-estimations follow: expected piece counts over all segmentations of all training words, by their
 counts, with the first probabilities as a prior of ``strength`` pieces.  Pieces stay as they are.
 
-Blocks of documents (by id and text hash, some ``block_bytes`` each) ask for the figures of their
-distinct words, so the table of all words is joined once for each block and word, not for each
-occurrence, and never leaves the executors.  Null text: empty, the end alone.  Repeated rows each count.
+A block of documents (the rows that a task reads one after another, some ``block_bytes`` each) asks once for
+the figures of each of its distinct words and keeps its documents as sorted word numbers, so texts are split
+once and never shuffled, equal rows are dealt like any others, the table of all words is joined once for each block and word, not for each
+occurrence, and never leaves the executors.  Words are summed up in numpy, many at once; words of over
+``LONG`` characters one by one, to the same values.  Null text: empty, the end alone.  Repeated rows each count.  Texts are scored whole,
+however long.  An empty table gives no rows; other columns are never read.
 """
 
 from __future__ import annotations
 
 import math
+import pickle
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from verdin.llm.common import ship_package, stored
 
 START = "▁"
+LONG = 48           # characters of a word (with its mark) that are summed up in numpy
+MANY = 200_000      # words handled at once
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xC4CEB9FE1A85EC53)
+    return x ^ (x >> np.uint64(32))
+
+
+class Pieces:
+    """Places of pieces by rolling 64-bit hashes of their characters, in a few open tables: a hash that
+    finds its cell taken goes to the next table, by other bits of it."""
+
+    BASE = np.uint64(0x9E3779B97F4A7C15)
+
+    def __init__(self, pieces: list[str]):
+        self.widest = max(map(len, pieces), default=1)
+        self.powers = np.cumprod(np.full(max(self.widest, LONG) + 2, self.BASE, np.uint64)) * np.uint64(pow(int(self.BASE), -1, 1 << 64))
+        hashes = np.stack(self.prefixes(self.codes(pieces)))[np.fromiter(map(len, pieces), np.int64, len(pieces)), np.arange(len(pieces))]
+        self.hashes, self.layers, left, shift = np.append(hashes, np.uint64(0)), [], np.arange(len(pieces)), 0
+        bits = max(4, (4 * max(1, len(pieces))).bit_length())
+        while len(left):
+            cell = self._cell(hashes[left], shift, bits)
+            table = np.full(1 << bits, len(pieces), np.int32)
+            table[cell] = left
+            self.layers.append((table, shift, bits))
+            left = left[table[cell] != left]
+            shift, bits = shift + 7, max(8, bits - 2)
+
+    @staticmethod
+    def _cell(h: np.ndarray, shift: int, bits: int) -> np.ndarray:
+        return ((h >> np.uint64(shift)) & np.uint64((1 << bits) - 1)).astype(np.int64)
+
+    @staticmethod
+    def codes(words: list[str]) -> np.ndarray:
+        """Characters (from 1) of words, a row a place, filled up with zeros."""
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        flat = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
+        out = np.zeros((int(sizes.max(initial=0)), len(words)), np.uint32)
+        which = np.repeat(np.arange(len(words)), sizes)
+        out[np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes), which] = flat + 1
+        return out
+
+    def prefixes(self, codes: np.ndarray) -> list[np.ndarray]:
+        total = np.zeros(codes.shape[1], np.uint64)
+        out = [total]
+        for row in codes:
+            total = total * self.BASE + _mix(row.astype(np.uint64))
+            out.append(total)
+        return out
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """The place of each hash; the number of pieces where it is none."""
+        none = len(self.hashes) - 1
+        found = np.full(len(hashes), none, np.int32)
+        for table, shift, bits in self.layers:
+            place = table[self._cell(hashes, shift, bits)]
+            hit = (self.hashes[place] == hashes) & (place < none)
+            found[hit] = place[hit]
+        return found
 
 
 class Lattice:
@@ -70,6 +137,95 @@ class Lattice:
             alpha.append(total)
         return alpha
 
+    def __getstate__(self):
+        return {k: v for k, v in self.__dict__.items() if k != "_tables"}
+
+    def tables(self):
+        """(hash tables of the pieces, their log probabilities, the pieces)."""
+        if "_tables" not in self.__dict__:
+            names = list(self.pieces)
+            self._tables = Pieces(names), np.array([self.pieces[p] for p in names]), names
+        return self._tables
+
+    def _sweep(self, words: list[str]):
+        """Forward recursion of many words at once: (log alpha by place, edges by end), longest words first.  An
+        edge (start, rows, log probability, piece) with piece -1 is a character spelled in bytes."""
+        table, lp, _ = self.tables()
+        codes = table.codes(words)
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        hashes = table.prefixes(codes)
+        reach = np.searchsorted(-sizes, -np.arange(len(codes) + 1), "right")   # words of at least j characters
+        spell = {int(c): sum(self.spelled[b] for b in chr(int(c) - 1).encode()) for c in np.unique(codes) if c}
+        known = np.array(sorted(spell), np.uint32)
+        cost = np.array([spell[int(c)] for c in known])
+        alpha, edges = [np.zeros(len(words))], []
+        for j in range(1, len(codes) + 1):
+            n = int(reach[j])
+            total, ending = np.full(n, -np.inf), []
+            for i in range(max(0, j - table.widest), j):
+                place = table.find(hashes[j][:n] - hashes[i][:n] * table.powers[j - i])
+                rows = np.flatnonzero(place < len(lp))
+                if i == j - 1:
+                    bare = np.flatnonzero(place == len(lp))
+                    if len(bare):
+                        ending.append((i, bare, cost[np.searchsorted(known, codes[i][bare])], -1))
+                if len(rows):
+                    ending.append((i, rows, lp[place[rows]], place[rows]))
+            for i, rows, weight, _ in ending:
+                total[rows] = np.logaddexp(total[rows], alpha[i][rows] + weight)
+            alpha.append(total)
+            edges.append(ending)
+        return alpha, edges, codes, sizes
+
+    def _in_order(self, words: list[str]):
+        """Places of the words by falling length, those too long for a sweep apart, as (sweeps of places, single places)."""
+        sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
+        order = np.argsort(-sizes, kind="stable")
+        long = int((sizes > LONG).sum())
+        return [order[x:x + MANY] for x in range(long, len(order), MANY)], order[:long]
+
+    def marginals(self, words: list[str]) -> np.ndarray:
+        """``word`` of each word."""
+        out = np.zeros(len(words))
+        sweeps, single = self._in_order(words)
+        for at in sweeps:
+            alpha, _, _, sizes = self._sweep([START + words[k] for k in at])
+            out[at] = [alpha[n][k] for k, n in enumerate(sizes)]
+        for k in single:
+            out[k] = self.word(words[k])
+        return out
+
+    def expected_all(self, words: list[str], counts: np.ndarray, into: dict) -> None:
+        """``expected`` of each word with its count."""
+        sweeps, single = self._in_order(words)
+        names = self.tables()[2]
+        sums, bare = np.zeros(len(names)), {}
+        for at in sweeps:
+            alpha, edges, codes, sizes = self._sweep([START + words[k] for k in at])
+            count, k = counts[at].astype(float), np.arange(len(at))
+            beta = [np.full(len(at), -np.inf) for _ in range(len(codes) + 1)]
+            whole = np.zeros(len(at))
+            for n in np.unique(sizes):
+                of = k[sizes == n]
+                beta[n][of], whole[of] = 0.0, alpha[n][of]
+            for j in range(len(codes), 0, -1):
+                for i, rows, weight, place in edges[j - 1]:
+                    x = weight + beta[j][rows]
+                    beta[i][rows] = np.logaddexp(beta[i][rows], x)
+                    p = np.exp(np.minimum(0.0, alpha[i][rows] + x - whole[rows])) * count[rows]
+                    if isinstance(place, int):
+                        for c, v in zip(*_totals(codes[i][rows], p), strict=True):
+                            bare[c] = bare.get(c, 0.0) + v
+                    else:
+                        sums += np.bincount(place, weights=p, minlength=len(names))
+        for k in np.flatnonzero(sums):
+            into[names[k]] = into.get(names[k], 0.0) + float(sums[k])
+        for c, v in bare.items():
+            for b in chr(c - 1).encode():
+                into[b] = into.get(b, 0.0) + v
+        for k in single:
+            self.expected(words[k], counts[k], into)
+
     def word(self, word: str) -> float:
         """Natural-log marginal probability of one word."""
         return self.forward(START + word)[-1]
@@ -94,6 +250,11 @@ class Lattice:
                         into[b] = into.get(b, 0.0) + p
 
 
+def _totals(keys: np.ndarray, values: np.ndarray):
+    kinds, at = np.unique(keys, return_inverse=True)
+    return kinds.tolist(), np.bincount(at, weights=values).tolist()
+
+
 def from_vocabulary(path: str) -> Lattice:
     """The lattice of a sentencepiece model, from the scores in it."""
     import sentencepiece
@@ -120,12 +281,46 @@ def _distinct(texts: pa.Array, weight: np.ndarray):
     return coded.dictionary, index, per, np.bincount(index, weights=weight[per], minlength=len(coded.dictionary))
 
 
-def _blocked(docs: DataFrame, train: Column, doc_id: str, text: str, block_bytes: int):
-    body = F.coalesce(docs[text], F.lit(""))
-    total = docs.agg(F.sum(F.octet_length(body))).first()[0] or 0
-    blocks = max(1, math.ceil(total / block_bytes))
-    rows = docs.select(docs[doc_id].cast("long").alias("doc_id"), body.alias("text"))
-    return rows.withColumn("train", train).withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int"))
+class Block:
+    """Documents as sorted numbers of the block's distinct words."""
+
+    def __init__(self):
+        self.ids, self.sizes, self.words, self.train, self.bytes = [], [], [], [], 0
+
+    def add(self, batch: pa.RecordBatch) -> None:
+        """A batch of doc_id, text, train."""
+        for x in range(0, batch.num_rows, 2000):
+            part = batch.slice(x, 2000)
+            texts, train = part.column(1), np.asarray(part.column(2).cast(pa.int8()), np.float64)
+            words, index, per, _ = _distinct(texts, train)
+            self.ids.append(part.column(0))
+            self.sizes.append(np.bincount(per, minlength=part.num_rows))
+            self.words.append(pa.DictionaryArray.from_arrays(pa.array(index.astype(np.int32)), words.cast(pa.large_string())))
+            self.train.append(train[per])
+            self.bytes += int(pc.sum(pc.binary_length(texts)).as_py() or 0)
+
+    def closed(self) -> tuple[pa.Array, np.ndarray, bytes]:
+        """(distinct words, their training occurrences, the rest)."""
+        joined = pa.chunked_array(self.words).unify_dictionaries()
+        words = joined.chunk(0).dictionary
+        index = np.concatenate([np.asarray(c.indices, np.int64) for c in joined.chunks])
+        n = np.bincount(index, weights=np.concatenate(self.train), minlength=len(words)).astype(np.int64)
+        sizes = np.concatenate(self.sizes)
+        doc = np.repeat(np.arange(len(sizes)), sizes)
+        index = np.sort(doc * len(words) + index) - doc * len(words)     # sorted inside each document
+        step = np.diff(index, prepend=0)
+        first = (np.cumsum(sizes) - sizes)[sizes > 0]
+        step[first] = index[first]
+        rest = {"ids": pa.chunked_array(self.ids).to_pylist(), "sizes": sizes, "step": [(step >> s & 255).astype(np.uint8) for s in (0, 8, 16, 24)]}
+        return words, n, zstandard.ZstdCompressor(level=1).compress(pickle.dumps(rest))
+
+    @staticmethod
+    def opened(data: bytes) -> tuple[list, np.ndarray, np.ndarray]:
+        """(ids, words of each document, numbers of the words)."""
+        rest = pickle.loads(zstandard.ZstdDecompressor().decompress(data))
+        step = sum(p.astype(np.int64) << s for p, s in zip(rest["step"], (0, 8, 16, 24), strict=True))
+        total, sizes = np.concatenate([[0], np.cumsum(step)]), rest["sizes"]
+        return rest["ids"], sizes, total[1:] - np.repeat(total[np.cumsum(sizes) - sizes], sizes)
 
 
 def score(docs: DataFrame, vocabulary: str, train: Column, doc_id: str = "doc_id", text: str = "text", rounds: int = 1,
@@ -134,22 +329,34 @@ def score(docs: DataFrame, vocabulary: str, train: Column, doc_id: str = "doc_id
     unigram) and score (the lattice's), both log10.  ``train``: a condition on doc_id."""
     spark = docs.sparkSession
     ship_package(spark)
-    blocked = _blocked(docs, train, doc_id, text, block_bytes)
-
-    def ask(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks()
-        block = table.column("block")[0].as_py() if table.num_rows else 0
-        seen: dict = {}
-        for batch in table.to_batches(max_chunksize=2000):
-            words, _, _, n = _distinct(batch.column("text"), np.asarray(batch.column("train").cast(pa.int8()), np.float64))
-            for w, c in zip(words.to_pylist(), n, strict=True):
-                seen[w] = seen.get(w, 0) + int(c)
-        return pa.table({"block": pa.array([block] * len(seen), pa.int32()), "word": pa.array(list(seen), pa.string()),
-                         "n": pa.array(list(seen.values()), pa.int64())})
-
-    asked = stored(blocked.groupBy("block").applyInArrow(ask, "block int, word string, n long"), "asked")
+    rows = docs.select(docs[doc_id].cast("long").alias("doc_id"), F.coalesce(docs[text], F.lit("")).alias("text")) \
+        .withColumn("train", F.coalesce(train, F.lit(False)))
+    names = ["block", "word", "n", "at", "payload"]
+
+    def rows_of(block: Block, name: str):
+        words, n, rest = block.closed()
+        for x in range(0, len(words), 200_000):
+            k = len(words[x:x + 200_000])
+            yield pa.RecordBatch.from_arrays([pa.array([name] * k, pa.string()), words.slice(x, k).cast(pa.string()), pa.array(n[x:x + k]),
+                                              pa.array(np.arange(x, x + k, dtype=np.int32)), pa.nulls(k, pa.binary())], names=names)
+        yield pa.RecordBatch.from_arrays([pa.array([name]), pa.nulls(1, pa.string()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32()),
+                                          pa.array([rest], pa.binary())], names=names)
+
+    def cut(batches):
+        part, number, block = TaskContext.get().partitionId(), 0, Block()
+        for batch in batches:
+            for x in range(0, batch.num_rows, 2000):
+                block.add(batch.slice(x, 2000))
+                if block.bytes >= block_bytes:
+                    yield from rows_of(block, f"{part}-{number}")
+                    number, block = number + 1, Block()
+        if block.ids:
+            yield from rows_of(block, f"{part}-{number}")
+
+    blocks = stored(rows.mapInArrow(cut, "block string, word string, n long, at int, payload binary"), "lm-blocks")
+    asked = blocks.where("payload is null").select(F.col("block").alias("of"), "word", "n", "at")
     counts = stored(asked.groupBy("word").agg(F.sum("n").alias("c")), "counts")
-    ends = blocked.where("train").count()
+    ends = rows.where("train").count()
     known = counts.where("c > 0").agg(F.count("*").alias("v"), F.coalesce(F.sum("c"), F.lit(0)).alias("n")).first()
     tokens, kinds = known["n"] + ends, known["v"] + (ends > 0)
     lattice = from_vocabulary(vocabulary)
@@ -158,41 +365,51 @@ def score(docs: DataFrame, vocabulary: str, train: Column, doc_id: str = "doc_id
     shared = spark.sparkContext.broadcast(lattice)   # as large as the vocabulary
 
     def weigh(batches):
-        for batch in batches:
-            c = np.asarray(batch.column("c"), np.float64)
+        for words, c in _joined(batches):
             yield pa.RecordBatch.from_arrays(
-                [batch.column("word"), pa.array(c > 0), pa.array(np.log10((c + 1) / (tokens + kinds + 1))),
-                 pa.array([shared.value.word(w) / math.log(10) for w in batch.column("word").to_pylist()], pa.float64())],
-                names=["word", "known", "base", "marginal"])
+                [words, pa.array(c > 0), pa.array(np.log10((c + 1) / (tokens + kinds + 1))),
+                 pa.array(shared.value.marginals(words.to_pylist()) / math.log(10))], names=["word", "known", "base", "marginal"])
 
     weights = stored(_spread(counts).mapInArrow(weigh, "word string, known boolean, base double, marginal double"), "weights")
-    answers = asked.select("block", "word").join(weights, "word").select("block", "word", "known", "base", "marginal")
+    answers = asked.select("of", "at", "word").join(weights, "word").select("of", "at", "known", "base", "marginal")
     end_base, end_marginal, end_known = math.log10((ends + 1) / (tokens + kinds + 1)), lattice.end / math.log(10), int(ends > 0)
 
     def tell(left: pa.Table, right: pa.Table) -> pa.Table:
-        right = right.combine_chunks()
-        vocabulary_ = right.column("word").cast(pa.large_string()).combine_chunks() if right.num_rows else pa.array([], pa.large_string())
-        columns = [np.asarray(right.column(c).combine_chunks().cast(pa.float64()) if right.num_rows else [], np.float64) for c in ("known", "base", "marginal")]
-        out = []
-        for batch in left.combine_chunks().to_batches(max_chunksize=2000):
-            words, index, per, _ = _distinct(batch.column("text"), np.ones(batch.num_rows))
-            at = pc.index_in(words, value_set=vocabulary_)
-            if at.null_count:
-                raise RuntimeError("a word of the block has no figures")
-            at = np.asarray(at, np.int64)[index] if len(index) else np.zeros(0, np.int64)
-            n = np.bincount(per, minlength=batch.num_rows)
-            k, b, m = (np.bincount(per, weights=c[at], minlength=batch.num_rows) for c in columns)
-            out.append(pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(n + 1, pa.int64()), pa.array(np.rint(k).astype(np.int64) + end_known),
-                 pa.array(np.full(batch.num_rows, tokens, np.int64)), pa.array(b + end_base), pa.array(m + end_marginal)],
-                names=["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"]))
-        return pa.Table.from_batches(out, pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()),
-                                                     ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())]))
-
-    return blocked.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(
+        ids, sizes, index = Block.opened(left.column("payload")[0].as_py())
+        at, doc, sums = np.asarray(right.column("at"), np.int64), np.repeat(np.arange(len(sizes)), sizes), []
+        for c in ("known", "base", "marginal"):
+            value = np.full(int(index.max(initial=-1)) + 1, np.nan)
+            value[at] = np.asarray(right.column(c).cast(pa.float64()))
+            sums.append(np.bincount(doc, weights=value[index], minlength=len(sizes)))
+        k, b, m = sums
+        if not np.isfinite(k).all():
+            raise RuntimeError("a word of the block has no figures")
+        return pa.table({"doc_id": pa.array(ids, pa.int64()), "n_tokens": pa.array(sizes.astype(np.int64) + 1), "n_known": pa.array(np.rint(k).astype(np.int64) + end_known),
+                         "train_tokens": pa.array(np.full(len(sizes), tokens, np.int64)), "base_score": pa.array(b + end_base), "score": pa.array(m + end_marginal)})
+
+    held = blocks.where("payload is not null").select("block", "payload")
+    return held.groupBy("block").cogroup(answers.groupBy("of")).applyInArrow(
         tell, "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
+def _joined(batches):
+    """(words, counts) of runs of Arrow batches of about ``MANY`` rows."""
+    held, rows = [], 0
+    for batch in batches:
+        held.append(batch)
+        rows += batch.num_rows
+        if rows >= MANY:
+            yield _run(held)
+            held, rows = [], 0
+    if rows:
+        yield _run(held)
+
+
+def _run(held: list):
+    table = pa.Table.from_batches(held)
+    return table.column("word").combine_chunks(), np.asarray(table.column("c"), np.float64)
+
+
 def _spread(df: DataFrame) -> DataFrame:
     """Deal rows of costly work over at least as many tasks as the session shuffles into."""
     return df.repartition(max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1))
@@ -204,9 +421,8 @@ def estimate(lattice: Lattice, counts: DataFrame, ends: int, strength: float) ->
 
     def expect(batches):
         into: dict = {}
-        for batch in batches:
-            for w, c in zip(batch.column("word").to_pylist(), batch.column("c").to_pylist(), strict=True):
-                shared.value.expected(w, c, into)
+        for words, c in _joined(batches):
+            shared.value.expected_all(words.to_pylist(), c, into)
         if into:
             yield pa.RecordBatch.from_arrays(
                 [pa.array([k if isinstance(k, str) else None for k in into], pa.string()),
