@@ -1,3 +1,5 @@
+import math
+
 from pyspark.sql import functions as F
 
 from verdin.functions.timefuncs import parse_timestamp
@@ -35,3 +37,19 @@ def test_every_eligible_series_is_forecast(spark):
     points = forecast.recursive_forecast(b, steps=2).collect()
     assert sorted((p["series_id"] or "", p["step"]) for p in points) == sorted((k or "", n) for k in eligible for n in (1, 2))
     assert all(p["prediction"] is not None for p in points)
+
+
+def test_series_of_any_scale_with_nulls_and_repeats(spark):
+    """A daily wave on levels 1 and 1000 (amplitude a fifth): each forecast stays within 5 % of its level."""
+    rows = [(k, i, level * (1 + 0.2 * math.sin(2 * math.pi * i / 24))) for k, level in (("small", 1.0), ("large", 1000.0), ("flat", None)) if level for i in range(240)]
+    rows += [("flat", i, 7.0) for i in range(60)] + [("small", 5, None), ("small", 500, float("nan")), ("large", 6, None), ("large", 6, -5.0), (None, 3, None)]
+    s = spark.createDataFrame(rows, "series_id string, i int, y double").select(
+        "series_id", F.timestamp_add("HOUR", F.col("i"), F.lit("2024-01-01").cast("timestamp_ntz")).alias("ts"), "y")
+    s = s.unionByName(s.limit(1).select("series_id", F.lit(None).cast("timestamp_ntz").alias("ts"), F.lit(3.0).alias("y")))
+    b = forecast.train_forecaster(s, ["series_id"], num_trees=30, max_depth=8)
+    points = forecast.recursive_forecast(b, steps=24, horizon_minutes=60).collect()
+    got = {k: {p["step"]: p["prediction"] for p in points if p["series_id"] == k} for k in ("small", "large", "flat")}
+    for k, level in (("small", 1.0), ("large", 1000.0)):
+        assert len(got[k]) == 24 and all(abs(v - level * (1 + 0.2 * math.sin(2 * math.pi * (239 + step) / 24))) < 0.05 * level for step, v in got[k].items())
+    assert all(abs(v - 7.0) < 1e-6 for v in got["flat"].values())
+    assert b.training_rows == 2 * (240 - 48) + 60 - 48 and {r["series_id"] for r in b.historical_fit.collect()} == {"small", "large", "flat"}

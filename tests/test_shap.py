@@ -78,3 +78,40 @@ def test_coalitions_within_the_budget_carry_the_kernel_mass():
     total = sum(11 / (s * (12 - s)) for s in range(1, 12))
     assert abs(sum(w for _, w in a) - total) < 1e-9
     assert len(shap.coalitions(5, 30)) == 30
+
+
+def test_values_of_text_and_time_columns_are_exact(spark):
+    """A score over a number, a category and a raw timestamp; brute force over the typed values."""
+    import datetime as dt
+    day = dt.datetime(2024, 1, 1)
+    rows = [(i, float(i % 5), "xyz"[i % 3] if i != 4 else None, day + dt.timedelta(hours=7 * i), i % 2 == 0) for i in range(10)]
+    df = spark.createDataFrame(rows, "id long, a double, kind string, at timestamp_ntz, flag boolean")
+    bg = df.orderBy("id").limit(3)
+
+    def score(frame):
+        assert dict(frame.dtypes)["kind"] == "string" and dict(frame.dtypes)["at"] == "timestamp_ntz"
+        return frame.withColumn("score", F.col("a") * F.when(F.col("kind") == "x", 3.0).when(F.col("kind").isNull(), -1.0).otherwise(1.0)
+                                + F.hour("at") * F.col("a") / 5 + F.col("flag"))
+
+    f = lambda z: z[0] * {"x": 3.0, None: -1.0}.get(z[1], 1.0) + z[2].hour * z[0] / 5 + float(z[3])
+    feats = ["a", "kind", "at", "flag"]
+    out = shap.kernel_shap(df, bg, feats, "id", score).toPandas()
+    for rid, g in out.groupby("row_id"):
+        exp = _exact_shapley(f, list(rows[rid])[1:], [list(r)[1:] for r in rows[:3]])
+        assert np.allclose(g.set_index("feature").loc[feats, "shap_value"].to_numpy(), exp, atol=1e-9)
+    top = {r["row_id"]: {x["feature"]: x for x in r["top_factors"]} for r in shap.shap_top_factors(
+        spark.createDataFrame(out), df, "id", dict(zip(feats, rows[0][1:], strict=True))).collect()}
+    assert top[1]["kind"]["value"] is None and top[1]["kind"]["value_text"] == "y" and top[1]["kind"]["baseline_text"] == "x"
+    assert top[1]["a"]["value"] == 1.0 and top[1]["a"]["baseline"] == 0.0
+
+
+def test_fallback_tells_its_reason(spark):
+    df = spark.createDataFrame([(1, 2.0), (2, 5.0)], "id long, a double")
+
+    def broken(frame):
+        raise ValueError("no such model")
+
+    method, factors, reason = shap.explain_rows(None, df, df, ["a"], "id", broken, lambda: df)
+    assert method == "proxy-feature-impact" and "no such model" in reason and factors.count() == 2
+    method, _, reason = shap.explain_rows(None, df, df, ["a"], "id", lambda g: g.withColumn("score", F.col("a")), lambda: df)
+    assert method == "shap-kernel" and reason is None

@@ -1,7 +1,10 @@
 """Autoregressive forecasting for many series at once.
 
-Every eligible series is forecast.  Series of the same required history (W5) use the same
-lags and share a forest (series id is a partition key, not a feature).  The recursive forecast keeps, per series,
+Every eligible series is forecast.  Rows without a time or a value go first, and of one time the last
+value counts.  Series of the same required history (W5) use the same lags and share a forest.  Each series is
+learned and forecast on its own scale: the features of a series are taken from its mean and divided by its deviation, and
+predictions go back the same way, so series of any level can share the trees; the scale is part of
+the series' state.  For the evaluation the scale is that of the training rows alone.  The recursive forecast keeps, per series,
 the last ``max(required, 240)`` values as an array column; each step builds the
 feature row from that array with array functions, scores *all series in one
 transform*, appends the prediction and cuts lineage with a reliable
@@ -49,7 +52,7 @@ class Regime:
     widths: list[int]
     required: int
     history_window: int
-    state: DataFrame            # keys, history array<double>, last_ts, cadence_minutes
+    state: DataFrame            # keys, history array<double>, last_ts, cadence_minutes, the series' scale
 
 
 @dataclass
@@ -78,6 +81,46 @@ def _forest(num_trees: int, seed: int, max_depth: int, features: Sequence[str])
                               cacheNodeIds=True, checkpointInterval=10)])
 
 
+def clean_series(series: DataFrame, keys: Sequence[str], ts: str, y: str) -> DataFrame:
+    """Rows with a time and a finite value; of one time the largest value (the order of equal times is not defined)."""
+    value = F.col(y).cast("double")
+    usable = F.col(ts).isNotNull() & value.isNotNull() & ~F.isnan(value) & (F.abs(value) < float("inf"))
+    return series.where(usable).groupBy(*keys, ts).agg(F.max(value).alias(y))
+
+
+def series_scale(rows: DataFrame, keys: Sequence[str], y: str = "y") -> DataFrame:
+    """Mean and deviation of each series; a flat series has deviation 0, and its forecast is its level."""
+    return rows.groupBy(*keys).agg(F.avg(y).alias("_mean"), F.stddev_pop(y).alias("_spread"))
+
+
+def _share(c: Column) -> Column:
+    return F.when(F.col("_spread") > 0, c / F.col("_spread")).otherwise(F.lit(0.0))
+
+
+def _with(df: DataFrame, side: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``side`` columns (one row a series) on the rows of the series; a null key is a series too."""
+    named = side.select(*[F.col(k).alias(f"_k_{k}") for k in keys], *[c for c in side.columns if c not in keys])
+    same = [df[k].eqNullSafe(named[f"_k_{k}"]) for k in keys] or [F.lit(True)]
+    return df.join(named, same, "left").drop(*[f"_k_{k}" for k in keys])
+
+
+def on_own_scale(df: DataFrame, features: Sequence[str]) -> DataFrame:
+    """Features in units of the series: levels from the mean, differences and deviations by their size."""
+    sizes = [c for c in features if c.startswith("target_roll_std_") or c == "target_diff_1"]
+    levels = [c for c in features if c.startswith("target_") and c not in sizes]
+    return df.withColumns({**{c: _share(F.col(c) - F.col("_mean")) for c in levels}, **{c: _share(F.col(c)) for c in sizes}})
+
+
+def _fitted(pipeline: Pipeline, rows: DataFrame, features: Sequence[str]) -> PipelineModel:
+    return pipeline.fit(on_own_scale(rows, features).withColumn("y", _share(F.col("y") - F.col("_mean"))))
+
+
+def _predicted(model: PipelineModel, rows: DataFrame, features: Sequence[str]) -> DataFrame:
+    """``rows`` with the prediction in the series' own units."""
+    own = [c for c in rows.columns if c not in features]
+    return model.transform(on_own_scale(rows, features)).withColumn("prediction", F.col("_mean") + F.col("_spread") * F.col("prediction")).select(*own, "prediction")
+
+
 def train_forecaster(series: DataFrame, keys: Sequence[str], ts: str = "ts", y: str = "y",
                      num_trees: int = FORECAST_TREES, seed: int = 42, max_depth: int = 5) -> ForecastBundle:
     """Eligibility (W5), supervised rows (W4 + X3), chronological 80/20 evaluation (W7) with
@@ -86,6 +129,7 @@ def train_forecaster(series: DataFrame, keys: Sequence[str], ts: str = "ts", y:
     Every eligible series is trained, with the lags and widths that its length allows: series of
     the same required history share a forest.  Raises ValueError when no series is eligible."""
     keys = list(keys)
+    series = clean_series(series, keys, ts, y).checkpoint(eager=True)
     gate = series_gate(series, keys).filter("eligible").select(*keys, "required_history").checkpoint(eager=True)
     needs = [r[0] for r in gate.select("required_history").distinct().orderBy(F.desc("required_history")).collect()]
     if not needs:
@@ -104,11 +148,14 @@ def train_forecaster(series: DataFrame, keys: Sequence[str], ts: str = "ts", y:
         rows = balanced_checkpoint(rows, *keys, ts)
         split = chrono_split(rows, keys, [ts])
         train, test = split.filter(F.col("split") == "train"), split.filter(F.col("split") == "test")
-        eval_model = _forest(num_trees, seed, max_depth, features).fit(train)
-        scored.append(eval_model.transform(test).select("y", "prediction"))
-        model = _forest(num_trees, seed, max_depth, features).fit(rows)
-        fits.append(model.transform(rows).select(*keys, ts, F.col("y").alias("target"),
-                                                 F.bround("prediction", 6).alias("prediction")))
+        past = series_scale(train, keys)
+        eval_model = _fitted(_forest(num_trees, seed, max_depth, features), _with(train, past, keys), features)
+        scored.append(_predicted(eval_model, _with(test, past, keys), features).select("y", "prediction"))
+        scale = series_scale(rows, keys)
+        scaled = _with(rows, scale, keys)
+        model = _fitted(_forest(num_trees, seed, max_depth, features), scaled, features)
+        fits.append(_predicted(model, scaled, features).select(*keys, ts, F.col("y").alias("target"),
+                                                               F.bround("prediction", 6).alias("prediction")))
         window = max(need, HISTORY_TAIL_ROWS)
         tail = series_tail(s, keys, [ts], window)
         state = (tail.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col("_pos"), F.col(y).cast("double").alias("v"))))
@@ -116,7 +163,8 @@ def train_forecaster(series: DataFrame, keys: Sequence[str], ts: str = "ts", y:
                  .select(*keys, F.transform("_h", lambda e: e["v"]).alias("history"), "last_ts"))
         cad = cadence_minutes(s, keys, ts).select(*[F.col(k).alias(f"_c_{k}") for k in keys], "cadence_minutes")
         state = state.join(cad, [state[k].eqNullSafe(cad[f"_c_{k}"]) for k in keys], "left") \
-            .drop(*[f"_c_{k}" for k in keys]).checkpoint(eager=True)
+            .drop(*[f"_c_{k}" for k in keys])
+        state = _with(state, scale, keys).checkpoint(eager=True)
         regimes.append(Regime(model, features, lags, widths, need, window, state))
         n_rows += rows.count()
     k = len(regimes[0].features) + 1
@@ -166,7 +214,7 @@ def recursive_forecast(bundle: ForecastBundle, steps: int = DEFAULT_STEPS,
         for k in range(1, steps + 1):
             ts_k = F.timestamp_add("MINUTE", F.col("horizon_minutes") * k, F.col("last_ts"))
             feats = step_features(state, ts_k, regime.lags, regime.widths)
-            stepped = regime.model.transform(feats).select(*state.columns, "ts_step", "prediction").checkpoint(eager=True)
+            stepped = _predicted(regime.model, feats, regime.features).select(*state.columns, "ts_step", "prediction").checkpoint(eager=True)
             outputs.append(stepped.select(*keys, F.lit(k).alias("step"), F.col("ts_step").alias("ts"),
                                           F.bround("prediction", 6).alias("prediction"), "horizon_minutes",
                                           "cadence_minutes"))

@@ -1,8 +1,9 @@
 """Kernel SHAP as a distributed job.
 
 rows × coalitions × background rows are generated with ``explode`` over two
-literal arrays (coalition masks, ≤ 20 background rows — both bounded by
-construction) and scored in ONE model transform.  All rows share the masks and
+arrays (coalition masks, ≤ 20 background rows — both bounded by
+construction) and scored in ONE model transform.  Values are mixed raw, each column in its own type
+(number, text, time, date), before any projection or encoding of the model.  All rows share the masks and
 weights, so the constrained weighted least-squares solution is one fixed matrix, computed
 once on the driver (M × at most ``nsamples``): a SHAP value is a weighted sum of
 scores, taken by one grouped aggregate per row in built-in expressions.  All
@@ -22,6 +23,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from verdin.operators.profile import type_family
+
 MAX_BACKGROUND = 20
 
 
@@ -89,41 +92,41 @@ def kernel_shap(rows: DataFrame, background: DataFrame, features: Sequence[str],
     with base value E[f(background)] and the row's prediction f(x)."""
     features = list(features)
     m = len(features)
-    bg_rows = background.select(*features).limit(MAX_BACKGROUND).collect()   # ≤ 20 rows by construction
-    if not bg_rows:
+    # numbers as doubles; text, times and dates keep their type, so ``score`` gets what it gets for whole rows
+    typed = {f: F.col(f"`{f}`").cast("double") if type_family(rows.schema[f].dataType) in ("numeric", "boolean") else
+             F.col(f"`{f}`").cast(rows.schema[f].dataType) for f in features}
+    bg_df = background.select(*[c.alias(f) for f, c in typed.items()]).limit(MAX_BACKGROUND).checkpoint(eager=True)   # ≤ 20 rows
+    n_bg = bg_df.count()
+    if not n_bg:
         raise ValueError("background sample is empty")
     coal = coalitions(m, nsamples or default_nsamples(m), seed)
     matrix, of_base, of_total = solution(m, coal)
-    # the full coalition, scored with the first background row alone, is the row's own prediction
+    # the full coalition, scored with one background row alone, is the row's own prediction
     full = len(coal)
     every = [mask for mask, _ in coal] + [[True] * m]
     masks = F.array(*[F.struct(F.lit(i).alias("cid"), F.array(*[F.lit(b) for b in mask]).alias("mask"))
                       for i, mask in enumerate(every)])
-    bgs = F.array(*[F.struct(F.lit(i).alias("__at"), *[F.lit(float(r[f]) if r[f] is not None else None).cast("double").alias(f)
-                                                       for f in features]) for i, r in enumerate(bg_rows)])
     from verdin.operators.ml import balanced
+    from verdin.operators.profile import one_row_join
     # spread rows before the ×(coalitions × background) expansion so every core scores
-    base_rows = balanced(rows.select(F.col(id_col).alias("row_id"),
-                                     *[F.col(f).cast("double").alias(f) for f in features]), "row_id")
+    base_rows = balanced(rows.select(F.col(f"`{id_col}`").alias("row_id"), *[c.alias(f) for f, c in typed.items()]), "row_id")
+    sample = bg_df.agg(F.collect_list(F.struct(*[F.col(f"`{f}`") for f in features])).alias("__bgs"))    # one row
+    own = [F.col(f"`{f}`") for f in features]
     # internal names start with "__" so they cannot collide with feature names
-    synth = (base_rows.select("row_id", *features, F.explode(masks).alias("__coal"))
-             .select("row_id", "__coal", *features, F.explode(bgs).alias("__bg"))
-             .where((F.col("__coal.cid") < full) | (F.col("__bg.__at") == 0)))
+    synth = (one_row_join(base_rows, sample).select("row_id", *own, "__bgs", F.explode(masks).alias("__coal"))
+             .select("row_id", "__coal", *own, F.posexplode("__bgs").alias("__at", "__bg"))
+             .where((F.col("__coal.cid") < full) | (F.col("__at") == 0)))
     mixed = synth.select("row_id", F.col("__coal.cid").alias("cid"),
-                         *[F.when(F.col("__coal.mask")[j], F.col(f)).otherwise(F.col("__bg")[f]).alias(f)
+                         *[F.when(F.col("__coal.mask")[j], F.col(f"`{f}`")).otherwise(F.col("__bg")[f]).alias(f)
                            for j, f in enumerate(features)])
-    spark = rows.sparkSession
-    bg_df = spark.createDataFrame([tuple(float(r[f]) if r[f] is not None else None for f in features) for r in bg_rows],
-                                  ", ".join(f"`{f}` double" for f in features))
     base = score(bg_df).agg(F.avg("score").alias("base"))
 
     def weighed(j):
-        weights = F.array(*[F.lit(float(x) / len(bg_rows)) for x in matrix[j]], F.lit(0.0))
+        weights = F.array(*[F.lit(float(x) / n_bg) for x in matrix[j]], F.lit(0.0))
         return F.sum(F.col("score") * F.get(weights, F.col("cid"))).alias(f"__v{j}")
 
     sums = score(mixed).groupBy("row_id").agg(F.max(F.when(F.col("cid") == full, F.col("score"))).alias("fx"),
                                               *[weighed(j) for j in range(m)])
-    from verdin.operators.profile import one_row_join
     j = one_row_join(sums, base)
     each = [F.struct(F.lit(f).alias("feature"),
                      (F.col(f"__v{i}") - F.lit(float(of_base[i])) * F.col("base")
@@ -137,19 +140,21 @@ def kernel_shap(rows: DataFrame, background: DataFrame, features: Sequence[str],
 def shap_top_factors(shap_values: DataFrame, rows: DataFrame, id_col: str, background_first: dict | None = None,
                      k: int = 5) -> DataFrame:
     """K1: per row the k largest |SHAP| values (ties by feature order), zeros dropped after
-    picking; each factor carries value, first background value, direction, strength,
-    impact |φ| and φ (6 dp).  The per-row list holds one entry per feature (bounded)."""
+    picking; each factor carries value and first background value (as numbers, null where they are none, and as
+    text), direction, strength, impact |φ| and φ (6 dp).  The per-row list holds one entry per feature (bounded)."""
     from verdin.functions.numeric import strength
     feats = [r["feature"] for r in shap_values.select("feature").distinct().orderBy("feature").collect()]
     order = {f: i for i, f in enumerate(feats)}
     idx = F.create_map(*[x for f, i in order.items() for x in (F.lit(f), F.lit(i))])
     vals = rows.select(F.col(id_col).alias("row_id"), F.explode(F.array(*[
-        F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("value")) for f in feats])).alias("v")) \
+        F.struct(F.lit(f).alias("feature"), _number(rows, f).alias("value"), F.col(f"`{f}`").cast("string").alias("value_text")) for f in feats])).alias("v")) \
         .select("row_id", "v.*")
     j = shap_values.join(vals, ["row_id", "feature"])
-    base = F.create_map(*[x for f in feats for x in (F.lit(f), F.lit((background_first or {}).get(f)).cast("double"))])
+    first = background_first or {}
+    base = F.create_map(*[x for f in feats for x in (F.lit(f), F.lit(first.get(f) if isinstance(first.get(f), (int, float)) else None).cast("double"))])
+    told = F.create_map(*[x for f in feats for x in (F.lit(f), F.lit(None if first.get(f) is None else str(first.get(f))).cast("string"))])
     item = F.struct((-F.abs("shap_value")).alias("_k"), idx[F.col("feature")].alias("_i"), F.col("feature"),
-                    F.col("value"), base[F.col("feature")].alias("baseline"),
+                    F.col("value"), base[F.col("feature")].alias("baseline"), F.col("value_text"), told[F.col("feature")].alias("baseline_text"),
                     F.when(F.col("shap_value") >= 0, F.lit("positive")).otherwise(F.lit("negative")).alias("direction"),
                     strength(F.abs("shap_value")).alias("strength"),
                     F.bround(F.abs("shap_value"), 6).alias("impact_score"),
@@ -159,15 +164,22 @@ def shap_top_factors(shap_values: DataFrame, rows: DataFrame, id_col: str, backg
     return g.select("row_id", F.transform(top, lambda f: f.dropFields("_k", "_i")).alias("top_factors"))
 
 
+def _number(rows: DataFrame, f: str):
+    numeric = type_family(rows.schema[f].dataType) in ("numeric", "boolean")
+    return F.col(f"`{f}`").cast("double") if numeric else F.lit(None).cast("double")
+
+
 def explain_rows(model, rows: DataFrame, background: DataFrame, features, id_col: str, score,
-                 proxy) -> tuple[str, DataFrame]:
+                 proxy) -> tuple[str, DataFrame, str | None]:
     """E1 with the documented fallback: Kernel SHAP unless the task is multiclass; any
-    failure (checked by materializing the result) falls back to the proxy method E2."""
+    failure (checked by materializing the result) falls back to the proxy method E2.  Returns the
+    method, the factors and why it fell back (None where it did not)."""
+    reason = "Kernel SHAP explains one score; a multiclass model has several"
     if getattr(model, "task_type", None) != "multiclass":
         try:
             vals = kernel_shap(rows, background, features, id_col, score).checkpoint(eager=True)
             first = {f: r[f] for r in background.limit(1).collect() for f in features}
-            return "shap-kernel", shap_top_factors(vals, rows, id_col, first)
-        except Exception:  # noqa: BLE001 — any failure selects the fallback
-            pass
-    return "proxy-feature-impact", proxy()
+            return "shap-kernel", shap_top_factors(vals, rows, id_col, first), None
+        except Exception as exc:  # noqa: BLE001 — any failure selects the fallback, and is told
+            reason = f"{type(exc).__name__}: {str(exc).splitlines()[0] if str(exc) else ''}"
+    return "proxy-feature-impact", proxy(), reason

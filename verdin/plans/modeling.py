@@ -259,6 +259,51 @@ def shap_factors(spark: SparkSession, sf: str) -> DataFrame:
         imp = {f: 1.0 / len(feats) for f in feats}
         return explain.proxy_impact(df, prof, imp, feats, []).select(F.col("doc_id").alias("row_id"), "top_factors")
 
-    method, factors = shap.explain_rows(model, df, background, feats, "doc_id", score, proxy)
-    return factors.select("row_id", F.lit(method).alias("method"), F.size("top_factors").alias("n_factors"),
+    method, factors, reason = shap.explain_rows(model, df, background, feats, "doc_id", score, proxy)
+    return factors.select("row_id", F.lit(method).alias("method"), F.lit(reason).cast("string").alias("reason"), F.size("top_factors").alias("n_factors"),
                           F.col("top_factors")[0]["feature"].alias("top_feature"))
+
+
+_ORDER_SCORE = """o_totalprice / 100003 + CASE o_orderstatus WHEN 'F' THEN 3.0 WHEN 'O' THEN -1.0 ELSE 0.5 END + 0.7 * {month}"""
+
+_SHAP_SQL = """
+WITH g AS (SELECT o_orderkey, o_totalprice / 100003 AS price, CASE o_orderstatus WHEN 'F' THEN 3.0 WHEN 'O' THEN -1.0 ELSE 0.5 END AS status,
+                  0.7 * month(o_orderdate) AS date_part FROM orders),
+b AS (SELECT avg(price) AS price, avg(status) AS status, avg(date_part) AS date_part FROM (SELECT * FROM g ORDER BY o_orderkey LIMIT 20)),
+phi AS (SELECT g.o_orderkey, g.price + g.status + g.date_part AS prediction, b.price + b.status + b.date_part AS base_value,
+               unnest([{'feature': 'o_totalprice', 'phi': g.price - b.price}, {'feature': 'o_orderstatus', 'phi': g.status - b.status},
+                       {'feature': 'o_orderdate', 'phi': g.date_part - b.date_part}]) AS f FROM g, b)
+"""
+
+
+def _order_shap(spark: SparkSession, sf: str):
+    """Kernel SHAP of a fixed additive score over a number, a category and a raw timestamp of every order."""
+    rows = table(spark, sf, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus", "o_orderdate")
+    feats = ["o_totalprice", "o_orderstatus", "o_orderdate"]
+
+    def score(frame: DataFrame) -> DataFrame:
+        return frame.withColumn("score", F.expr(_ORDER_SCORE.format(month="month(o_orderdate)")))
+
+    background = rows.orderBy("o_orderkey").limit(shap.MAX_BACKGROUND)
+    return rows, background, shap.kernel_shap(rows, background, feats, "o_orderkey", score)
+
+
+@register("shap_additive", _SHAP_SQL + """
+SELECT o_orderkey, f.feature AS feature, round(f.phi, 6) + 0 AS shap_value, round(base_value, 6) AS base_value, round(prediction, 6) AS prediction FROM phi""")
+def shap_additive(spark: SparkSession, sf: str) -> DataFrame:
+    """E1 on typed columns, where the exact values are known: the terms of an additive score less their background means."""
+    _, _, values = _order_shap(spark, sf)
+    return values.select(F.col("row_id").alias("o_orderkey"), "feature", (F.round("shap_value", 6) + F.lit(0.0)).alias("shap_value"),
+                         F.round("base_value", 6).alias("base_value"), F.round("prediction", 6).alias("prediction"))
+
+
+@register("shap_top_factor", _SHAP_SQL + """
+SELECT o_orderkey, arg_max(f.feature, abs(f.phi)) AS feature, round(max(abs(f.phi)), 6) AS impact,
+       arg_max(f.phi >= 0, abs(f.phi)) AS positive, count(*) FILTER (abs(f.phi) >= 1e-6) AS n_factors FROM phi GROUP BY o_orderkey""")
+def shap_top_factor(spark: SparkSession, sf: str) -> DataFrame:
+    """K1: the largest factor of every order and how many factors it has."""
+    rows, _, values = _order_shap(spark, sf)
+    top = shap.shap_top_factors(values, rows, "o_orderkey")
+    first = F.col("top_factors")[0]
+    return top.select(F.col("row_id").alias("o_orderkey"), first["feature"].alias("feature"), first["impact_score"].alias("impact"),
+                      (first["direction"] == "positive").alias("positive"), F.size("top_factors").cast("long").alias("n_factors"))
