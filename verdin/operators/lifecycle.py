@@ -177,6 +177,8 @@ class Registry:
         import datetime as dt
         import json
         current = self.models(project_id)
+        if current.where(F.col("version_id") == version_id).limit(1).count():
+            raise ValueError(f"project {project_id!r} has a model version {version_id!r} already")
         champ = current.filter(F.col("status") == "champion").select("metric_value").first()
         lower = lower_is_better(metric_name)
         better = champ is None or (metric_value < champ[0] if lower else metric_value > champ[0])
@@ -191,7 +193,9 @@ class Registry:
         return status
 
     def activate(self, project_id: str, version_id: str) -> None:
-        """L2 on the stored table."""
+        """L2 on the stored table; an unknown version is an error."""
+        if not self.models(project_id).where(F.col("version_id") == version_id).limit(1).count():
+            raise ValueError(f"project {project_id!r} has no model version {version_id!r}")
         updated = activate(self.models(project_id), version_id).checkpoint(eager=True)
         self._write_project("model_versions", updated)
 

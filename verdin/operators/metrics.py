@@ -28,7 +28,8 @@ def regression_metrics(df: DataFrame, y: str, p: str, keys: Sequence[str] = (),
     k = max(int(k), 1)
     yy, pp = F.col(y).cast("double"), F.col(p).cast("double")
     e = yy - pp
-    g = df.select(*keys, yy.alias("_y"), pp.alias("_p"), e.alias("_e")).groupBy(*keys).agg(
+    # pairs without two finite numbers are no observation
+    g = df.select(*keys, yy.alias("_y"), pp.alias("_p"), e.alias("_e")).where(~F.isnan("_e") & (F.abs("_e") < float("inf"))).groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"),
         F.sum(F.col("_e") * F.col("_e")).alias("_rss"),
         F.avg(F.abs("_e")).alias("_mae"),

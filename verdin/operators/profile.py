@@ -267,6 +267,11 @@ def target_summary_class(df: DataFrame, target: str, top: int = 3) -> DataFrame:
     return out.select(F.lit(target).alias("target"), "rank", "label", "count", "share", "class_count", "majority_share")
 
 
+def finite(x):
+    """The number, null where it is NaN or infinite."""
+    return F.when(~F.isnan(x) & (F.abs(x) < float("inf")), x)
+
+
 def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], keys: Sequence[str] = ()) -> DataFrame:
     """Exact linear-interpolation quantiles without buffering a group in one task:
     values are ordered with the chunked series primitive, the two neighbouring
@@ -286,8 +291,8 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], keys: Seq
 
 
 def target_summary_numeric(df: DataFrame, target: str) -> DataFrame:
-    """A4 (regression): min / max / mean / exact median (6 dp)."""
-    x = _q(target).try_cast("double")
+    """A4 (regression): min / max / mean / exact median (6 dp); NaN and infinity count as missing."""
+    x = finite(_q(target).try_cast("double"))
     basic = df.select(x.alias("_x")).agg(F.min("_x").alias("min"), F.max("_x").alias("max"),
                                          F.avg("_x").alias("mean"), F.count("_x").alias("non_null_values"))
     med = exact_quantiles(df.select(x.alias("_x")), "_x", [0.5]).select(F.col("quantile").alias("median"))
@@ -306,7 +311,7 @@ def target_distribution(df: DataFrame, target: str, task: str, bins: int = HISTO
     if task != "regression":
         return (df.filter(_q(target).isNotNull()).groupBy(_q(target).cast("string").alias("label"))
                 .agg(F.count(F.lit(1)).alias("count")))
-    x = _q(target).try_cast("double")
+    x = finite(_q(target).try_cast("double"))
     vals = df.select(x.alias("_x")).filter(F.col("_x").isNotNull())
     rng = vals.agg(F.min("_x").alias("_lo"), F.max("_x").alias("_hi"))
     j = one_row_join(vals, rng)

@@ -110,7 +110,10 @@ def dataset_registry(spark: SparkSession, sf: str) -> DataFrame:
     return reg.select("project_id", "version_id", "target", "rows", "columns")
 
 
-@register("json_records")
+@register("json_records", """
+SELECT CAST(to_json({'o_orderkey': o_orderkey, 'o_custkey': o_custkey, 'o_orderstatus': o_orderstatus, 'o_totalprice': o_totalprice,
+  'o_orderdate': strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S'), 'o_orderpriority': o_orderpriority}) AS VARCHAR) AS record FROM orders
+""")
 def json_records(spark: SparkSession, sf: str) -> DataFrame:
     """JSON-safe projection of every order (ISO timestamps, NaN → null)."""
     return tabular.json_safe(table(spark, sf, "orders"))

@@ -19,6 +19,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from verdin.session import ship_package
+
 # Encodings and delimiters tried in order, and the sniffed size.
 CSV_ENCODINGS = ("utf-8-sig", "utf-8", "cp1251", "latin-1")
 CSV_DELIMITERS = (None, ";", ",", "\t", "|")
@@ -70,6 +72,8 @@ def probe_lines(batches):
 def probe_csv(spark: SparkSession, location: str, glob: str = "*.csv") -> DataFrame:
     """S1 probe table: one row per file that is not empty.  No encoding has a line feed inside a character,
     so the first encoding that decodes every line decodes the file."""
+    ship_package(spark)
+
     def decide(batches):
         for pdf in batches:
             rows = []
@@ -105,7 +109,8 @@ def read_csv_collection(spark: SparkSession, location: str, glob: str = "*.csv",
     """S1 + S9: read every CSV under ``location``; ``_source`` names the file.  Files that share
     encoding, delimiter and header line are one scan with that header's schema; scans are united by
     column name.  Quotes inside quoted fields are doubled; files with line breaks inside fields are read
-    whole.  The file list, which Spark holds in the driver anyway, plans the scans."""
+    whole.  A column that is not of one type in all files gets the type that holds all its values (``merge.unify_types``).
+    The file list, which Spark holds in the driver anyway, plans the scans."""
     kinds = ["encoding", "sep", "header", "multiline"]
     groups = probe_csv(spark, location, glob).groupBy(*kinds).agg(F.sort_array(F.collect_list("path")).alias("paths")).collect()
     if not groups:
@@ -120,7 +125,8 @@ def read_csv_collection(spark: SparkSession, location: str, glob: str = "*.csv",
         if g["multiline"]:
             reader = reader.option("multiLine", True)
         frames.append(reader.csv(list(g["paths"])).withColumn("_source", _source_name()))
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+    from verdin.operators.merge import unify_types
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), unify_types(frames))
 
 
 def normalize_frame(df: DataFrame) -> DataFrame:
