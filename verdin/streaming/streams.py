@@ -33,33 +33,43 @@ def _order_key(df: DataFrame, order: str):
     return F.col(order).cast("double")
 
 
-def stage_ordered_files(df: DataFrame, path: str, order: str, slices: int = 4) -> str:
-    """Write ``df`` as ``slices`` folders in ``order`` (one write per slice, in sequence) so a
-    file source replays them oldest first.  Cut points come from one approximate-quantile
-    job; only ``slices − 1`` numbers reach the driver."""
+def slice_conditions(df: DataFrame, order: str, slices: int = 4) -> list:
+    """Conditions that cut ``df`` into ``slices`` parts along ``order``, between the quantiles of one approximate job; only
+    ``slices − 1`` numbers reach the driver.  Rows without an order key come with the first part."""
     key = _order_key(df, order)
     cuts = []
     if slices > 1:
-        cuts = df.agg(F.percentile_approx(key, [i / slices for i in range(1, slices)], 10000).alias("q")).first()["q"]
-    bounds = [None] + list(cuts or []) + [None]
-    for i in range(slices):
-        lo, hi = bounds[i], bounds[i + 1]
+        cuts = df.agg(F.percentile_approx(key, [i / slices for i in range(1, slices)], 10000).alias("q")).first()["q"] or []
+    bounds = [None, *cuts, None]
+    out = []
+    for i, (lo, hi) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
         cond = F.lit(True)
         if lo is not None:
             cond = cond & (key > F.lit(lo))
         if hi is not None:
             cond = cond & (key <= F.lit(hi))
-        # rows without an order key come with the first slice
-        cond = (cond | key.isNull()) if i == 0 else (cond & key.isNotNull())
-        # one file per slice: a slice is replayed as one micro-batch, so the watermark only
-        # advances between time-ordered slices and no staged row is late
-        df.filter(cond).coalesce(1).write.mode("overwrite").parquet(f"{path}/slice={i:04d}")
+        out.append((cond | key.isNull()) if i == 0 else (cond & key.isNotNull()))
+    return out
+
+
+def stage_ordered_files(df: DataFrame, path: str, order: str, slices: int = 4) -> str:
+    """Write ``df`` as one folder a slice in ``order``, each by all tasks."""
+    for i, cond in enumerate(slice_conditions(df, order, slices)):
+        df.filter(cond).write.mode("overwrite").parquet(f"{path}/slice={i:04d}")
     return path
 
 
-def file_stream(spark: SparkSession, path: str, schema, max_files: int = 1) -> DataFrame:
-    return (spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files)
-            .option("recursiveFileLookup", "true").parquet(path))
+def replay(df: DataFrame, path: str, order: str, slices: int, run: Callable[[], None]) -> None:
+    """Stage one slice after the other, each written by all tasks, and ``run()`` (a drain that goes on from its
+    checkpoint) after each: a slice is one micro-batch, whatever its files, so no staged row is late."""
+    for i, cond in enumerate(slice_conditions(df, order, slices)):
+        df.filter(cond).write.mode("overwrite").parquet(f"{path}/slice={i:04d}")
+        run()
+
+
+def file_stream(spark: SparkSession, path: str, schema) -> DataFrame:
+    """All files that have come since the last batch."""
+    return spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(path)
 
 
 def drain(stream: DataFrame, sink: str, checkpoint: str, mode: str = "append",
@@ -102,15 +112,83 @@ def hourly_feed(events: DataFrame, watermark: str = "2 hours") -> DataFrame:
 
 def run_hourly(spark: SparkSession, events_static: DataFrame, slices: int = 4) -> DataFrame:
     ws = workspace(spark, "hourly")
-    stage_ordered_files(events_static, f"{ws}/input", "ts", slices)
-    stream = file_stream(spark, f"{ws}/input", events_static.schema)
-    drain(hourly_feed(stream), f"{ws}/sink", f"{ws}/checkpoint", mode="update",
-          transform=lambda b: b.select(F.col("w.start").cast("timestamp_ntz").alias("window_start"),
-                                       "event_type", "value", "n"))
+    replay(events_static, f"{ws}/input", "ts", slices, lambda: drain(
+        hourly_feed(file_stream(spark, f"{ws}/input", events_static.schema)), f"{ws}/sink", f"{ws}/checkpoint", mode="update",
+        transform=lambda b: b.select(F.col("w.start").cast("timestamp_ntz").alias("window_start"), "event_type", "value", "n")))
     out = latest_per_key(spark, f"{ws}/sink", ["window_start", "event_type"])
     return out.select("window_start", "event_type", F.bround("value", 6).alias("value"), "n")
 
 
+HOUR = 3_600_000_000    # microseconds
+
+
+def regular(closed: DataFrame) -> DataFrame:
+    """Of closed windows (window_start timestamp with a watermark, event_type, value, n), every hour of each type: keyed state holds
+    the hour after the last one emitted; hours without events before a closed window are emitted as empty ones, and an
+    event-time timer emits them while nothing comes.  Rows per key and batch are closed hours, not events."""
+    import pandas as pd
+    from pyspark.sql.streaming.state import GroupStateTimeout
+
+    def step(key, frames, state):
+        found = {}
+        if not state.hasTimedOut:
+            for pdf in frames:
+                for start, value, n in zip(pdf["start_us"], pdf["value"], pdf["n"], strict=True):
+                    found[int(start)] = (float(value), int(n))
+        upto = max([*found, (state.getCurrentWatermarkMs() * 1000 // HOUR - 1) * HOUR if state.exists else -1])
+        at = state.get[0] if state.exists else min(found, default=None)
+        if at is None:
+            return
+        hours = list(range(at, upto + 1, HOUR))
+        if hours:
+            state.update((hours[-1] + HOUR,))
+            yield pd.DataFrame({"event_type": [key[0]] * len(hours), "start_us": hours, "value": [found.get(h, (0.0, 0))[0] for h in hours],
+                                "n": [found.get(h, (0.0, 0))[1] for h in hours]})
+        elif not state.exists:
+            state.update((at,))
+        # the next hour is due when the watermark has passed its end
+        state.setTimeoutTimestamp(max(state.get[0] // 1000 + 2 * HOUR // 1000, state.getCurrentWatermarkMs() + 1))
+
+    micros = F.unix_micros("window_start").alias("start_us")
+    return closed.select("event_type", micros, "value", "n", "window_start").groupBy("event_type").applyInPandasWithState(
+        step, "event_type string, start_us long, value double, n long", "next long", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def run_regular_feed(spark: SparkSession, events_static: DataFrame, slices: int = 4, watermark: str = "2 hours") -> DataFrame:
+    """R2 as a regular feed: each type has a row for every hour from its first one to the last hour of the stream, hours without
+    events with n = 0.  One stream closes hourly windows (watermark, append); a second one reads the closed windows and fills
+    the gaps by keyed state and timers.  After the last slice a mark beyond the end moves both watermarks on."""
+    ws = workspace(spark, "regular")
+    types = events_static.select(F.col("ts").cast("timestamp").alias("ts"), "event_type", F.col("value").cast("double").alias("value"))
+    closed_schema = "window_start timestamp, event_type string, value double, n long"
+    last = types.agg(F.max("ts").alias("m")).first()["m"]
+
+    def close():
+        drain(hourly_feed(file_stream(spark, f"{ws}/input", types.schema), watermark), f"{ws}/closed", f"{ws}/closing", mode="append",
+              transform=lambda b: b.select(F.col("w.start").alias("window_start"), "event_type", "value", "n"))
+
+    def fill():
+        closed = file_stream(spark, f"{ws}/closed", closed_schema).withWatermark("window_start", "0 seconds")
+        drain(regular(closed), f"{ws}/sink", f"{ws}/filling", mode="append")
+
+    def both():
+        close()
+        fill()
+
+    if last is None:
+        return spark.createDataFrame([], "window_start timestamp_ntz, event_type string, value double, n long")
+    replay(types, f"{ws}/input", "ts", slices, both)
+    import datetime as dt
+    mark = "\x00end"
+    for days in (2, 4, 6):
+        spark.createDataFrame([(last + dt.timedelta(days=days), mark, 0.0)], types.schema).write.mode("overwrite").parquet(f"{ws}/input/slice=end{days}")
+        both()
+    out = spark.read.option("recursiveFileLookup", "true").parquet(f"{ws}/sink").where((F.col("event_type") != mark) | F.col("event_type").isNull())
+    end = types.agg(F.floor(F.unix_micros(F.max("ts")) / HOUR) * HOUR).first()[0]
+    return out.where(F.col("start_us") <= end).select(F.timestamp_micros("start_us").cast("timestamp_ntz").alias("window_start"), "event_type",
+                                                      F.bround("value", 6).alias("value"), "n")
+
+
 # ---------------------------------------------------------------------------
 # Stateless scoring and decisions
 
@@ -120,9 +198,8 @@ def run_decisions(spark: SparkSession, docs_static: DataFrame, score: Callable[[
     """``score`` maps a frame of documents to decision rows; it is applied to each
     micro-batch (stateless), so the streaming plan is the batch plan per batch."""
     ws = workspace(spark, "decisions")
-    stage_ordered_files(docs_static, f"{ws}/input", "doc_id", slices)
-    stream = file_stream(spark, f"{ws}/input", docs_static.schema)
-    drain(stream, f"{ws}/sink", f"{ws}/checkpoint", mode="append", transform=score)
+    replay(docs_static, f"{ws}/input", "doc_id", slices, lambda: drain(
+        file_stream(spark, f"{ws}/input", docs_static.schema), f"{ws}/sink", f"{ws}/checkpoint", mode="append", transform=score))
     return spark.read.option("recursiveFileLookup", "true").parquet(f"{ws}/sink").drop("batch_id")
 
 
@@ -138,18 +215,16 @@ def run_postfactum(spark: SparkSession, events_static: DataFrame, points: DataFr
     the nearest candidate per point wins (gap, then event order)."""
     from verdin.functions.timefuncs import epoch_micros
     ws = workspace(spark, "postfactum")
-    stage_ordered_files(events_static, f"{ws}/input", "ts", slices)
-    stream = file_stream(spark, f"{ws}/input", events_static.schema)
     tol = int(tolerance_seconds * 1_000_000)
     pts = points.withColumn("_pus", epoch_micros("ts"))
     offered = pts.withColumn("_bucket", F.explode(F.array(*[F.floor(F.col("_pus") / tol) + d for d in (-1, 0, 1)])))
-    actual = (stream.select(F.col("event_type").alias("series_id"), F.col("ts").alias("matched_ts"),
+    actual = lambda: (file_stream(spark, f"{ws}/input", events_static.schema).select(F.col("event_type").alias("series_id"), F.col("ts").alias("matched_ts"),
                             F.col("value").alias("actual"), "event_id")
               .withColumn("_aus", epoch_micros("matched_ts")).withColumn("_bucket", F.floor(F.col("_aus") / tol)))
-    cand = (actual.join(offered.select("series_id", "step", "_bucket", "_pus"), ["series_id", "_bucket"])
+    cand = lambda: (actual().join(offered.select("series_id", "step", "_bucket", "_pus"), ["series_id", "_bucket"])
             .withColumn("_gap", F.abs(F.col("_aus") - F.col("_pus"))).filter(F.col("_gap") <= tol)
             .select("series_id", "step", "_gap", "event_id", "matched_ts", "actual"))
-    drain(cand, f"{ws}/sink", f"{ws}/checkpoint", mode="append")
+    replay(events_static, f"{ws}/input", "ts", slices, lambda: drain(cand(), f"{ws}/sink", f"{ws}/checkpoint", mode="append"))
     allc = spark.read.option("recursiveFileLookup", "true").parquet(f"{ws}/sink")
     best = (allc.groupBy("series_id", "step")
             .agg(F.min_by(F.struct("matched_ts", "actual"), F.struct("_gap", "event_id")).alias("_b"))
@@ -165,12 +240,11 @@ def run_drift(spark: SparkSession, events_static: DataFrame, window: str = "1 da
     """Per event-time window: category counts from the stream vs the static reference
     shares (whole table), Jensen–Shannon divergence (base 2) per window."""
     ws = workspace(spark, "drift")
-    stage_ordered_files(events_static, f"{ws}/input", "ts", slices)
-    stream = file_stream(spark, f"{ws}/input", events_static.schema)
-    counts = (stream.withColumn("_ets", F.col("ts").cast("timestamp")).withWatermark("_ets", "2 hours")
+    counts = lambda: (file_stream(spark, f"{ws}/input", events_static.schema).withColumn("_ets", F.col("ts").cast("timestamp")).withWatermark("_ets", "2 hours")
               .groupBy(F.window("_ets", window).alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n")))
-    drain(counts, f"{ws}/sink", f"{ws}/checkpoint", mode="update",
-          transform=lambda b: b.select(F.col("w.start").cast("timestamp_ntz").alias("window_start"), "event_type", "n"))
+    replay(events_static, f"{ws}/input", "ts", slices, lambda: drain(
+        counts(), f"{ws}/sink", f"{ws}/checkpoint", mode="update",
+        transform=lambda b: b.select(F.col("w.start").cast("timestamp_ntz").alias("window_start"), "event_type", "n")))
     cur = latest_per_key(spark, f"{ws}/sink", ["window_start", "event_type"])
     from verdin.operators.profile import one_row_join
     ref = one_row_join(events_static.groupBy("event_type").agg(F.count(F.lit(1)).alias("r")),
