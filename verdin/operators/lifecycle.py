@@ -132,7 +132,7 @@ def model_summary(models: DataFrame) -> DataFrame:
 # Registry tables on shared storage
 
 MODEL_SCHEMA = ("project_id string, version_id string, dataset_version_id string, task_type string, "
-                "metric_name string, metric_value double, status string, created_at timestamp_ntz, record string")
+                "metric_name string, metric_value double, status string, created_at timestamp_ntz, record string, bundle_path string")
 FORECAST_SCHEMA = "run_id string, project_id string, step int, ts timestamp_ntz, prediction double, unit string"
 
 
@@ -169,28 +169,59 @@ class Registry:
          .partitionBy("project_id").parquet(f"{self.root}/{name}"))
 
     # -- L1 / L2 / L5 -------------------------------------------------------
+    def register_datasets(self, versions: DataFrame) -> None:
+        """S10 for any number of projects at once: append the rows (columns of the dataset table).  A version that is there
+        already is an error."""
+        from verdin.sources.tabular import DATASET_VERSION_SCHEMA
+        rows = versions.select(*[c.split()[0] for c in DATASET_VERSION_SCHEMA.split(", ")]).checkpoint(eager=True)
+        self._refuse_known(rows, self.datasets())
+        rows.write.mode("append").partitionBy("project_id").parquet(f"{self.root}/dataset_versions")
+
+    @staticmethod
+    def _refuse_known(new: DataFrame, old: DataFrame) -> None:
+        keys = ["project_id", "version_id"]
+        twice = new.groupBy(*keys).count().where("count > 1").select(*keys).unionByName(new.join(old, keys, "left_semi").select(*keys)).limit(1).collect()
+        if twice:
+            raise ValueError(f"project {twice[0][0]!r} has a version {twice[0][1]!r} already")
+
+    def register_models(self, new: DataFrame) -> None:
+        """L1/L5 for any number of projects at once: rows (columns of the model table without status, and ``mode``: auto or candidate)
+        join their projects in the order of (created_at, version_id).  One becomes champion where its project has none or it is strictly
+        better on the primary metric than the champion so far; the one before is archived; ``candidate`` rows stay candidates.
+        Windows over a project's new versions; the projects' partitions are replaced."""
+        rows = new.checkpoint(eager=True)
+        old = self.models()
+        self._refuse_known(rows, old)
+        projects = rows.select("project_id").distinct()
+        mine = old.join(projects, "project_id", "left_semi").checkpoint(eager=True)
+        # negative where larger is better, so that the least value is the best
+        sign = F.when(F.col("metric_name") == "rmse", F.lit(1.0)).otherwise(F.lit(-1.0))
+        held = mine.where("status = 'champion'").groupBy("project_id").agg(F.min(sign * F.col("metric_value")).alias("_held"))
+        w = Window.partitionBy("project_id").orderBy("created_at", "version_id")
+        auto = F.when(F.col("mode") != "candidate", sign * F.col("metric_value"))
+        ranked = rows.join(held, "project_id", "left").withColumn("_value", auto) \
+            .withColumn("_best", F.least("_held", F.min("_value").over(w.rowsBetween(Window.unboundedPreceding, -1)))) \
+            .withColumn("_up", F.coalesce(F.col("_value") < F.col("_best"), F.col("_value").isNotNull() & F.col("_best").isNull(), F.lit(False))) \
+            .withColumn("_last", F.max(F.when(F.col("_up"), F.struct("created_at", "version_id"))).over(Window.partitionBy("project_id")))
+        status = F.when(~F.col("_up"), F.lit("candidate")).when(F.struct("created_at", "version_id") == F.col("_last"), F.lit("champion")).otherwise(F.lit("archived"))
+        names = [c.split()[0] for c in MODEL_SCHEMA.split(", ")]
+        ready = ranked.withColumn("status", status).select(*names)
+        ousted = ready.where("status = 'champion'").select("project_id", F.lit(True).alias("_ousted"))
+        before = mine.join(ousted, "project_id", "left").withColumn(
+            "status", F.when(F.col("_ousted") & (F.col("status") == "champion"), F.lit("archived")).otherwise(F.col("status"))).select(*names)
+        self._write_project("model_versions", before.unionByName(ready).checkpoint(eager=True))
+
     def register_model(self, project_id: str, version_id: str, dataset_version_id: str | None, task_type: str,
                        metric_name: str, metric_value: float, record: dict | None = None,
-                       mode: str = "auto", created_at=None) -> str:
-        """Append a version; it becomes champion when the project has none or it is
-        strictly better on the primary metric (``candidate`` mode never promotes)."""
+                       mode: str = "auto", created_at=None, bundle_path: str | None = None) -> str:
+        """L1/L5 for one version; returns its status."""
         import datetime as dt
         import json
-        current = self.models(project_id)
-        if current.where(F.col("version_id") == version_id).limit(1).count():
-            raise ValueError(f"project {project_id!r} has a model version {version_id!r} already")
-        champ = current.filter(F.col("status") == "champion").select("metric_value").first()
-        lower = lower_is_better(metric_name)
-        better = champ is None or (metric_value < champ[0] if lower else metric_value > champ[0])
-        status = "champion" if (mode != "candidate" and better) else "candidate"
-        ts = created_at or dt.datetime.now(dt.UTC).replace(microsecond=0, tzinfo=None)
-        new = self.spark.createDataFrame(
-            [(project_id, version_id, dataset_version_id, task_type, metric_name, float(metric_value), status, ts,
-              json.dumps(record or {}, default=str))], MODEL_SCHEMA)
-        existing = current.withColumn("status", F.when((F.lit(status == "champion")) & (F.col("status") == "champion"),
-                                                       F.lit("archived")).otherwise(F.col("status")))
-        self._write_project("model_versions", existing.unionByName(new).checkpoint(eager=True))
-        return status
+        ts = created_at or dt.datetime.now(dt.UTC).replace(tzinfo=None)
+        self.register_models(self.spark.createDataFrame(
+            [(project_id, version_id, dataset_version_id, task_type, metric_name, float(metric_value), ts, json.dumps(record or {}, default=str), bundle_path, mode)],
+            MODEL_SCHEMA.replace(" status string,", "") + ", mode string"))
+        return self.models(project_id).where(F.col("version_id") == version_id).first()["status"]
 
     def activate(self, project_id: str, version_id: str) -> None:
         """L2 on the stored table; an unknown version is an error."""

@@ -81,3 +81,30 @@ def drift_summary(spark: SparkSession, sf: str) -> DataFrame:
     """L9 + J11: drifted column count and share over the common columns."""
     ref, cur = periods(spark, sf)
     return drift.drift_report(ref, cur, NUMERIC, CATEGORICAL)
+
+
+@register("monitor_champion", f"""
+WITH k AS ({_ks_sql()}), j AS ({_js_sql()}),
+n AS (SELECT count(*) FILTER (o_orderdate < TIMESTAMP '{CUTOFF}') AS n_ref, count(*) FILTER (o_orderdate >= TIMESTAMP '{CUTOFF}') AS n_cur FROM orders)
+SELECT 'orders' AS project_id, 'before' AS reference_id, 'after' AS current_id, false AS same_dataset, t.* FROM (
+  SELECT column_name, 'ks' AS test, n_ref, n_cur, statistic, drifted, true AS testable, NULL AS reason FROM k
+  UNION ALL SELECT column_name, 'jensen_shannon', n.n_ref, n.n_cur, js_divergence, drifted, true, NULL FROM j, n
+  UNION ALL SELECT 'remark', 'jensen_shannon', 0, n.n_cur, NULL, false, false, 'no values in the reference' FROM n) t
+""")
+def monitor_champion(spark: SparkSession, sf: str) -> DataFrame:
+    """L9 as a flow: the champion's stored dataset against the project's latest one, column by column; one column has no
+    values on the champion's side."""
+    import datetime as dt
+    import uuid
+
+    from verdin.operators import flows, lifecycle
+    from verdin.session import scratch_table_path
+    from verdin.sources import tabular
+    reg = lifecycle.Registry(spark, scratch_table_path(spark, f"monitor-{uuid.uuid4().hex[:12]}"))
+    for version, part, remark in (("before", 0, None), ("after", 1, "late")):
+        frame = periods(spark, sf)[part].select(*NUMERIC, *CATEGORICAL, F.lit(remark).cast("string").alias("remark"))
+        tabular.save_dataset(frame, reg.root, "orders", version)
+        tabular.register_dataset_version(spark, reg.root, frame, "orders", version, "o_totalprice")
+        if part == 0:
+            reg.register_model("orders", "m1", version, "regression", "rmse", 1.0, created_at=dt.datetime(2024, 1, 1))
+    return flows.monitor(reg, "orders")

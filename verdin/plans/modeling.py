@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from verdin.operators import decide, forecast, ml, shap
 from verdin.plans.inputs import hourly_events
+from verdin.plans.quality import CANDIDATE_RATE, CURRENT_RATE, priced_lines
 from verdin.plans.registry import register
 from verdin.sources.tables import table
 
@@ -203,37 +204,61 @@ def retrain_decision(spark: SparkSession, sf: str) -> DataFrame:
     return res.frame.withColumn("batch_ready", F.lit(bool(report["ready"])))
 
 
-@register("model_registry")
-def model_registry(spark: SparkSession, sf: str) -> DataFrame:
-    """L1 + L2 + L5 + L7 + L8 + L12: versions registered per line status from the metrics
-    of the two pricing rules, one activation, a stored forecast run and comparison."""
+def _registry(spark: SparkSession):
     import uuid
 
-    from verdin.operators import asof, lifecycle
-    from verdin.plans.quality import priced_lines
+    from verdin.operators import lifecycle
     from verdin.session import scratch_table_path
-    from verdin.sources import tabular
-    reg = lifecycle.Registry(spark, scratch_table_path(spark, f"registry-{uuid.uuid4().hex[:12]}"))
-    lines = priced_lines(spark, sf)
+    return lifecycle.Registry(spark, scratch_table_path(spark, f"registry-{uuid.uuid4().hex[:12]}"))
+
+
+_REGISTERED = f"""
+WITH b AS (SELECT l_linestatus, l_returnflag, l_extendedprice / 1000.0 AS y, l_quantity * {CURRENT_RATE} AS p, l_quantity * {CANDIDATE_RATE} AS q FROM lineitem),
+r AS (SELECT 'lines-' || l_linestatus || l_returnflag AS project_id, count(*) AS n, sqrt(avg((y - p) * (y - p))) AS a, sqrt(avg((y - q) * (y - q))) AS c FROM b GROUP BY 1),
+v AS (SELECT project_id, n, unnest([{{'v': 'm1', 'x': round(a, 6)}}, {{'v': 'm2', 'x': round(c, 6)}}, {{'v': 'm3', 'x': 0.0}}]) AS m, round(c, 6) < round(a, 6) AS better FROM r)
+"""
+
+
+def _register_lines(spark: SparkSession, sf: str):
+    """A project per line status and return flag, its dataset and three versions scored by fixed rules, all registered in set-based steps."""
     from verdin.operators.metrics import regression_metrics
-    ma = {r["l_linestatus"]: r["rmse"] for r in regression_metrics(lines, "y", "p", ["l_linestatus"]).collect()}
-    mb = {r["l_linestatus"]: r["rmse"] for r in regression_metrics(lines, "y", "p_candidate", ["l_linestatus"]).collect()}
-    for status in sorted(ma):                      # one project per line status (a handful)
-        project = f"lines-{status}"
-        tabular.register_dataset_version(spark, reg.root, lines.filter(F.col("l_linestatus") == status), project,
-                                         "v1", "y")
-        reg.register_model(project, "m1", "v1", "regression", "rmse", ma[status])
-        reg.register_model(project, "m2", "v1", "regression", "rmse", mb[status])
-        reg.register_model(project, "m3", "v1", "regression", "rmse", max(ma[status], mb[status]), mode="candidate")
-    first = sorted(ma)[0]
-    reg.activate(f"lines-{first}", "m3")
-    points, _ = seasonal_backtest_points(spark, sf)
-    reg.append_forecast_run("run-1", f"lines-{first}", points, unit="USD")
-    reg.save_comparison(f"lines-{first}", asof.comparison_summary(asof.postfactum_errors(
-        points.withColumn("actual", F.col("prediction")))))
-    assert reg.forecast_run("run-1").count() == points.count()
-    return reg.models().select("project_id", "version_id", "status", "metric_value") \
-        .join(reg.datasets().select("project_id", F.col("rows").alias("dataset_rows")), "project_id")
+    reg = _registry(spark)
+    lines = priced_lines(spark, sf).withColumn("project_id", F.concat(F.lit("lines-"), "l_linestatus", "l_returnflag"))
+    now = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
+    reg.register_datasets(lines.groupBy("project_id").agg(F.count("*").alias("rows")).select(
+        "project_id", F.lit("v1").alias("version_id"), F.lit(None).cast("string").alias("name"), F.lit("y").alias("target"), "rows",
+        F.lit(len(lines.columns)).alias("columns"), F.lit(lines.schema.json()).alias("schema_json"), F.lit("USD").alias("unit"), now.alias("created_at")))
+    scored = [regression_metrics(lines, "y", p, ["project_id"]).select("project_id", F.lit(v).alias("version_id"), F.col("rmse").alias("metric_value"), F.lit("auto").alias("mode"))
+              for v, p in (("m1", "p"), ("m2", "p_candidate"))]
+    scored.append(scored[0].select("project_id", F.lit("m3").alias("version_id"), F.lit(0.0).alias("metric_value"), F.lit("candidate").alias("mode")))
+    new = scored[0].unionByName(scored[1]).unionByName(scored[2])
+    reg.register_models(new.select("project_id", "version_id", F.lit("v1").alias("dataset_version_id"), F.lit("regression").alias("task_type"), F.lit("rmse").alias("metric_name"),
+                                   "metric_value", F.timestamp_add("MINUTE", F.substring("version_id", 2, 1).cast("int"), now).alias("created_at"), F.lit("{}").alias("record"),
+                                   F.concat(F.lit(f"{reg.root}/bundles/project_id="), "project_id").alias("bundle_path"), "mode"))
+    return reg
+
+
+@register("model_registry", _REGISTERED + """
+SELECT project_id, m.v AS version_id, CASE WHEN project_id = 'lines-FA' THEN CASE WHEN m.v = 'm3' THEN 'champion' WHEN m.v = 'm1' OR better THEN 'archived' ELSE 'candidate' END
+         WHEN m.v = 'm3' THEN 'candidate' WHEN m.v = 'm1' THEN CASE WHEN better THEN 'archived' ELSE 'champion' END
+         WHEN better THEN 'champion' ELSE 'candidate' END AS status, m.x AS metric_value, n AS dataset_rows FROM v""")
+def model_registry(spark: SparkSession, sf: str) -> DataFrame:
+    """S10 + L1 + L2 + L5: datasets and versions of all projects registered at once, one version activated, models joined to their datasets."""
+    reg = _register_lines(spark, sf)
+    reg.activate("lines-FA", "m3")
+    return reg.models().join(reg.datasets().select("project_id", F.col("version_id").alias("dataset_version_id"), F.col("rows").alias("dataset_rows")),
+                             ["project_id", "dataset_version_id"]).select("project_id", "version_id", "status", "metric_value", "dataset_rows")
+
+
+@register("champion_datasets", _REGISTERED + """
+SELECT project_id, m.v AS model_id, 'v1' AS dataset_id, 'regression' AS task_type, m.x AS metric_value, 'y' AS target, 'USD' AS unit, n AS dataset_rows
+FROM v WHERE m.v = CASE WHEN better THEN 'm2' ELSE 'm1' END AND project_id <> 'lines-OR'""")
+def champion_datasets(spark: SparkSession, sf: str) -> DataFrame:
+    """M17 + U3: each project's champion joined to its dataset, after one project was deleted from every table."""
+    from verdin.operators import flows
+    reg = _register_lines(spark, sf)
+    flows.delete_project(reg, "lines-OR")
+    return flows.champions(reg).select("project_id", "model_id", "dataset_id", "task_type", "metric_value", "target", "unit", "dataset_rows")
 
 
 def seasonal_backtest_points(spark: SparkSession, sf: str):
