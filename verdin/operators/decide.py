@@ -1,7 +1,7 @@
 """Facts, rule matching and recommendations.
 
-Rules are compiled once on the driver into one Catalyst ``CASE WHEN`` chain, so
-matching is a projection evaluated inside whole-stage codegen: no per-row Python,
+Each rule is compiled once into a struct that is null unless the rule applies; matching is the
+greatest of these structs, a projection evaluated inside whole-stage codegen: no per-row Python,
 no cross join with a rule table.
 """
 
@@ -9,9 +9,11 @@ from __future__ import annotations
 
 import copy
 import json
+import re
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -42,42 +44,90 @@ class RuleSetError(ValueError):
     pass
 
 
+class Leaf:
+    """A value that has to satisfy ``holds``."""
+
+    def __init__(self, wanted: str, holds):
+        self.wanted, self.holds = wanted, holds
+
+    def faults(self, value, where: str):
+        if not self.holds(value):
+            yield f"{where}: expected {self.wanted}"
+
+
+class Many:
+    """A list, or an object of any keys, with at least one entry; all entries have one shape."""
+
+    def __init__(self, kind: type, entry):
+        self.kind, self.entry = kind, entry
+
+    def faults(self, value, where: str):
+        if not isinstance(value, self.kind) or not value:
+            yield f"{where}: expected a {'list' if self.kind is list else 'set of named entries'} that is not empty"
+            return
+        for name, entry in value.items() if self.kind is dict else enumerate(value):
+            yield from self.entry.faults(entry, f"{where}.{name}")
+
+
+class Record:
+    """An object with these fields."""
+
+    def __init__(self, **fields):
+        self.fields = fields
+
+    def faults(self, value, where: str):
+        if not isinstance(value, dict):
+            yield f"{where}: expected an object"
+            return
+        for name, shape in self.fields.items():
+            yield from shape.faults(value.get(name), f"{where}.{name}")
+
+
+TEXT = Leaf("a text that is not blank", lambda v: isinstance(v, str) and v.strip() != "")
+CONFIG_SHAPE = Record(
+    default_rule_set=TEXT,
+    rule_sets=Many(dict, Record(
+        scenarios=Many(dict, Many(list, TEXT)),
+        rules=Many(list, Record(rule_id=TEXT, scenario=TEXT, summary=TEXT, priority=Leaf("a whole number or nothing", lambda v: v is None or isinstance(v, int)),
+                                conditions=Leaf("an object or nothing", lambda v: v is None or isinstance(v, dict)))))))
+
+
+def _loose_ends(config: dict):
+    """Names that a well-shaped configuration mentions but does not define, and ids defined twice."""
+    sets = config["rule_sets"]
+    if config["default_rule_set"] not in sets:
+        yield f"default_rule_set: no rule set {config['default_rule_set']!r}"
+    for name, one in sets.items():
+        ids = [r["rule_id"] for r in one["rules"]]
+        yield from (f"rule_sets.{name}: rule id {i!r} is there {ids.count(i)} times" for i in dict.fromkeys(ids) if ids.count(i) > 1)
+        yield from (f"rule_sets.{name}: rule {r['rule_id']!r} names no scenario: {r['scenario']!r}" for r in one["rules"] if r["scenario"] not in one["scenarios"])
+
+
 def validate_rule_config(config: dict) -> dict:
-    """Structural checks of a rule configuration (driver-side metadata only)."""
-    if not isinstance(config, dict) or not isinstance(config.get("rule_sets"), dict) or not config["rule_sets"]:
-        raise RuleSetError("rule configuration needs a non-empty 'rule_sets' object")
-    default = config.get("default_rule_set")
-    if default not in config["rule_sets"]:
-        raise RuleSetError(f"default rule set {default!r} is not defined")
-    for name, rs in config["rule_sets"].items():
-        scenarios, rules = rs.get("scenarios"), rs.get("rules")
-        if not isinstance(scenarios, dict) or not scenarios:
-            raise RuleSetError(f"rule set {name!r} needs scenarios")
-        if not isinstance(rules, list) or not rules:
-            raise RuleSetError(f"rule set {name!r} needs rules")
-        seen = set()
-        for rule in rules:
-            rid = rule.get("rule_id")
-            if not rid or rid in seen:
-                raise RuleSetError(f"rule set {name!r}: missing or repeated rule_id {rid!r}")
-            seen.add(rid)
-            if rule.get("scenario") not in scenarios:
-                raise RuleSetError(f"rule {rid!r} references unknown scenario {rule.get('scenario')!r}")
-            if not str(rule.get("summary") or "").strip():
-                raise RuleSetError(f"rule {rid!r} needs a summary")
-            if not isinstance(rule.get("conditions", {}), dict):
-                raise RuleSetError(f"rule {rid!r}: conditions must be an object")
+    """The configuration, or a RuleSetError that lists all its faults."""
+    faults = list(CONFIG_SHAPE.faults(config, "config")) or list(_loose_ends(config))
+    if faults:
+        raise RuleSetError("; ".join(faults))
     return config
 
 
+def save_rule_config(spark: SparkSession, config: dict, path: str) -> str:
+    """Store a valid configuration as text that Spark writes, so that any shared store holds it."""
+    text = json.dumps(validate_rule_config(config), ensure_ascii=False)
+    spark.createDataFrame([(text,)], "value string").write.mode("overwrite").text(path)
+    return path
+
+
 def default_config() -> dict:
     return {"default_rule_set": DEFAULT_RULE_SET, "rule_sets": copy.deepcopy(RULE_SETS)}
 
 
-def load_rule_config(path: str | None = None) -> dict:
-    """Shipped rule sets, or an override JSON file validated the same way."""
+def load_rule_config(path: str | None = None, spark: SparkSession | None = None) -> dict:
+    """The shipped rule sets, or a stored configuration (with ``spark``: read by Spark), validated alike."""
     if path is None:
         return validate_rule_config(default_config())
+    if spark is not None:
+        return validate_rule_config(json.loads("\n".join(r["value"] for r in spark.read.text(path, wholetext=True).collect())))
     with open(path, encoding="utf-8") as fh:
         return validate_rule_config(json.load(fh))
 
@@ -90,60 +140,51 @@ def rule_set(name: str | None = None, config: dict | None = None) -> tuple[str,
     return resolved, cfg["rule_sets"][resolved]
 
 
-def ordered_rules(rules: Sequence[dict]) -> list[dict]:
-    """Priority descending, then rule_id descending (text order)."""
-    return sorted(rules, key=lambda r: (int(r.get("priority", 0)), str(r.get("rule_id", ""))), reverse=True)
+# ---------------------------------------------------------------------------
+# Conditions as a table of tests
 
 
-# ---------------------------------------------------------------------------
-# Condition → Column compiler
+def _member(fact: Column, values) -> Column:
+    values = values if isinstance(values, list) else [values]
+    return reduce(Column.__or__, [_same(fact, v) for v in values], F.lit(False))
+
 
+def _same(fact: Column, value) -> Column:
+    return fact.isNull() if value is None else fact == F.lit(value)
 
-def _fact(facts: DataFrame, name: str) -> Column:
-    return F.col(name) if name in facts.columns else F.lit(None)
 
+#: What a condition's last word asks of its fact; a condition without such a word asks for equality.
+TESTS = {
+    "min": lambda fact, bound: fact.cast("double") >= float(bound),
+    "max": lambda fact, bound: fact.cast("double") <= float(bound),
+    "in": _member,
+    "equals": _same,
+}
+_CONDITION = re.compile(f"(.+)_({'|'.join(TESTS)})")
 
-def _literal(value):
-    return F.lit(value)
 
+def condition(facts: DataFrame, key: str, value) -> Column:
+    """One condition as a truth value, never null; a fact that is not there is null."""
+    named = _CONDITION.fullmatch(key)
+    fact, test = named.groups() if named else (key, "equals")
+    column = F.col(fact) if fact in facts.columns else F.lit(None)
+    return F.coalesce(TESTS[test](column, value), F.lit(False))
 
-def compile_conditions(facts: DataFrame, conditions: dict) -> Column:
-    """All conditions must hold; an empty condition set always matches.
 
-    ``x_min``/``x_max``: numeric bound, a null fact fails; ``x_in``: membership;
-    ``x_equals`` and a bare key: equality (null equals only null)."""
-    expr = F.lit(True)
-    for key, expected in conditions.items():
-        if key.endswith("_min") or key.endswith("_max"):
-            field = _fact(facts, key[:-4])
-            num = field.cast("double")
-            bound = float(expected)
-            test = (num >= bound) if key.endswith("_min") else (num <= bound)
-            cond = field.isNotNull() & F.coalesce(test, F.lit(False))
-        elif key.endswith("_in"):
-            field = _fact(facts, key[:-3])
-            allowed = expected if isinstance(expected, list) else [expected]
-            non_null = [v for v in allowed if v is not None]
-            cond = F.coalesce(field.isin(*non_null), F.lit(False)) if non_null else F.lit(False)
-            if any(v is None for v in allowed):
-                cond = cond | field.isNull()
-        else:
-            name = key[:-7] if key.endswith("_equals") else key
-            field = _fact(facts, name)
-            cond = field.isNull() if expected is None else F.coalesce(field == _literal(expected), F.lit(False))
-        expr = expr & cond
-    return expr
+def applies(facts: DataFrame, rule: dict) -> Column:
+    """All conditions of the rule hold; a rule without conditions always applies."""
+    return reduce(Column.__and__, [condition(facts, k, v) for k, v in (rule.get("conditions") or {}).items()], F.lit(True))
 
 
 def match_rule(facts: DataFrame, rule_set_name: str | None = None, config: dict | None = None) -> DataFrame:
-    """D3: first matching rule by (priority, rule_id) descending; no match raises at run time."""
+    """D3: of the rules that apply to a row, the one of highest priority, of equal ones the last id in text
+    order: the greatest of their (priority, id) structs.  A row without any raises at run time."""
     resolved, rs = rule_set(rule_set_name, config)
-    rules = ordered_rules(rs["rules"])
-    chain = None
-    for i, rule in enumerate(rules):
-        cond = compile_conditions(facts, rule.get("conditions", {}))
-        chain = F.when(cond, F.lit(i)) if chain is None else chain.when(cond, F.lit(i))
-    idx = chain.otherwise(F.raise_error(F.lit("No rule matched the provided facts."))).cast("int") + 1
+    rules = rs["rules"]
+    offers = [F.when(applies(facts, r), F.struct(F.lit(int(r.get("priority") or 0)).alias("priority"), F.lit(r["rule_id"]).alias("rule_id"), F.lit(i).alias("place")))
+              for i, r in enumerate(rules)]
+    best = F.greatest(*offers, offers[0])       # nulls do not count; one rule alone is offered twice
+    idx = F.coalesce(best["place"], F.raise_error(F.lit("no rule applies to the facts")).cast("int")) + 1
     ids = F.array(*[F.lit(r["rule_id"]) for r in rules])
     scen = F.array(*[F.lit(r["scenario"]) for r in rules])
     summ = F.array(*[F.lit(r["summary"]) for r in rules])
@@ -162,10 +203,6 @@ def match_rule(facts: DataFrame, rule_set_name: str | None = None, config: dict
 # facts
 
 
-def _feature_names(factors: Column, pred) -> Column:
-    return F.transform(F.filter(factors, pred), lambda f: f["feature"])
-
-
 def add_factor_lists(df: DataFrame, factors: str = "top_factors") -> DataFrame:
     """D1 lists and D2 counters from a factor array (a null array counts as empty).
 

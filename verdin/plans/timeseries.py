@@ -252,7 +252,6 @@ def datetime_features(spark: SparkSession, sf: str) -> DataFrame:
     return o.select("o_orderkey", *tf.datetime_projection(F.col("o_orderdate"), "o_orderdate"))
 
 
-_TIME_TEXT_SPARK = None
 
 
 def _time_text(ts, kind, props):
