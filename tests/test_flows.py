@@ -74,3 +74,38 @@ def test_deleting_a_project_leaves_nothing_of_it_and_all_of_the_others(spark, re
     assert left == {"gone2", "stays"} and reg.forecast_run("r-gone").count() == 0 and reg.latest_comparison("gone").count() == 0
     assert tabular.load_dataset(spark, reg.root, "gone2", "d").count() == 2 and reg.forecast_run("r-stays").count() == 1
     assert reg.latest_comparison("stays").select(F.col("points")).first()[0] == 3
+
+
+def _regime(spark, lo, hi):
+    """Daily rows with a level shift from day 150 on (the shared retraining fixture with ids)."""
+    start = datetime(2024, 1, 1)
+    rows = []
+    for i in range(lo, hi):
+        t = start + timedelta(days=i)
+        rows.append((i, t.isoformat(), float(i), 10 + (i % 7) * 1.5, float(120 + 2.4 * i + 60 * (i >= 150) + (5 if t.weekday() < 5 else -7))))
+    return spark.createDataFrame(rows, "id long, at string, period double, warmth double, target double")
+
+
+def test_retraining_from_two_sources_and_from_a_stored_version(spark, reg):
+    flows.train_and_register(reg, _regime(spark, 0, 150), "r", "target", "id", {"backend": "forest"}, dataset_id="d1", model_id="m1", num_trees=10)
+    batch = _regime(spark, 150, 180)
+    sources = {"plan.csv": batch.select("at", "period", "target"), "weather.csv": batch.select("at", "warmth", (F.col("warmth") * 2).alias("more"))}
+    report = flows.inspect_batch(reg, "r", {"plan.csv": sources["plan.csv"]})
+    assert report["missing_inputs"] == report["missing_features"] == ["warmth"] and not report["ready"] and report["problem"] is None
+    report = flows.inspect_batch(reg, "r", {"weather.csv": batch.drop("at")})
+    assert report["missing_inputs"] == ["at"] and {"at__hour", "at__month"} <= set(report["missing_features"])
+    with pytest.raises(ValueError, match="warmth"):
+        flows.retrain_project(reg, "r", {"plan.csv": sources["plan.csv"]})
+    got = flows.retrain_project(reg, "r", sources, options={"history_scope": "last_30_days", "minimum_relative_improvement": 0.01, "auto_activate": False}, num_trees=10)
+    assert got["inspection"]["ready"] and got["inspection"]["extra_columns"] == ["more"]
+    assert got["inspection"]["provided"] == {"plan.csv": ["at", "period"], "weather.csv": ["at", "warmth"]} or set(got["inspection"]["provided"]["plan.csv"]) == {"at", "period"}
+    s = got["summary"]
+    assert (s["historical_rows_selected"], s["new_rows_used_for_training"], s["new_rows_reserved_for_evaluation"], s["candidate_training_rows"]) == (31, 24, 6, 55)
+    assert not got["activated"] and flows.champion(reg, "r")["model_id"] == "m1" and reg.datasets("r").count() == 2
+    flows.store_dataset(reg, batch, "r", "target", "d2")
+    again = flows.retrain_project(reg, "r", dataset_id="d2", options={"minimum_relative_improvement": 0.01}, model_id="m2", num_trees=10)
+    s = again["summary"]
+    assert (s["historical_rows_selected"], s["new_rows_reserved_for_evaluation"], s["candidate_training_rows"]) == (150, 6, 174) and s["is_better"]
+    assert again["activated"] and flows.champion(reg, "r")["model_id"] == "m2" and flows.record_of(reg, "r", "m2")["retraining"]["activated"]
+    with pytest.raises(ValueError, match="either"):
+        flows.retrain_project(reg, "r")

@@ -138,3 +138,97 @@ def record_of(reg: Registry, project_id: str, version_id: str) -> dict:
     if row is None:
         raise ValueError(f"project {project_id!r} has no model version {version_id!r}")
     return json.loads(row["record"])
+
+
+# --- V4 / L6: retraining a project from several sources or a stored version
+
+def needed_inputs(model: ml.TabularModel) -> dict[str, list[str]]:
+    """Source column → the model's features made of it: engineered features lead back through the projector to the time
+    column they were taken from, all others are columns themselves."""
+    times = [*model.projector.getOrDefault(model.projector.datetimeCols), *model.projector.getOrDefault(model.projector.timeCols)]
+    out: dict[str, list[str]] = {}
+    for f in model.features:
+        source = next((t for t in sorted(times, key=len, reverse=True) if f.startswith(f"{t}__")), f)
+        out.setdefault(source, []).append(f)
+    return out
+
+
+def gather_batch(model: ml.TabularModel, target: str, sources: dict[str, DataFrame]) -> DataFrame:
+    """One table of several sources: each on its inferred time axis, merged (J5); the merged axis takes the name of the model's
+    first time column, so that its projected features find their input again."""
+    if len(sources) == 1:
+        return tabular.normalize_frame(next(iter(sources.values())))
+    from verdin.operators.merge import merge_on_time
+    from verdin.plans.timeseries import prepare_for_merge
+    frames = [(name, prepare_for_merge(tabular.normalize_frame(df).withColumn("_ord", F.monotonically_increasing_id()), "_ord")) for name, df in sources.items()]
+    merged = merge_on_time(frames, "timestamp", target)
+    axis = next(iter(model.projector.getOrDefault(model.projector.datetimeCols)), None)
+    return merged.withColumnRenamed("timestamp", axis) if axis and axis not in merged.columns else merged
+
+
+def inspect_batch(reg: Registry, project_id: str, sources: dict[str, DataFrame]) -> dict:
+    """V4 against the champion: which inputs each source gives, which features and inputs are missing, which columns are extra, and
+    whether the merged rows can be trained on."""
+    from verdin.operators.profile import ValidationError, validate_training_frame
+    from verdin.operators.retrain import MIN_RETRAIN_ROWS
+    top = champion(reg, project_id)
+    model, record = tabular.load_model_bundle(reg.spark, top["bundle_path"]), json.loads(top["record"])
+    batch = gather_batch(model, top["target"], sources)
+    needed = needed_inputs(model)
+    missing = [s for s in needed if s not in batch.columns]
+    problem = None
+    if top["target"] not in batch.columns:
+        problem = f"target {top['target']!r} is missing"
+    else:
+        try:
+            validate_training_frame(batch, top["target"], min_rows=MIN_RETRAIN_ROWS)
+        except ValidationError as exc:
+            problem = str(exc)
+    return {"champion": {k: top[k] for k in ("model_id", "dataset_id", "task_type", "target")}, "rows": batch.count(), "problem": problem,
+            "provided": {name: [s for s in needed if s in df.columns] for name, df in sources.items()},
+            "missing_inputs": missing, "missing_features": [f for s in missing for f in needed[s]],
+            "extra_columns": [c for c in batch.columns if c not in needed and c not in (top["target"], record.get("id_col"))],
+            "ready": problem is None and not missing}
+
+
+def retrain_project(reg: Registry, project_id: str, sources: dict[str, DataFrame] | None = None, dataset_id: str | None = None,
+                    options=None, model_id: str | None = None, **forest_kw) -> dict:
+    """L6 for a project: the batch (several sources, or a stored dataset version) is inspected, a candidate is trained on the champion's
+    history and the batch's training rows, stored with its own dataset version and registered; it becomes champion where the
+    gain on the reserved rows meets the threshold and the options activate it."""
+    from verdin.operators.merge import unify_types
+    from verdin.operators.retrain import retrain
+    from verdin.options import RetrainingOptions
+    o = options if isinstance(options, RetrainingOptions) else RetrainingOptions.from_payload(options)
+    if (sources is None) == (dataset_id is None):
+        raise ValueError("give either sources or a stored dataset version")
+    top = champion(reg, project_id)
+    model, record = tabular.load_model_bundle(reg.spark, top["bundle_path"]), json.loads(top["record"])
+    sources = sources or {dataset_id: tabular.load_dataset(reg.spark, reg.root, project_id, dataset_id)}
+    report = inspect_batch(reg, project_id, sources)
+    if not report["ready"]:
+        raise ValueError(f"the batch cannot be used: {report['problem'] or 'missing inputs ' + ', '.join(report['missing_inputs'])}")
+    target, id_col = top["target"], record["id_col"]
+    batch = gather_batch(model, target, sources)
+    history = tabular.load_dataset(reg.spark, reg.root, project_id, top["dataset_id"])
+    axis = next(iter(model.projector.getOrDefault(model.projector.datetimeCols)), None)
+    names = [c for c in history.columns if c != id_col]
+    # rows are told apart by their content where a merged batch has no ids
+    own_id = id_col if id_col in batch.columns else "__row"
+    history, batch = unify_types([history.select(*[F.col(f"`{c}`") for c in names], *([F.col(f"`{id_col}`")] if own_id == id_col else [])),
+                                  batch.select(*[F.col(f"`{c}`") for c in names if c in batch.columns], *([F.col(f"`{id_col}`")] if own_id == id_col else []))])
+    if own_id != id_col:
+        history, batch = (df.withColumn(own_id, F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])) for df in (history, batch))
+    if axis and history.schema[axis].dataType.typeName() == "string":
+        from verdin.functions.timefuncs import parse_timestamp
+        history, batch = (df.withColumn(axis, parse_timestamp(F.col(f"`{axis}`"))) for df in (history, batch))
+    found = retrain(history, batch, model, target, own_id, axis, o, **forest_kw)
+    model_id = model_id or _new_id("m")
+    stored = store_dataset(reg, found.rows, project_id, target, unit=top["unit"])
+    path = bundle_path(reg, project_id, model_id)
+    tabular.save_model_bundle(reg.spark, found.candidate, path)
+    reg.register_model(project_id, model_id, stored, found.candidate.task_type, top["metric_name"], found.summary["candidate_value"],
+                       found.candidate.record() | {"id_col": own_id, "retraining": found.summary}, "candidate", bundle_path=path)
+    if found.summary["activated"]:
+        reg.activate(project_id, model_id)
+    return {"model_id": model_id, "dataset_id": stored, "activated": found.summary["activated"], "summary": found.summary, "inspection": report}
