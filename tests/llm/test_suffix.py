@@ -102,3 +102,20 @@ def test_long_text_in_segments(monkeypatch):
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert X.remove_repeats(df).collect() == []
+
+
+def test_thousands_of_equal_rows_are_fetched_once(spark, monkeypatch):
+    """Equal rows whose text shares grams with others: one copy of their bytes goes into the sort."""
+    rnd = random.Random(9)
+    words = lambda n: " ".join(rnd.choice(["alpha", "beta", "gamma", "delta"]) + str(rnd.randrange(90)) for _ in range(n))
+    shared = words(40)
+    texts = [words(20) + shared + words(20) for _ in range(4)]
+    rows = [(1, texts[0])] * 3000 + [(i + 2, t) for i, t in enumerate(texts[1:])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    tables, real = {}, X.stored
+    monkeypatch.setattr(X, "stored", lambda frame, name: tables.setdefault(name, real(frame, name)))
+    got = X.remove_repeats(df, 200).collect()
+    want = brute([t for _, t in rows[:2]] + texts[1:], 200)      # two copies repeat all that three thousand do
+    by = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got}
+    assert len(got) == 3003 and by == {1: want[0], **{i + 2: w for i, w in enumerate(want[2:])}}
+    assert tables["pieces"].groupBy("gram", "cell", "content", "n", "shift", "at").count().where("count > 1").count() == 0 and tables["pieces"].count() < 60

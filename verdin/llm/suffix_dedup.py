@@ -200,7 +200,9 @@ def removals(docs: DataFrame, length: int = 400, hot: int = 2000, block_starts:
                                                  names=[c.split()[0] for c in piece.split(", ")])
 
     same = (base["doc_id"].eqNullSafe(F.col("w_id"))) & (base["h"] == F.col("w_h"))
-    pieces = stored(base.join(wanted, same).select("text", "wanted").mapInArrow(fetch, piece), "pieces")
+    # of equal rows one is asked: they hold the same bytes
+    once = base.join(wanted, same).dropDuplicates(["doc_id", "h"])
+    pieces = stored(once.select("text", "wanted").mapInArrow(fetch, piece), "pieces")
     # cell 0: of a bucket that is not cut
     full = stored(pieces.where("cell <> 0").groupBy("gram", "cell").agg(F.count("*").alias("k")).where(F.col("k") > hot).select("gram", "cell"), "full-cells")
 
@@ -225,7 +227,7 @@ def removals(docs: DataFrame, length: int = 400, hot: int = 2000, block_starts:
         def solve(rows):
             head, cell, named, n, shift, at, count, data = rows
             bucket = np.cumsum(np.concatenate([[0], (head[1:] != head[:-1]) | (cell[1:] != cell[:-1])]))
-            # repeated rows fetch a representative twice
+            # each piece once
             _, first = np.unique(np.stack([bucket, named, n, shift, at]), axis=1, return_index=True)
             first.sort()
             sizes = np.array([len(data[k]) for k in first])
