@@ -42,3 +42,14 @@ def test_validation_errors(spark):
         profile.align_features(df, ["a", "missing"])
     rep = profile.resolve_missing_inputs(["Час", "x"], ["Дата__ts", "Дата__hour", "Час"])
     assert rep["missing_inputs"] == ["Дата"] and not rep["ready"]
+
+
+def test_examples_sample_and_reasons(spark):
+    from verdin.operators import profile
+    df = spark.createDataFrame([(i, None if i < 3 else i * 0.5, None, "same") for i in range(50)], "id long, target double, void string, one string").repartition(7)
+    got = {r.column_name: r.example_values for r in profile.example_values(df, ["id"]).collect()}
+    assert got == {"id": ["0", "1", "2", "3"], "target": ["1.5", "2.0", "2.5", "3.0"], "void": [], "one": ["same"] * 4}
+    assert [r.id for r in profile.sample_rows(df, ["id"]).collect()] == list(range(12))
+    why = {r.column_name: r.target_reason for r in profile.target_reason(profile.column_profile(spark, df)).collect()}
+    assert "named like a target" in why["target"] and "one value only" in why["one"] and "identifier" in why["id"]
+    assert profile.example_values(df.limit(0), ["id"]).count() == 4

@@ -324,6 +324,33 @@ def target_distribution(df: DataFrame, target: str, task: str, bins: int = HISTO
                     F.bround(F.col("_lo") + w * (F.col("bin") + 1), 6).alias("upper"), "count")
 
 
+def example_values(df: DataFrame, order: Sequence[str], k: int = 4) -> DataFrame:
+    """A2: of each column the first ``k`` non-null values along ``order`` as text (a row a column, empty for a column of
+    nulls).  The rank limit is applied by each task before the shuffle, so a task sends ``k`` values a column."""
+    cells = [F.struct(F.lit(i).alias("position"), F.lit(c).alias("column_name"), _q(c).cast("string").alias("value")) for i, c in enumerate(df.columns)]
+    long = df.select(*[_q(c).alias(f"_o{i}") for i, c in enumerate(order)], F.explode(F.array(*cells)).alias("_c")).select("_c.*", *[f"_o{i}" for i in range(len(order))])
+    w = Window.partitionBy("position", "column_name").orderBy(*[f"_o{i}" for i in range(len(order))], "value")
+    first = long.where(F.col("value").isNotNull()).withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= k)
+    found = first.groupBy("column_name").agg(F.transform(F.array_sort(F.collect_list(F.struct("_rank", "value"))), lambda x: x["value"]).alias("example_values"))
+    names = df.sparkSession.createDataFrame([(i, c) for i, c in enumerate(df.columns)], "position int, column_name string")
+    return names.join(found, "column_name", "left").select("position", "column_name", F.coalesce("example_values", F.array().cast("array<string>")).alias("example_values"))
+
+
+def sample_rows(df: DataFrame, order: Sequence[str], k: int = 12) -> DataFrame:
+    """A1: the first ``k`` rows along ``order`` (a top-k, never a sort of the table)."""
+    return df.orderBy(*[_q(c) for c in order]).limit(k)
+
+
+def target_reason(profile: DataFrame) -> DataFrame:
+    """A2: the parts of each column's target score in words (``column_name``, ``target_reason``)."""
+    task, ratio = F.col("suggested_task_type"), F.col("distinct_ratio")
+    why = [F.when(_name_has_target_hint(F.col("column_name")), "named like a target"), F.when(task.isNotNull(), F.concat(F.lit("fits "), task)),
+           F.when(F.col("missing_values") == 0, "no missing values"), F.when(F.col("distinct_values") < 2, "one value only"),
+           F.when(F.col("looks_like_identifier"), "looks like an identifier"), F.when(F.col("kind").isin("datetime", "time"), "a time column"),
+           F.when((ratio > 0.98) & (F.col("kind") == "text"), "nearly all texts differ")]
+    return profile.select("column_name", F.concat_ws("; ", *why).alias("target_reason"))
+
+
 def inspection_summary(spark: SparkSession, df: DataFrame, target: str | None = None,
                        project: DataFrame | None = None) -> dict[str, DataFrame]:
     """A7 (+ A8 when a project summary row is given): the whole upload profile as lazy
@@ -335,6 +362,7 @@ def inspection_summary(spark: SparkSession, df: DataFrame, target: str | None =
     out = {"profile": prof, "ranking": ranking, "kinds": kind_summary(spark, prof), "unit": unit_suggestion(df)}
     chosen = target or ranking.filter("recommended").select("column_name").first()["column_name"]
     out["summary"] = dataset_summary(df, chosen)
+    out["reasons"], out["examples"], out["sample"] = target_reason(prof), example_values(df, df.columns[:1]), sample_rows(df, df.columns[:1])
     task = prof.filter(F.col("column_name") == chosen).select("suggested_task_type").first()[0]
     out["target_summary"] = (target_summary_numeric(df, chosen) if task == "regression"
                              else target_summary_class(df, chosen))

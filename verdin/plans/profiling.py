@@ -117,3 +117,23 @@ WHERE o_orderpriority IS NOT NULL GROUP BY 1
 def target_classes(spark: SparkSession, sf: str) -> DataFrame:
     """A11 (classification): class counts of o_orderpriority."""
     return P.target_distribution(table(spark, sf, "orders"), "o_orderpriority", "multiclass")
+
+
+_ORDER_COLUMNS = ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority", "blank")
+
+
+@register("column_examples", "WITH o AS (SELECT *, CASE WHEN o_orderkey % 7 = 3 THEN 'seven' END AS blank FROM orders), u AS ("
+          + " UNION ALL ".join(f"SELECT {i} AS position, '{c}' AS column_name, o_orderkey, CAST({c} AS VARCHAR) AS value FROM o WHERE {c} IS NOT NULL"
+                               for i, c in enumerate(_ORDER_COLUMNS) if c != "o_totalprice")
+          + """), r AS (SELECT *, row_number() OVER (PARTITION BY position ORDER BY o_orderkey) AS k FROM u)
+SELECT position, column_name, string_agg(value, '|' ORDER BY k) AS example_values FROM r WHERE k <= 4 GROUP BY position, column_name""")
+def column_examples(spark: SparkSession, sf: str) -> DataFrame:
+    """A2: the first four values of each column of orders along its key (the price is left to the tests: engines print doubles differently)."""
+    o = table(spark, sf, "orders").withColumn("blank", F.when(F.col("o_orderkey") % 7 == 3, "seven"))
+    return P.example_values(o, ["o_orderkey"]).where("column_name <> 'o_totalprice'").select("position", "column_name", F.array_join("example_values", "|").alias("example_values"))
+
+
+@register("sample_rows", "SELECT * FROM orders ORDER BY o_orderkey LIMIT 12")
+def sample_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """A1: the first twelve orders along their key."""
+    return P.sample_rows(table(spark, sf, "orders"), ["o_orderkey"])
