@@ -332,3 +332,48 @@ def shap_top_factor(spark: SparkSession, sf: str) -> DataFrame:
     first = F.col("top_factors")[0]
     return top.select(F.col("row_id").alias("o_orderkey"), first["feature"].alias("feature"), first["impact_score"].alias("impact"),
                       (first["direction"] == "positive").alias("positive"), F.size("top_factors").cast("long").alias("n_factors"))
+
+
+_LINEAR_SQL = """
+WITH r AS (SELECT o_orderkey, o_orderdate, o_totalprice / 10000 AS price, o_totalprice / 10000 + c_acctbal / 500 AS target
+           FROM orders JOIN customer ON o_custkey = c_custkey),
+"""
+
+
+def _linear_rows(spark: SparkSession, sf: str) -> DataFrame:
+    o, c = table(spark, sf, "orders"), table(spark, sf, "customer")
+    price = F.col("o_totalprice") / 10000
+    return o.join(c, o.o_custkey == c.c_custkey).select("o_orderkey", "o_orderdate", price.alias("price"), (price + F.col("c_acctbal") / 500).alias("target"))
+
+
+def _linear_model(train: DataFrame) -> ml.TabularModel:
+    """The bundle of a least-squares line of the target on the price: a model whose predictions are known."""
+    pipeline = _one_feature(ml.label_column(train, "target", "regression", None), "price")
+    return ml.TabularModel(pipeline, "regression", "target", ["price"], ["price"], [], None, ml.TemporalProjector())
+
+
+@register("linear_holdout", _LINEAR_SQL + """
+s AS (SELECT *, row_number() OVER (ORDER BY md5(o_orderkey::VARCHAR || '42')) <= ceil(count(*) OVER () * 0.2) AS test FROM r),
+m AS (SELECT regr_slope(target, price) AS a, regr_intercept(target, price) AS b FROM s WHERE NOT test)
+SELECT o_orderkey, round(price, 6) AS price, round(target, 6) AS actual, round(a * price + b, 6) AS prediction, round_even(a * price + b - target, 6) AS error FROM s, m WHERE test""")
+def linear_holdout(spark: SparkSession, sf: str) -> DataFrame:
+    """M5 + M7 + M9: the holdout table of a linear model: inputs, actual, prediction and error of each held-out order."""
+    split = ml.seeded_split(_linear_rows(spark, sf).drop("o_orderdate"), "o_orderkey", 0.2)
+    model = _linear_model(split.where("split = 'train'"))
+    table_ = ml.holdout_table(ml.score(model, split.where("split = 'test'")), model, "o_orderkey")
+    return table_.select("o_orderkey", F.round("record.price", 6).alias("price"), F.round("actual", 6).alias("actual"), F.round("prediction", 6).alias("prediction"), "error")
+
+
+@register("linear_compare", _LINEAR_SQL + """
+m AS (SELECT regr_slope(target, price) AS a, regr_intercept(target, price) AS b FROM r WHERE o_orderdate < TIMESTAMP '2000-01-01'),
+p AS (SELECT o_orderkey, target, a * price + b AS prediction FROM r, m WHERE o_orderdate >= TIMESTAMP '2000-01-01'),
+g AS (SELECT count(*) AS n, avg((prediction - target) ** 2) AS mse, avg(abs(prediction - target)) AS mae, var_pop(target) AS v FROM p)
+SELECT o_orderkey, round(target, 6) AS actual, round(prediction, 6) AS prediction, round(sqrt(mse), 6) AS rmse, round(mae, 6) AS mae, round(1 - mse / v, 6) AS r2,
+       round(n * ln(mse) + 2, 4) AS aic FROM p, g""")
+def linear_compare(spark: SparkSession, sf: str) -> DataFrame:
+    """J8 + M10: a linear model of the orders before 2000 scores the later ones in place, with k = 1 metrics."""
+    rows, cut = _linear_rows(spark, sf), F.lit("2000-01-01").cast("timestamp_ntz")
+    model = _linear_model(rows.where(F.col("o_orderdate") < cut))
+    pairs, metrics = ml.compare_with_actual(model, rows.where(F.col("o_orderdate") >= cut), "o_orderkey")
+    return pairs.select("o_orderkey", F.round("actual", 6).alias("actual"), F.round("prediction", 6).alias("prediction"),
+                        *[F.lit(metrics[k]).alias(k) for k in ("rmse", "mae", "r2")], F.round(F.lit(metrics["aic"]), 4).alias("aic"))

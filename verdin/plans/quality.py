@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verdin.operators import metrics as M
+from verdin.operators import ml
 from verdin.plans.registry import register
 from verdin.sources.tables import table
 
@@ -111,20 +112,6 @@ def improvement_gate(spark: SparkSession, sf: str) -> DataFrame:
     return j.select("l_linestatus", "current_rmse", "candidate_rmse", *[v.alias(k) for k, v in gain.items()])
 
 
-def stratified_split(df: DataFrame, label: str, id_col: str, test_size: float = 0.2, seed: int = 42) -> DataFrame:
-    """M5: per class, rows ordered by md5(id || seed); the first ceil(test_size · n_class)
-    go to test.  Deterministic, seed-stable and identical in any SQL engine.
-
-    Ordinals come from the chunked series primitive (chunks over the first 48 bits of
-    the hash), so a class holding most rows is still numbered by many tasks."""
-    from verdin.operators.series import sequenced
-    key = F.md5(F.concat(F.col(id_col).cast("string"), F.lit(str(seed))))
-    keyed = df.withColumn("_k", key).withColumn("_h", F.conv(F.substring("_k", 1, 12), 16, 10).cast("long"))
-    seq = sequenced(keyed, [label], ["_h", "_k"])
-    test = F.col("_pos") <= F.ceil(F.col("_n") * F.lit(test_size))
-    return seq.withColumn("split", F.when(test, F.lit("test")).otherwise(F.lit("train"))).drop("_k", "_h", "_pos", "_n")
-
-
 @register("stratified_split", """
 WITH j AS (SELECT l.doc_id, l.quality FROM labels l JOIN documents d USING (doc_id)),
 r AS (SELECT *, row_number() OVER (PARTITION BY quality ORDER BY md5(CAST(doc_id AS VARCHAR) || '42')) AS rk,
@@ -133,4 +120,4 @@ SELECT doc_id, quality, CASE WHEN rk <= ceil(n * 0.2) THEN 'test' ELSE 'train' E
 """)
 def stratified_split_query(spark: SparkSession, sf: str) -> DataFrame:
     """M5: seeded stratified 80/20 split of labelled documents."""
-    return stratified_split(labelled_docs(spark, sf).select("doc_id", "quality"), "quality", "doc_id")
+    return ml.seeded_split(labelled_docs(spark, sf).select("doc_id", "quality"), "doc_id", 0.2, stratify="quality")
