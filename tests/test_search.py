@@ -94,15 +94,15 @@ def test_every_code_fits_every_task_and_the_model_is_the_blend(spark, target, ta
 def test_a_slow_candidate_is_cut_and_the_board_says_so(spark):
     def slow(code, *args):
         if code == "nn":
-            args[1].sparkSession.range(40, numPartitions=8).selectExpr("java_method('java.lang.Thread', 'sleep', 60000L)").count()
+            args[1].sparkSession.sparkContext.parallelize(range(40), 8).foreach(lambda _: time.sleep(60))
         return search.fit_candidate(code, *args)
 
-    opts = TrainingOptions.from_payload({"algos": ["nn", "linear_l2"], "timeout_seconds": 40, "cv_folds": 2})
+    opts = TrainingOptions.from_payload({"algos": ["nn", "linear_l2"], "timeout_seconds": 100, "cv_folds": 2})
     began = time.time()
     found = search.search(_rows(spark).select("id", "f", "g", "y"), "y", "id", opts, fit=slow)
     board = {r["candidate"]: r for r in found.board.collect()}
     assert board["nn"]["status"].startswith("stopped after") and board["nn"]["blend_weight"] == 0 and board["nn"]["cv_metric"] is None
-    assert board["linear_l2"]["status"] == "fitted" and list(found.weights) == ["linear_l2"] and time.time() - began < 110
+    assert board["linear_l2"]["status"] == "fitted" and list(found.weights) == ["linear_l2"] and time.time() - began < 300
     assert found.model.composition == {"linear_l2": 1.0}
 
 
