@@ -47,3 +47,37 @@ def test_clean_name_duration_and_round(spark):
     assert [r["n"] for r in rows] == ["a b", None, None]
     assert [r["d"] for r in rows] == ["1 дн", "2 ч", "90 сек"]
     assert rows[0]["r"] == 0.0 and rows[2]["r"] is None
+
+
+def test_request_shape_equals_a_search_through_the_counts(spark):
+    import math
+
+    from verdin.functions.numeric import request_shape
+    asked = [None, float("nan"), float("inf"), -3.0, 0.0, 4.0, 15.0, 120.0, 1439.0, 5000.0]
+    cases = [(a, c, p) for a in asked for c in (0, 1, 7, 60, 2000) for p in (None, float("nan"), float("inf"), 0.0, -1.0, 0.4, 1.5, 2.5, 2.51, 50.0, 719.5, 5000.0)]
+    df = spark.createDataFrame([(*x, i) for i, x in enumerate(cases)], "a double, c int, p double, i int")
+    got = {r.i: r for r in df.select("i", *request_shape("a", "c", "p")).collect()}
+    for i, (a, c, p) in enumerate(cases):
+        usable = a is not None and math.isfinite(a) and a > 0
+        interval = min(max(math.floor(a / 10 + 0.5) * 10, 10), 1440) if usable else 120
+        cadence = max(c, 1)
+        steps = max(1, math.ceil(interval / cadence))
+        counts = range(1, min(steps, 720) + 1)
+        points = min(counts, key=lambda n: (abs(n - p), n)) if p is not None and math.isfinite(p) and p > 0 else counts[-1]
+        r = got[i]
+        assert (r.interval_minutes, r.steps, r.total_minutes, r.point_count) == (interval, steps, steps * cadence, points), (a, c, p)
+        assert abs(r.display_step_minutes - steps * cadence / points) < 1e-6
+
+
+def test_time_of_a_record(spark):
+    from datetime import datetime
+
+    from pyspark.sql import functions as F
+
+    from verdin.functions.timefuncs import record_time_of
+    rows = [("2024-01-02 03:04:05", "2023-01-01", 1700000000), (None, "2023-01-01", 1700000000), ("nothing", None, 1700000000), (None, None, None)]
+    df = spark.createDataFrame(rows, "date string, `Дата` string, made__ts long").select(F.struct("*").alias("record"))
+    assert [r[0] for r in df.select(record_time_of(df, "record")).collect()] == [
+        datetime(2024, 1, 2, 3, 4, 5), datetime(2023, 1, 1), datetime(2023, 11, 14, 22, 13, 20), None]
+    bare = df.select(F.struct(F.lit(1).alias("x")).alias("record"))
+    assert bare.select(record_time_of(bare, "record")).first()[0] is None

@@ -39,3 +39,30 @@ def test_regression_holdout_and_unknown_categories(spark):
     assert {"rmse", "r2", "aic"} <= set(model.metrics)
     new = spark.createDataFrame([(100, 5.0, "never-seen", 0.0)], "id long, f double, cat string, y double")
     assert ml.score(model, model.projector.transform(new)).count() == 1
+
+
+def test_shuffled_copies_are_permutations_within_buckets(spark):
+    df = spark.createDataFrame([(i, float(i), f"t{i % 7}", None if i % 5 == 0 else i) for i in range(300)], "id long, a double, b string, c long")
+    copies = ml.shuffled_copies(df, ["a", "b", "c"], "id", bucket_rows=100).collect()
+    parts = {}
+    for r in copies:
+        parts.setdefault(r._feature, {})[r.id] = r
+    assert {f: len(rows) for f, rows in parts.items()} == {"": 300, "a": 300, "b": 300, "c": 300}
+    base = parts[""]
+    assert all((r.a, r.b, r.c) == (float(i), f"t{i % 7}", None if i % 5 == 0 else i) for i, r in base.items())
+    for f in ("a", "b", "c"):
+        rows = parts[f]
+        assert sorted(str(r[f]) for r in rows.values()) == sorted(str(r[f]) for r in base.values())
+        assert sum(rows[i][f] != base[i][f] for i in rows) > 150
+        assert all(rows[i][o] == base[i][o] for i in rows for o in ("a", "b", "c") if o != f)
+    again = {(r._feature, r.id): r for r in ml.shuffled_copies(df.repartition(7), ["c", "a", "b"], "id", bucket_rows=100).collect()}
+    assert all(again[r._feature, r.id].asDict() == r.asDict() for r in copies)
+
+
+def test_importance_of_no_rows_and_of_no_harm_is_even(spark):
+    df = spark.createDataFrame([(i, 1.0, float(i % 9)) for i in range(40)], "id long, a double, y double")
+    model, _ = ml.fit_tabular(df, "y", "id", task="regression", num_trees=2, importance=False)
+    rows = ml.label_column(df, "y", "regression", None)
+    assert ml.permutation_importance(model, rows, "id") == {"a": 1.0}
+    assert ml.permutation_importance(model, rows.limit(0), "id") == {"a": 1.0}
+    assert [r.feature for r in ml.importance_table(spark, {"x": 0.1, "b": 0.45, "a": 0.45}, 2).collect()] == ["a", "b"]

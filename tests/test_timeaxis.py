@@ -54,3 +54,21 @@ def test_merge_conflict_alias(spark):
     m = {r["timestamp"]: r for r in merge.merge_on_time([("a.csv", a), ("Second file.csv", b)]).collect()}
     assert m[datetime(2024, 1, 2)]["v"] == 2.0 and m[datetime(2024, 1, 2)]["v__second_file"] == 5.0
     assert m[datetime(2024, 1, 3)]["v"] == 3.0
+
+
+def test_temporal_order_positions_and_rows_without_an_axis(spark):
+    from datetime import datetime
+
+    from verdin.operators.temporal import temporal_order
+    df = spark.createDataFrame([(1, datetime(2024, 1, 2)), (2, None), (3, datetime(2024, 1, 1)), (4, datetime(2024, 1, 2))], "n long, at timestamp_ntz")
+    assert [r.n for r in temporal_order(df, "at", "n").collect()] == [3, 1, 4]
+    assert {r.n: r.place for r in temporal_order(df, "at", "n", position="place").collect()} == {3: 1, 1: 2, 4: 3}
+    assert [r.n for r in temporal_order(df, None, "n").collect()] == [1, 2, 3, 4]
+
+
+def test_items_attached_by_row(spark):
+    from verdin.operators.merge import attach_by_row
+    p = spark.createDataFrame([(1, 0.5), (2, 0.7)], "row_id long, prediction double")
+    items = spark.createDataFrame([(1, ["a"], "m"), (9, ["z"], "m")], "row_id long, factors array<string>, method string")
+    got = {r.row_id: (r.factors, r.method) for r in attach_by_row(p, items, empty=["factors"]).collect()}
+    assert got == {1: (["a"], "m"), 2: ([], None)}

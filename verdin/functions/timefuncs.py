@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import TimestampNTZType
 
@@ -149,3 +149,13 @@ def record_timestamp(record: Column, keys: list[str], epoch_fields: list[str]) -
     named = [parse_timestamp(record.getField(k)) for k in keys]
     epochs = [from_epoch_seconds(record.getField(k).cast("long")) for k in epoch_fields]
     return F.coalesce(*(named + epochs)) if (named or epochs) else F.lit(None).cast(TimestampNTZType())
+
+
+# Fields of a record that name its time, in the order in which they are tried.
+RECORD_TIME_KEYS = ("timestamp", "datetime", "date", "Дата", "Дата и время")
+
+
+def record_time_of(df: DataFrame, column: str) -> Column:
+    """X14 for a struct column: the fields are found from its schema (the fixed names, then every field ending in ``__ts``)."""
+    fields = df.schema[column].dataType.names
+    return record_timestamp(F.col(f"`{column}`"), [k for k in RECORD_TIME_KEYS if k in fields], [f for f in fields if f.endswith("__ts")])

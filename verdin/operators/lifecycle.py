@@ -8,7 +8,7 @@ rewrites of these small tables (Parquet, partitioned by project).
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from verdin.functions.text import clean_name
@@ -116,23 +116,44 @@ def project_summary(datasets: DataFrame, models: DataFrame, project: str = "proj
             .drop("_d_last", "_m_last"))
 
 
-def rename(df: DataFrame, id_col: str, target_id, new_name: str, name_col: str = "name") -> DataFrame:
-    """Set a cleaned display name on one record (blank → null)."""
-    return df.withColumn(name_col, F.when(F.col(id_col) == F.lit(target_id), clean_name(F.lit(new_name)))
-                         .otherwise(F.col(name_col)))
+def set_texts(df: DataFrame, changes: DataFrame, column: str, keys=("project_id", "version_id")) -> DataFrame:
+    """``column`` of the records named in ``changes`` (keys and ``value``) set to the cleaned value (blank → null); all other
+    records stay.  One join for any number of changes; of several changes of one record the largest value counts."""
+    new = changes.groupBy(*keys).agg(F.struct(clean_name(F.max("value")).alias("v")).alias("_new"))
+    return df.join(new, list(keys), "left").withColumn(column, F.when(F.col("_new").isNotNull(), F.col("_new.v")).otherwise(F.col(column))) \
+        .select(*df.columns)
+
+
+def _listed(path: str) -> Column:
+    return F.from_json(F.get_json_object("record", path), "array<string>")
 
 
 def model_summary(models: DataFrame) -> DataFrame:
-    """Compact projection of a model record."""
-    return models.select("project_id", "version_id", "task_type", "status", "metric_name", "metric_value",
-                         "created_at")
+    """Compact view of model records: the columns of the version, and of its training record the target, the primary metric, all
+    metrics, the features, and what it can forecast (with sizes in place of the rows it holds).  Missing parts are null, sizes 0."""
+    def of(path):
+        return F.get_json_object("record", path)
+
+    def size(path):
+        return F.coalesce(F.json_array_length(of(path)), F.lit(0))
+
+    forecasting = F.struct(F.coalesce(of("$.forecasting.enabled") == "true", F.lit(False)).alias("available"),
+                           of("$.forecasting.default_horizon_minutes").cast("int").alias("default_horizon_minutes"),
+                           of("$.forecasting.base_frequency_minutes").cast("int").alias("base_frequency_minutes"),
+                           size("$.forecasting.recent_history").alias("recent_history_rows"), size("$.forecasting.historical_fit").alias("historical_fit_rows"),
+                           of("$.forecasting.forecasting_model").alias("forecast_model"))
+    features = F.coalesce(_listed("$.features"), F.array().cast("array<string>"))
+    return models.select("project_id", "version_id", "name", "dataset_version_id", "task_type", of("$.target").alias("target"),
+                         F.coalesce(of("$.primary_metric"), F.col("metric_name")).alias("primary_metric"), "metric_value",
+                         F.from_json(of("$.metrics"), "map<string,double>").alias("metrics"), "status", features.alias("feature_names"),
+                         "created_at", forecasting.alias("forecasting"))
 
 
 # ---------------------------------------------------------------------------
 # Registry tables on shared storage
 
 MODEL_SCHEMA = ("project_id string, version_id string, dataset_version_id string, task_type string, "
-                "metric_name string, metric_value double, status string, created_at timestamp_ntz, record string, bundle_path string")
+                "metric_name string, metric_value double, status string, created_at timestamp_ntz, record string, bundle_path string, name string")
 FORECAST_SCHEMA = "run_id string, project_id string, step int, ts timestamp_ntz, prediction double, unit string"
 
 
@@ -189,6 +210,8 @@ class Registry:
         join their projects in the order of (created_at, version_id).  One becomes champion where its project has none or it is strictly
         better on the primary metric than the champion so far; the one before is archived; ``candidate`` rows stay candidates.
         Windows over a project's new versions; the projects' partitions are replaced."""
+        if "name" not in new.columns:
+            new = new.withColumn("name", F.lit(None).cast("string"))
         rows = new.checkpoint(eager=True)
         old = self.models()
         self._refuse_known(rows, old)
@@ -213,13 +236,13 @@ class Registry:
 
     def register_model(self, project_id: str, version_id: str, dataset_version_id: str | None, task_type: str,
                        metric_name: str, metric_value: float, record: dict | None = None,
-                       mode: str = "auto", created_at=None, bundle_path: str | None = None) -> str:
+                       mode: str = "auto", created_at=None, bundle_path: str | None = None, name: str | None = None) -> str:
         """L1/L5 for one version; returns its status."""
         import datetime as dt
         import json
         ts = created_at or dt.datetime.now(dt.UTC).replace(tzinfo=None)
         self.register_models(self.spark.createDataFrame(
-            [(project_id, version_id, dataset_version_id, task_type, metric_name, float(metric_value), ts, json.dumps(record or {}, default=str), bundle_path, mode)],
+            [(project_id, version_id, dataset_version_id, task_type, metric_name, float(metric_value), ts, json.dumps(record or {}, default=str), bundle_path, name, mode)],
             MODEL_SCHEMA.replace(" status string,", "") + ", mode string"))
         return self.models(project_id).where(F.col("version_id") == version_id).first()["status"]
 
@@ -237,7 +260,39 @@ class Registry:
         """L3 (Q10 tie-break on version id)."""
         return latest(self.models(project_id))
 
+    # -- L10 ------------------------------------------------------------------
+    def _set_texts(self, name: str, current: DataFrame, changes: DataFrame, column: str) -> None:
+        keys = ["project_id", "version_id"]
+        changes = changes.select(*keys, F.col("value").cast("string").alias("value")).checkpoint(eager=True)
+        unknown = changes.join(current, keys, "left_anti").select(*keys).limit(1).collect()
+        if unknown:
+            raise ValueError(f"project {unknown[0][0]!r} has no version {unknown[0][1]!r} in {name}")
+        mine = current.join(changes.select("project_id").distinct(), "project_id", "left_semi")
+        self._write_project(name, set_texts(mine, changes, column).checkpoint(eager=True))
+
+    def rename_models(self, changes: DataFrame) -> None:
+        """Names of model versions (project_id, version_id, value); an unknown version is an error and nothing changes."""
+        self._set_texts("model_versions", self.models(), changes, "name")
+
+    def rename_datasets(self, changes: DataFrame) -> None:
+        """Names of dataset versions, as :meth:`rename_models`."""
+        self._set_texts("dataset_versions", self.datasets(), changes, "name")
+
+    def set_units(self, changes: DataFrame) -> None:
+        """Units of dataset versions, as :meth:`rename_models`; later forecast runs take the new unit."""
+        self._set_texts("dataset_versions", self.datasets(), changes, "unit")
+
     # -- L7 -------------------------------------------------------------------
+    def append_forecast_runs(self, points: DataFrame, dataset_ids: DataFrame | None = None) -> None:
+        """L7 for any number of runs at once: points (run_id, project_id, step, ts, prediction) are appended with the unit of the dataset
+        version they were forecast from: ``dataset_ids`` (project_id, version_id), by default each project's latest version."""
+        ds = self.datasets()
+        named = latest(ds) if dataset_ids is None else ds.join(dataset_ids.select("project_id", "version_id").distinct(), ["project_id", "version_id"], "left_semi")
+        units = named.select("project_id", "unit")
+        names = [c.split()[0] for c in FORECAST_SCHEMA.split(", ")]
+        out = points.withColumns({"step": F.col("step").cast("int"), "ts": F.col("ts").cast("timestamp_ntz"), "prediction": F.col("prediction").cast("double")})
+        out.join(units, "project_id", "left").select(*names).write.mode("append").partitionBy("project_id").parquet(f"{self.root}/forecast_points")
+
     def append_forecast_run(self, run_id: str, project_id: str, points: DataFrame, unit: str | None = None) -> None:
         """Append-only forecast points with the dataset unit."""
         out = points.select(F.lit(run_id).alias("run_id"), F.lit(project_id).alias("project_id"),
@@ -245,16 +300,27 @@ class Registry:
                             F.col("prediction").cast("double"), F.lit(unit).cast("string").alias("unit"))
         out.write.mode("append").partitionBy("project_id").parquet(f"{self.root}/forecast_points")
 
+    def forecast_runs(self, project_id: str | None = None) -> DataFrame:
+        df = self._read("forecast_points", FORECAST_SCHEMA)
+        return df if project_id is None else df.filter(F.col("project_id") == project_id)
+
     def forecast_run(self, run_id: str) -> DataFrame:
-        return self._read("forecast_points", FORECAST_SCHEMA).filter(F.col("run_id") == run_id)
+        return self.forecast_runs().filter(F.col("run_id") == run_id)
 
     # -- L8 -------------------------------------------------------------------
+    def save_comparisons(self, comparisons: DataFrame) -> None:
+        """L8 for any number of projects: rows with a ``project_id`` take the place of those projects' snapshots, others keep theirs."""
+        self._write_project("comparisons", comparisons)
+
     def save_comparison(self, project_id: str, comparison: DataFrame) -> None:
         """The latest comparison snapshot, kept per project (the partition is replaced)."""
-        self._write_project("comparisons", comparison.withColumn("project_id", F.lit(project_id)))
+        self.save_comparisons(comparison.withColumn("project_id", F.lit(project_id)))
+
+    def comparisons(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self.root}/comparisons")
 
     def latest_comparison(self, project_id: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/comparisons").filter(F.col("project_id") == project_id)
+        return self.comparisons().filter(F.col("project_id") == project_id)
 
     # -- L12 ------------------------------------------------------------------
     def dataset_summary(self, project_id: str, version_id: str | None = None) -> DataFrame:

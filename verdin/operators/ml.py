@@ -14,7 +14,6 @@ from __future__ import annotations
 import json
 from collections.abc import Sequence
 from dataclasses import dataclass, field
-from functools import reduce
 
 from pyspark import keyword_only
 from pyspark.ml import Pipeline, PipelineModel, Transformer
@@ -345,41 +344,58 @@ def holdout_table(scored: DataFrame, model: TabularModel, id_col: str) -> DataFr
 # Permutation importance
 
 
+def shuffled_copies(rows: DataFrame, features: Sequence[str], id_col: str, seed: int = SEED, bucket_rows: int = 100_000) -> DataFrame:
+    """``rows`` once as they are (``_feature`` empty) and once for each feature with its values dealt anew.  Rows are dealt into
+    buckets of about ``bucket_rows`` by md5(id || seed); within a bucket the i-th row by id takes the value of the
+    i-th row by md5(id || feature || seed), so the permutation depends on the rows alone.  All features share one
+    ranking and one join with their donors: both keyed by (bucket, feature)."""
+    from pyspark.sql import Window
+    ident = _q(id_col).cast("string")
+    buckets = max(1, -(-rows.count() // bucket_rows))
+    digest = F.conv(F.substring(F.md5(F.concat(ident, F.lit(str(seed)))), 1, 8), 16, 10).cast("long")
+    base = rows.withColumn("_b", F.pmod(digest, F.lit(buckets)))
+    base = base.withColumn("_i", F.row_number().over(Window.partitionBy("_b").orderBy(_q(id_col))))
+    typed = {f: rows.schema[f].dataType for f in features}
+    kinds = sorted({t.simpleString() for t in typed.values()})
+    # a donor's value lies in the field of its type; the others are null
+    values = [F.struct(F.lit(f).alias("_feature"), *[(_q(f) if typed[f].simpleString() == t else F.lit(None).cast(t)).alias(f"_v{k}") for k, t in enumerate(kinds)])
+              for f in features]
+    donors = base.select("_b", ident.alias("_id"), F.explode(F.array(*values)).alias("_d")).select("_b", "_id", "_d.*")
+    order = Window.partitionBy("_b", "_feature").orderBy(F.md5(F.concat("_id", "_feature", F.lit(str(seed)))), "_id")
+    donors = donors.withColumn("_i", F.row_number().over(order)).drop("_id")
+    named = F.array(F.lit(""), *[F.lit(f) for f in features])
+    copies = base.withColumn("_feature", F.explode(named)).join(donors, ["_b", "_feature", "_i"], "left")
+    own = {f: f"_v{kinds.index(typed[f].simpleString())}" for f in features}
+    return copies.select("_feature", *[F.when(F.col("_feature") == f, F.col(own[f])).otherwise(_q(f)).alias(f) if f in own else _q(f) for f in rows.columns])
+
+
 def permutation_importance(model: TabularModel, test: DataFrame, id_col: str, seed: int = SEED,
                            bucket_rows: int = 100_000) -> dict[str, float]:
-    """Each feature's share of the harm done by permuting it.  Rows are dealt into hash buckets of
-    about ``bucket_rows`` and a seeded permutation runs inside each, so the answer depends on the
-    rows alone, not on the session's partitions.  All feature copies are scored in ONE
+    """Each feature's share of the harm done by permuting it (:func:`shuffled_copies`).  All copies are scored in ONE
     transform.  Without any harm the shares are equal."""
     task = model.task_type
     metric = primary_metric_name(task)
-    b = max(1, -(-test.count() // bucket_rows))
-    from pyspark.sql import Window
-    base = test.withColumn("_b", F.pmod(F.xxhash64(_q(id_col)), F.lit(b)))
-    base = base.withColumn("_i", F.row_number().over(Window.partitionBy("_b").orderBy(_q(id_col))))
-    copies = [base.withColumn("_feature", F.lit("__baseline__"))]
-    for j, f in enumerate(model.features):
-        donor = base.select("_b", F.row_number().over(
-            Window.partitionBy("_b").orderBy(F.xxhash64(_q(id_col), F.lit(seed + j)), _q(id_col))).alias("_i"),
-            _q(f).alias("_v"))
-        copies.append(base.join(donor, ["_b", "_i"]).withColumn(f, F.col("_v")).drop("_v")
-                      .withColumn("_feature", F.lit(f)))
-    allc = reduce(lambda x, y: x.unionByName(y), copies)
-    scored = score(model, allc)
+    scored = score(model, shuffled_copies(test, model.features, id_col, seed, bucket_rows))
     if task == "regression":
         m = regression_metrics(scored, "label", "prediction_value", ["_feature"]).select("_feature", F.col(metric).alias("m"))
     else:
         s = scored.withColumn("_a", F.col("label").cast("int"))
         m = classification_metrics(s, "_a", "_pidx", ["_feature"]).select("_feature", F.col(metric).alias("m"))
-    rows = {r["_feature"]: r["m"] for r in m.collect()}   # one row per feature
+    rows = {r["_feature"]: r["m"] for r in m.collect()}   # one row per feature, and the baseline under the empty name
     sign = 1.0 if metric == "rmse" else -1.0
-    harm = {f: sign * (rows[f] - rows["__baseline__"]) for f in model.features}
+    harm = {f: sign * (rows[f] - rows[""]) for f in model.features if f in rows}     # without rows: none
     positive = {f: h for f, h in harm.items() if h > 0}
     if not positive:
         return dict.fromkeys(model.features, 1.0 / max(len(model.features), 1))
     return {f: round(positive.get(f, 0.0) / sum(positive.values()), 6) for f in model.features}
 
 
+def importance_table(spark, importances: dict[str, float], k: int = 12) -> DataFrame:
+    """K6: the ``k`` largest importances (ties by name), a row a feature."""
+    from verdin.operators.sampling import top_k
+    return top_k(spark.createDataFrame([(f, float(v)) for f, v in importances.items()], "feature string, importance double"), "importance", k, "feature")
+
+
 # ---------------------------------------------------------------------------
 # J8
 

@@ -123,11 +123,14 @@ def last_non_null_per_timestamp(df: DataFrame, keys: Sequence[str], ts: str, ord
             .agg(F.count(F.lit(1)).alias("n_rows"), *aggs))
 
 
-def temporal_order(df: DataFrame, ts: str | None, ordinal: str) -> DataFrame:
-    """Drop null timestamps and order by (ts, ordinal); file order when no time axis."""
-    if ts is None:
-        return df.orderBy(ordinal)
-    return df.filter(F.col(ts).isNotNull()).orderBy(ts, ordinal)
+def temporal_order(df: DataFrame, ts: str | None, ordinal: str, position: str | None = None) -> DataFrame:
+    """Drop null timestamps and order by (ts, ordinal); file order when no time axis.  With ``position`` the rows get their
+    1-based place in that column (chunked ordinals, many tasks) instead of being sorted."""
+    kept = df if ts is None else df.filter(F.col(ts).isNotNull())
+    order = [ordinal] if ts is None else [ts, ordinal]
+    if position is None:
+        return kept.orderBy(*order)
+    return sequenced(kept, [], order).withColumnRenamed("_pos", position).drop("_n")
 
 
 def adjacent_deltas(ts_frame: DataFrame, keys: Sequence[str], ts: str) -> DataFrame:

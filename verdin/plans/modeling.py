@@ -12,7 +12,8 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verdin.operators import decide, forecast, ml, shap
+from verdin.operators import decide, forecast, merge, ml, shap
+from verdin.operators.sampling import downsample_points, head_sample
 from verdin.plans.inputs import hourly_events
 from verdin.plans.quality import CANDIDATE_RATE, CURRENT_RATE, priced_lines
 from verdin.plans.registry import register
@@ -67,6 +68,36 @@ def permutation_importance(spark: SparkSession, sf: str) -> DataFrame:
                                  "feature string, importance double, rank int")
 
 
+_IMPORTANCE_FEATURES = ["price", "balance", "status"]
+
+
+@register("linear_importance", """
+WITH r AS (SELECT o_orderkey AS id, o_totalprice / 10000 AS price, c_acctbal / 500 AS balance FROM orders JOIN customer ON o_custkey = c_custkey),
+k AS (SELECT *, CAST('0x' || substr(md5(id::VARCHAR || '42'), 1, 8) AS BIGINT) % CAST(ceil(count(*) OVER () / 100000.0) AS BIGINT) AS b FROM r),
+p AS (SELECT *, row_number() OVER (PARTITION BY b ORDER BY id) AS i, row_number() OVER (PARTITION BY b ORDER BY md5(id::VARCHAR || 'price42')) AS ip,
+             row_number() OVER (PARTITION BY b ORDER BY md5(id::VARCHAR || 'balance42')) AS ib FROM k),
+h AS (SELECT sqrt(avg((d.price - p.price) ** 2)) AS price, (SELECT sqrt(avg(4 * (d.balance - p.balance) ** 2)) FROM p JOIN p d ON p.b = d.b AND p.i = d.ib) AS balance
+      FROM p JOIN p d ON p.b = d.b AND p.i = d.ip)
+SELECT f.feature AS feature, round(f.share, 4) AS importance
+FROM (SELECT unnest([{'feature': 'price', 'share': price / (price + balance)}, {'feature': 'balance', 'share': balance / (price + balance)},
+                     {'feature': 'status', 'share': 0.0}]) AS f FROM h)
+""")
+def linear_importance(spark: SparkSession, sf: str) -> DataFrame:
+    """M13 + K6: importances of a model known to be price + 2 balance, which does not read the status: the harm of the stated permutation."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import LinearRegression
+    o, c = table(spark, sf, "orders"), table(spark, sf, "customer")
+    rows = o.join(c, o.o_custkey == c.c_custkey).select("o_orderkey", (F.col("o_totalprice") / 10000).alias("price"), (F.col("c_acctbal") / 500).alias("balance"),
+                                                        F.col("o_orderstatus").alias("status"))
+    rows = ml.balanced_checkpoint(rows.withColumn("label", F.col("price") + 2 * F.col("balance")), "o_orderkey")
+    pipe = Pipeline(stages=[VectorAssembler(inputCols=["price", "balance"], outputCol="features"),
+                            LinearRegression(labelCol="label", featuresCol="features", solver="normal", regParam=0.0)]).fit(rows)
+    model = ml.TabularModel(pipe, "regression", "label", _IMPORTANCE_FEATURES, ["price", "balance"], ["status"], None, ml.TemporalProjector())
+    found = ml.importance_table(spark, ml.permutation_importance(model, rows, "o_orderkey"))
+    return found.select("feature", F.round("importance", 4).alias("importance"))
+
+
 @register("automl_leaderboard")
 def automl_leaderboard(spark: SparkSession, sf: str) -> DataFrame:
     """M3 + M4: whole pipelines inside folds (forest, L2 logistic, boosted trees, network) on
@@ -149,7 +180,6 @@ def recursive_forecast(spark: SparkSession, sf: str) -> DataFrame:
 def forecast_decisions_model(spark: SparkSession, sf: str) -> DataFrame:
     """D11 end to end: recursive forecast (cadence horizon) → K3 sampling → A13 baseline on
     the recent history → D10 factors → D9 risk → D3 forecast_default rules."""
-    from verdin.operators.sampling import downsample_points
     b = _bundle(spark, sf)
     pts = forecast.recursive_forecast(b, steps=24)
     pts = downsample_points(pts.select("series_id", "step", "ts", "prediction"), ["series_id"], "step", 12)
@@ -167,7 +197,7 @@ def kernel_shap(spark: SparkSession, sf: str) -> DataFrame:
     feats = ["kchars", "hwords", "digit_share", "lines"]
     df = document_features(spark, sf).select("doc_id", *feats, "quality")
     model, _ = ml.fit_tabular(df, "quality", "doc_id", importance=False, num_trees=100)
-    background = df.orderBy("doc_id").limit(shap.MAX_BACKGROUND)   # K5: first 20 rows by id
+    background = head_sample(df, ["doc_id"], shap.MAX_BACKGROUND)
 
     def score(frame: DataFrame) -> DataFrame:
         s = ml.score(model, frame)
@@ -219,7 +249,15 @@ v AS (SELECT project_id, n, unnest([{{'v': 'm1', 'x': round(a, 6)}}, {{'v': 'm2'
 """
 
 
-def _register_lines(spark: SparkSession, sf: str):
+def _line_record(new: DataFrame) -> F.Column:
+    """A training record as JSON: target, features, metrics; all but candidates can forecast."""
+    history = F.array(*[F.struct(F.lit(i).alias("step")) for i in range(3)])
+    forecasting = F.when(F.col("mode") == "auto", F.struct(F.lit(True).alias("enabled"), F.lit(60).alias("base_frequency_minutes"), history.alias("recent_history")))
+    return F.to_json(F.struct(F.lit("y").alias("target"), F.array(F.lit("l_quantity"), F.lit("l_discount")).alias("features"),
+                              F.struct(F.col("metric_value").alias("rmse")).alias("metrics"), forecasting.alias("forecasting")))
+
+
+def _register_lines(spark: SparkSession, sf: str, record=lambda new: F.lit("{}")):
     """A project per line status and return flag, its dataset and three versions scored by fixed rules, all registered in set-based steps."""
     from verdin.operators.metrics import regression_metrics
     reg = _registry(spark)
@@ -233,7 +271,7 @@ def _register_lines(spark: SparkSession, sf: str):
     scored.append(scored[0].select("project_id", F.lit("m3").alias("version_id"), F.lit(0.0).alias("metric_value"), F.lit("candidate").alias("mode")))
     new = scored[0].unionByName(scored[1]).unionByName(scored[2])
     reg.register_models(new.select("project_id", "version_id", F.lit("v1").alias("dataset_version_id"), F.lit("regression").alias("task_type"), F.lit("rmse").alias("metric_name"),
-                                   "metric_value", F.timestamp_add("MINUTE", F.substring("version_id", 2, 1).cast("int"), now).alias("created_at"), F.lit("{}").alias("record"),
+                                   "metric_value", F.timestamp_add("MINUTE", F.substring("version_id", 2, 1).cast("int"), now).alias("created_at"), record(new).alias("record"),
                                    F.concat(F.lit(f"{reg.root}/bundles/project_id="), "project_id").alias("bundle_path"), "mode"))
     return reg
 
@@ -261,6 +299,55 @@ def champion_datasets(spark: SparkSession, sf: str) -> DataFrame:
     return flows.champions(reg).select("project_id", "model_id", "dataset_id", "task_type", "metric_value", "target", "unit", "dataset_rows")
 
 
+@register("registry_views", _REGISTERED + """
+SELECT project_id, m.v AS version_id, CASE WHEN m.v = 'm2' THEN 'Second of ' || project_id END AS name, 'regression' AS task_type, 'y' AS target, 'rmse' AS primary_metric,
+       m.v = 'm3' AS is_latest, m.x AS metric_value, 2 AS n_features, 'l_quantity|l_discount' AS features, m.v <> 'm3' AS can_forecast, CASE WHEN m.v <> 'm3' THEN 60 ELSE 0 END AS cadence,
+       CASE WHEN m.v <> 'm3' THEN 3 ELSE 0 END AS history_rows, round(m.x, 6) AS rmse, 'v1' AS dataset_id, CASE WHEN project_id LIKE '%R' THEN NULL ELSE 'EUR' END AS unit, n AS dataset_rows FROM v""")
+def registry_views(spark: SparkSession, sf: str) -> DataFrame:
+    """L3 + L10 + L11 + L12: versions of all projects renamed and datasets given units in set-based steps (a blank unit clears it); the views of
+    every version, whether it is its project's latest, and its project's latest dataset."""
+    from verdin.operators import lifecycle
+    reg = _register_lines(spark, sf, _line_record)
+    second = reg.models().where("version_id = 'm2'").select("project_id", "version_id", F.concat(F.lit("  Second   of "), "project_id", F.lit(" ")).alias("value"))
+    reg.rename_models(second)
+    reg.set_units(reg.datasets().select("project_id", "version_id", F.when(F.col("project_id").endswith("R"), F.lit("  ")).otherwise(F.lit(" EUR")).alias("value")))
+    models = reg.models()
+    newest = lifecycle.latest(models).select("project_id", F.col("version_id").alias("newest"))
+    data = lifecycle.latest(reg.datasets()).select("project_id", F.col("version_id").alias("dataset_id"), "unit", F.col("rows").alias("dataset_rows"))
+    v = lifecycle.model_summary(models).join(newest, "project_id").join(data, "project_id")
+    return v.select("project_id", "version_id", "name", "task_type", "target", "primary_metric", (F.col("version_id") == F.col("newest")).alias("is_latest"), "metric_value",
+                    F.size("feature_names").alias("n_features"), F.array_join("feature_names", "|").alias("features"), F.col("forecasting.available").alias("can_forecast"),
+                    F.coalesce("forecasting.base_frequency_minutes", F.lit(0)).alias("cadence"), F.col("forecasting.recent_history_rows").alias("history_rows"),
+                    F.round(F.col("metrics")["rmse"], 6).alias("rmse"), "dataset_id", "unit", "dataset_rows")
+
+
+@register("forecast_runs", """
+WITH s AS (SELECT event_type AS project_id, date_trunc('hour', ts) AS ts, round(sum(value), 6) AS y FROM events GROUP BY 1, 2),
+q AS (SELECT *, row_number() OVER w AS pos, count(*) OVER (PARTITION BY project_id) AS n, lag(y, 24) OVER w AS prediction FROM s WINDOW w AS (PARTITION BY project_id ORDER BY ts)),
+p AS (SELECT *, CAST(pos - (n - 24) AS INTEGER) AS step FROM q WHERE pos > n - 24),
+c AS (SELECT project_id, count(*) AS points, round(avg(abs(y - prediction)), 6) AS mae FROM p GROUP BY 1)
+SELECT project_id, 'day-' || project_id AS run_id, step, ts, round(prediction, 6) AS prediction, CASE project_id WHEN 'purchase' THEN 'pieces' ELSE 'units' END AS unit, points, mae FROM p JOIN c USING (project_id)
+""")
+def forecast_runs(spark: SparkSession, sf: str) -> DataFrame:
+    """L7 + L8: the last day of every hourly series forecast by the day before, appended as one run a project with the unit of the project's
+    latest dataset; the comparison with what came is saved twice, and the later one counts."""
+    reg = _registry(spark)
+    points, _ = seasonal_backtest_points(spark, sf)
+    points = points.withColumnRenamed("series_id", "project_id").checkpoint(eager=True)
+    made = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
+    projects = points.select("project_id").distinct()
+    for i, unit in enumerate((F.lit("old"), F.when(F.col("project_id") == "purchase", F.lit("pieces")).otherwise(F.lit("units")))):
+        reg.register_datasets(projects.select("project_id", F.lit(f"v{i}").alias("version_id"), F.lit(None).cast("string").alias("name"), F.lit("y").alias("target"), F.lit(24).cast("long").alias("rows"),
+                                              F.lit(2).alias("columns"), F.lit("{}").alias("schema_json"), unit.alias("unit"), F.timestamp_add("HOUR", F.lit(i), made).alias("created_at")))
+    reg.append_forecast_runs(points.withColumn("run_id", F.concat(F.lit("day-"), "project_id")))
+    actual = hourly_events(spark, sf).withColumnRenamed("series_id", "project_id")
+    both = reg.forecast_runs().join(actual, ["project_id", "ts"])
+    reg.save_comparisons(projects.select("project_id", F.lit(0).cast("long").alias("points"), F.lit(0.0).alias("mae")))
+    reg.save_comparisons(both.groupBy("project_id").agg(F.count(F.lit(1)).alias("points"), F.round(F.avg(F.abs(F.col("y") - F.col("prediction"))), 6).alias("mae")))
+    return reg.forecast_runs().join(reg.comparisons(), "project_id").select(
+        "project_id", "run_id", "step", "ts", F.round("prediction", 6).alias("prediction"), "unit", "points", "mae")
+
+
 def seasonal_backtest_points(spark: SparkSession, sf: str):
     from verdin.plans.decisions import seasonal_backtest
     points, history = seasonal_backtest(spark, sf)
@@ -274,7 +361,7 @@ def shap_factors(spark: SparkSession, sf: str) -> DataFrame:
     feats = ["kchars", "hwords", "digit_share", "lines"]
     df = document_features(spark, sf).select("doc_id", *feats, "quality")
     model, _ = ml.fit_tabular(df, "quality", "doc_id", importance=False, num_trees=100)
-    background = df.orderBy("doc_id").limit(shap.MAX_BACKGROUND)
+    background = head_sample(df, ["doc_id"], shap.MAX_BACKGROUND)
 
     def score(frame: DataFrame) -> DataFrame:
         return ml.score(model, frame).withColumn("score", F.col("p_positive"))
@@ -309,7 +396,7 @@ def _order_shap(spark: SparkSession, sf: str):
     def score(frame: DataFrame) -> DataFrame:
         return frame.withColumn("score", F.expr(_ORDER_SCORE.format(month="month(o_orderdate)")))
 
-    background = rows.orderBy("o_orderkey").limit(shap.MAX_BACKGROUND)
+    background = head_sample(rows, ["o_orderkey"], shap.MAX_BACKGROUND)
     return rows, background, shap.kernel_shap(rows, background, feats, "o_orderkey", score)
 
 
@@ -334,6 +421,22 @@ def shap_top_factor(spark: SparkSession, sf: str) -> DataFrame:
                       (first["direction"] == "positive").alias("positive"), F.size("top_factors").cast("long").alias("n_factors"))
 
 
+@register("explained_predictions", _SHAP_SQL + """
+, t AS (SELECT o_orderkey, arg_max(f.feature, abs(f.phi)) AS feature, count(*) FILTER (abs(f.phi) >= 1e-6) AS n FROM phi GROUP BY o_orderkey)
+SELECT o_orderkey, round(g.price + g.status + g.date_part, 6) AS prediction, CASE WHEN o_orderstatus = 'P' THEN 0 ELSE n END AS n_factors,
+       CASE WHEN o_orderstatus <> 'P' THEN feature END AS top_feature
+FROM g JOIN orders USING (o_orderkey) JOIN t USING (o_orderkey)""")
+def explained_predictions(spark: SparkSession, sf: str) -> DataFrame:
+    """Every prediction with its explanation items; orders under way have none, and an empty list."""
+    rows, _, values = _order_shap(spark, sf)
+    explained = rows.where("o_orderstatus <> 'P'")
+    items = shap.shap_top_factors(values.join(explained.select(F.col("o_orderkey").alias("row_id")), "row_id", "left_semi"), explained, "o_orderkey")
+    predictions = rows.select(F.col("o_orderkey").alias("row_id"), F.expr(_ORDER_SCORE.format(month="month(o_orderdate)")).alias("prediction"))
+    out = merge.attach_by_row(predictions, items.select("row_id", "top_factors"), empty=["top_factors"])
+    return out.select(F.col("row_id").alias("o_orderkey"), F.round("prediction", 6).alias("prediction"), F.size("top_factors").cast("long").alias("n_factors"),
+                      F.get("top_factors", F.lit(0))["feature"].alias("top_feature"))
+
+
 _LINEAR_SQL = """
 WITH r AS (SELECT o_orderkey, o_orderdate, o_totalprice / 10000 AS price, o_totalprice / 10000 + c_acctbal / 500 AS target
            FROM orders JOIN customer ON o_custkey = c_custkey),

@@ -471,12 +471,59 @@ c AS (SELECT series_id, greatest(1, CAST(round_even(quantile_cont(gap, 0.5) / 60
 r AS (SELECT *, CAST(least(greatest(round(cadence_minutes * 7.5 / 10.0) * 10, 10.0), 1440.0) AS INTEGER) AS interval_minutes
       FROM c)
 SELECT series_id, cadence_minutes, interval_minutes,
-  CAST(least(greatest(ceil(interval_minutes / greatest(cadence_minutes, 1)), 1), 720) AS INTEGER) AS steps FROM r
+  CAST(greatest(ceil(interval_minutes / greatest(cadence_minutes, 1)), 1) AS INTEGER) AS steps FROM r
 """)
 def forecast_request(spark: SparkSession, sf: str) -> DataFrame:
     """A request of 7.5 cadences per series, rounded to 10 minutes in [10, 1440],
-    turned into a step count (at most 720 points)."""
+    turned into a step count."""
     from verdin.functions.numeric import forecast_steps, normalize_interval
     c = temporal.cadence_minutes(hourly_events(spark, sf), ["series_id"], "ts").select("series_id", "cadence_minutes")
     r = c.withColumn("interval_minutes", normalize_interval(F.col("cadence_minutes") * 7.5))
     return r.withColumn("steps", forecast_steps(F.col("interval_minutes"), F.col("cadence_minutes")))
+
+
+@register("forecast_points", """
+WITH r AS (SELECT o_orderkey, o_totalprice / 100.0 - 200 AS asked, 1 + o_custkey % 97 AS cadence, o_totalprice / 1000.0 - 20 AS preferred FROM orders),
+i AS (SELECT *, CASE WHEN asked > 0 THEN CAST(least(greatest(round(asked / 10) * 10, 10), 1440) AS INTEGER) ELSE 120 END AS interval_minutes FROM r),
+s AS (SELECT *, CAST(greatest(1, ceil(interval_minutes / cadence)) AS INTEGER) AS steps FROM i),
+n AS (SELECT s.o_orderkey, arg_min(c.n, (abs(c.n - s.preferred), c.n)) AS near FROM s JOIN (SELECT unnest(range(1, 721)) AS n) c ON c.n <= s.steps WHERE s.preferred > 0 GROUP BY 1)
+SELECT o_orderkey, interval_minutes, steps, CAST(steps * cadence AS BIGINT) AS total_minutes, CAST(coalesce(near, least(steps, 720)) AS INTEGER) AS point_count,
+       round_even(steps * cadence / coalesce(near, least(steps, 720)), 6) AS display_step_minutes FROM s LEFT JOIN n USING (o_orderkey)
+""")
+def forecast_points(spark: SparkSession, sf: str) -> DataFrame:
+    """A request per order (interval, cadence and wished point count from its columns, some of them not usable), shaped; the SQL searches
+    the allowed counts one by one."""
+    from verdin.functions.numeric import request_shape
+    o = table(spark, sf, "orders")
+    cadence = 1 + F.col("o_custkey") % 97
+    return o.select("o_orderkey", *request_shape(F.col("o_totalprice") / 100.0 - 200, cadence, F.col("o_totalprice") / 1000.0 - 20))
+
+
+@register("temporal_order", """
+SELECT o_orderkey, row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS position FROM orders WHERE o_orderstatus <> 'P' AND o_orderdate IS NOT NULL
+""")
+def temporal_order(spark: SparkSession, sf: str) -> DataFrame:
+    """Place of every order on the time axis (ties by key); orders under way have no time yet and go."""
+    o = table(spark, sf, "orders").select("o_orderkey", F.when(F.col("o_orderstatus") != "P", F.col("o_orderdate")).alias("at"))
+    return temporal.temporal_order(o, "at", "o_orderkey", position="position").select("o_orderkey", "position")
+
+
+@register("record_time", """
+WITH r AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_returnflag = 'R' THEN l_shipdate + INTERVAL 3 DAY END AS d, CASE WHEN l_linestatus = 'F' THEN l_shipdate - INTERVAL 90 MINUTE END AS c, l_shipdate FROM lineitem)
+SELECT l_orderkey, l_linenumber, epoch(l_shipdate)::BIGINT AS shipped_ts, hour(l_shipdate)::INTEGER AS shipped_hour, (isodow(l_shipdate) - 1)::INTEGER AS shipped_weekday,
+       month(l_shipdate)::INTEGER AS shipped_month, CAST(coalesce(d, c, l_shipdate) AS TIMESTAMP) AS record_time FROM r
+""")
+def record_time(spark: SparkSession, sf: str) -> DataFrame:
+    """X4 + X14: order lines through the temporal projector, kept as records (as in a holdout table); the time of a record is its
+    ``timestamp``, else its ``date``, else the projected epoch."""
+    from verdin.functions.timefuncs import record_time_of
+    from verdin.operators.ml import TemporalProjector
+    at = F.col("l_shipdate").cast("timestamp_ntz")
+    li = table(spark, sf, "lineitem").select(
+        "l_orderkey", "l_linenumber", F.when(F.col("l_returnflag") == "R", (at + F.expr("INTERVAL 3 DAY")).cast("string")).alias("timestamp"),
+        F.when(F.col("l_linestatus") == "F", (at - F.expr("INTERVAL 90 MINUTE")).cast("string")).alias("date"), F.col("l_shipdate").alias("shipped"))
+    projected = TemporalProjector(datetimeCols=["shipped"]).transform(li)
+    rec = projected.withColumn("record", F.struct(*[c for c in projected.columns if not c.startswith("l_")]))
+    return rec.select("l_orderkey", "l_linenumber", F.col("shipped__ts").alias("shipped_ts"), F.col("shipped__hour").alias("shipped_hour"),
+                      F.col("shipped__dayofweek").alias("shipped_weekday"), F.col("shipped__month").alias("shipped_month"),
+                      record_time_of(rec, "record").alias("record_time"))
