@@ -1,16 +1,19 @@
 """Token-id files: concatenated ids with Elias-Fano coded document boundaries.
 
 A store is a Parquet table of segments in ascending key order.  A segment holds whole documents:
-their ids as one little-endian array (16 bits an id where the vocabulary allows, else 32), their
-keys, and the boundaries (the running totals of tokens) as Elias-Fano code.  For n boundaries up to
-u the code keeps the low floor(log2(u / n)) bits of each in a packed array and the high parts as a
+their ids as one little-endian array (16 bits an id where the vocabulary allows, else 32), the
+boundaries (the running totals of tokens) as Elias-Fano code, and their keys in the same code, as
+distances from the segment's first key after a count of null keys.  For n boundaries up to u the code keeps the low floor(log2(u / n)) bits of each in a packed array and the high parts as a
 unary bit string, at most 2 bits a document more; select finds the k-th one bit through a
-directory with one 32-bit entry for each 256 ones, so no table of 64-bit offsets exists.  Segments
+directory with one 32-bit entry for each 256 ones, so no table of 64-bit offsets exists, and readers
+take every boundary and key through it.  A segment ends before a key 2^62 or more above its first.  Segments
 are rows that Spark's committed writer puts into the shared folder, so lost tasks leave nothing
 half written, and any store that Spark reads can hold them.
 
 Null texts count as empty: such a document has its end id alone.  Null keys come first.  Rows of
-equal key follow each other by their text; repeated rows each keep their place.
+equal key follow each other by their text; repeated rows each keep their place.  An empty table
+gives an empty store.  Very long texts make a segment of their own size.  Further columns of the
+documents, whatever their names, are not stored.
 """
 
 from __future__ import annotations
@@ -30,27 +33,26 @@ from verdin.llm.common import ship_package
 from verdin.llm.pretoken import Encoded, encode_batch
 from verdin.session import ensure_checkpoint_dir
 
-MAGIC, SAMPLE = b"EFTK", 256
+MAGIC, SAMPLE, BLOCK = b"EFT2", 256, 4096
+SPAN = 1 << 62
 SEGMENT = "part int, segment int, n_docs long, n_ids long, payload binary"
 _TOKENIZERS: dict = {}
 _TABLES: dict = {}
 
 
 def pack(values: np.ndarray, width: int) -> bytes:
-    """The low ``width`` bits of each value, least significant bit first."""
-    if not width or not len(values):
+    """The low ``width`` bits of each value, least significant bit first, in blocks that end at whole bytes."""
+    if not width:
         return b""
-    bits = (values[:, None] >> np.arange(width)) & 1
-    return np.packbits(bits.astype(np.uint8).ravel(), bitorder="little").tobytes()
+    blocks = (values[a:a + BLOCK] for a in range(0, len(values), BLOCK))
+    return b"".join(np.packbits(((x[:, None] >> np.arange(width)) & 1).astype(np.uint8).ravel(), bitorder="little").tobytes() for x in blocks)
 
 
-def unpack(data: bytes, width: int, at: np.ndarray) -> np.ndarray:
-    """The values at these places of a packed array."""
-    if not width or not len(at):
-        return np.zeros(len(at), np.int64)
-    place = at[:, None] * width + np.arange(width)
-    raw = np.frombuffer(data, np.uint8)
-    return (((raw[place >> 3] >> (place & 7)) & 1).astype(np.int64) << np.arange(width)).sum(axis=1)
+def unpack(data: bytes, width: int, k: int) -> int:
+    """The k-th value of a packed array."""
+    first = k * width
+    raw = int.from_bytes(data[first >> 3:(first + width + 7) >> 3], "little")
+    return (raw >> (first & 7)) & ((1 << width) - 1)
 
 
 class EliasFano:
@@ -97,36 +99,32 @@ class EliasFano:
         for _ in range(left):
             word &= word - 1
         place = 8 * byte + (word & -word).bit_length() - 1
-        return ((place - k) << self.low_bits) | int(unpack(self.low, self.low_bits, np.array([k]))[0])
-
-    def all(self) -> np.ndarray:
-        ones = np.flatnonzero(np.unpackbits(np.frombuffer(self.high, np.uint8), bitorder="little"))[:self.n]
-        k = np.arange(self.n)
-        return ((ones - k) << self.low_bits) | unpack(self.low, self.low_bits, k)
+        return ((place - k) << self.low_bits) | unpack(self.low, self.low_bits, k)
 
 
 def seal(keys: list, ids: list[np.ndarray], first: int, wide: bool) -> bytes:
-    """One segment: header, boundaries, keys (a bit for null, then 64 bits each), ids."""
+    """One segment: header (id width, first offset, documents, null keys, first key), boundaries, keys, ids.  Keys ascend, nulls first."""
     ends = np.cumsum([len(x) for x in ids])
     flat = np.concatenate(ids).astype("<u4" if wide else "<u2").tobytes()
-    null = np.packbits(np.array([k is None for k in keys], np.uint8), bitorder="little").tobytes()
-    key = np.array([k if k is not None else 0 for k in keys], "<i8").tobytes()
-    return MAGIC + struct.pack("<BQQ", wide, first, len(keys)) + EliasFano.of(ends).to_bytes() + null + key + flat
+    known = [k for k in keys if k is not None]
+    low = known[0] if known else 0
+    head = MAGIC + struct.pack("<BQQQq", wide, first, len(keys), len(keys) - len(known), low)
+    return head + EliasFano.of(ends).to_bytes() + EliasFano.of(np.array([k - low for k in known], np.int64)).to_bytes() + flat
 
 
 class Segment:
-    """A sealed segment, read: ``document(k)`` gives the ids of its k-th document."""
+    """A sealed segment, read: ``document(k)`` gives the ids of its k-th document, ``key(k)`` its key."""
 
     def __init__(self, data: bytes):
         if data[:4] != MAGIC:
             raise ValueError("not a token segment")
-        wide, self.first, self.n = struct.unpack_from("<BQQ", data, 4)
-        self.ends, at = EliasFano.from_bytes(data, 4 + struct.calcsize("<BQQ"))
-        size = (self.n + 7) // 8
-        null = np.unpackbits(np.frombuffer(data, np.uint8, size, at), bitorder="little")[:self.n]
-        key = np.frombuffer(data, "<i8", self.n, at + size)
-        self.keys = [None if z else int(k) for k, z in zip(key, null, strict=True)]
-        self.ids = np.frombuffer(data, "<u4" if wide else "<u2", self.ends.universe, at + size + 8 * self.n)
+        wide, self.first, self.n, self.nulls, self.low = struct.unpack_from("<BQQQq", data, 4)
+        self.ends, at = EliasFano.from_bytes(data, 4 + struct.calcsize("<BQQQq"))
+        self.above, at = EliasFano.from_bytes(data, at)
+        self.ids = np.frombuffer(data, "<u4" if wide else "<u2", self.ends.universe, at)
+
+    def key(self, k: int) -> int | None:
+        return None if k < self.nulls else self.low + self.above.select(k - self.nulls)
 
     def bounds(self, k: int) -> tuple[int, int]:
         return (self.ends.select(k - 1) if k else 0), self.ends.select(k)
@@ -189,7 +187,7 @@ def write_store(docs: DataFrame, tokenizer: str, end_id: int, path: str, key: st
     def run(batches):
         part = TaskContext.get().partitionId()
         table, tok = _table(tokenizer), _tokenizer(tokenizer)
-        keys, ids, held, first, number = [], [], 0, 0, 0
+        keys, ids, held, first, number, low = [], [], 0, 0, 0, None
 
         def close():
             return pa.RecordBatch.from_arrays(
@@ -204,12 +202,16 @@ def write_store(docs: DataFrame, tokenizer: str, end_id: int, path: str, key: st
                 if any(s in body for s in special):
                     coded[i] = np.array(tok.encode(body, add_special_tokens=False).ids, np.uint32)
             for k, x in zip(batch.column("k").to_pylist(), coded, strict=True):
+                low = low if low is not None else k
+                if low is not None and k - low >= SPAN:
+                    yield close()
+                    keys, ids, held, first, number, low = [], [], 0, first + held, number + 1, k
                 keys.append(k)
                 ids.append(np.append(x, np.uint32(end_id)))
                 held += len(x) + 1
                 if held >= ids_a_segment:
                     yield close()
-                    keys, ids, held, first, number = [], [], 0, first + held, number + 1
+                    keys, ids, held, first, number, low = [], [], 0, first + held, number + 1, None
         if keys:
             yield close()
 
@@ -233,10 +235,10 @@ def read_store(spark: SparkSession, path: str, with_ids: bool = False) -> DataFr
         for batch in batches:
             for part, payload in zip(batch.column("part").to_pylist(), batch.column("payload"), strict=True):
                 seg = Segment(payload.as_py())
-                ends = seg.ends.all()
+                ends = np.fromiter(map(seg.ends.select, range(seg.n)), np.int64, seg.n)
                 starts = np.concatenate([[0], ends[:-1]])
                 data = np.ascontiguousarray(seg.ids, "<u4")
-                out = [pa.array([part] * seg.n, pa.int32()), pa.array(seg.keys, pa.int64()),
+                out = [pa.array([part] * seg.n, pa.int32()), pa.array(map(seg.key, range(seg.n)), pa.int64()),
                        pa.array(starts + seg.first, pa.int64()), pa.array(ends - starts, pa.int64()),
                        pa.array([zlib.crc32(data[a:b].tobytes()) for a, b in zip(starts, ends, strict=True)], pa.int64())]
                 if with_ids:
