@@ -14,6 +14,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from verdin.functions.numeric import to_number
 from verdin.operators import drift, forecast, ml, search
 from verdin.operators.lifecycle import Registry
 from verdin.operators.metrics import primary_metric_name
@@ -90,7 +91,7 @@ def series_of(frame: DataFrame, target: str, series_id: str) -> DataFrame:
     found = infer_descriptor(frame, target)
     if found is None:
         raise ValueError("forecasting needs a time axis, and none was found")
-    return frame.select(F.lit(series_id).alias("series_id"), build_timestamp(frame, found).cast("timestamp_ntz").alias("ts"), F.col(f"`{target}`").try_cast("double").alias("y"))
+    return frame.select(F.lit(series_id).alias("series_id"), build_timestamp(frame, found).cast("timestamp_ntz").alias("ts"), to_number(f"`{target}`").alias("y"))
 
 
 def forecast_project(reg: Registry, project_id: str, steps: int = forecast.DEFAULT_STEPS, horizon_minutes: int | None = None,
