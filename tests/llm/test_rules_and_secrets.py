@@ -1,3 +1,4 @@
+import hashlib
 import random
 import re
 
@@ -196,3 +197,16 @@ def test_one_block_of_the_benchmark_is_held_at_a_time(spark, monkeypatch):
     got = D.matches(docs, bench, block_chars=300)
     assert sorted(map(repr, got.collect())) == want and not live
     assert len(most) > 5 and max(n for n, _ in most) == 1 and max(c for _, c in most) <= 300
+
+
+def test_the_secrets_query_counts_every_kind(spark, tmp_path):
+    from verdin.llm.queries import QUERIES
+    texts = [*SECRETS, "token=abcdef " * 300, "f" * 24 + " " + "e" * 24, "AKIA" + "Z" * 16 + " secret: 'abcdef'"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r for r in QUERIES["op8_trigram_secrets"](spark, str(tmp_path)).collect()}
+    assert len(got) == len(texts)
+    for i, t in enumerate(texts):
+        spans = brute_spans(t, S.BASE)
+        said = ",".join(f"{S.BASE[k].kind}:{a}:{b}" for a, k, b in spans)
+        want = [sum(k == n for _, k, _ in spans) for n in range(3)]
+        assert [got[i].n_assign, got[i].n_access, got[i].n_hex, got[i].base_sha256] == [*want, hashlib.sha256(said.encode()).hexdigest()], t
