@@ -95,3 +95,20 @@ def test_chunks_follow_the_order_of_extreme_numbers(spark):
     _check_chunks(spark.createDataFrame(rows, "k string, v double, i int"), ["k"], ["v", "i"], 7, 90)
     big = [("a", 2 ** 53 + j, j) for j in range(200)]
     _check_chunks(spark.createDataFrame(big, "k string, v long, i int"), ["k"], ["v", "i"], 7, 60)
+
+
+def test_cells_of_a_hot_series_are_found_by_compiled_steps(spark):
+    """A join on the chunk adds a test for nulls; on a column that may be null it would run the whole bisection again."""
+    import datetime as dt
+    t0 = dt.datetime(2024, 1, 1)
+    rows = [(i, None if i % 11 == 0 else t0 + dt.timedelta(hours=i % 7 if i % 3 else i * i)) for i in range(3000)]
+    df = spark.createDataFrame(rows, "id long, at timestamp_ntz")
+    chunked = with_chunks(df, [], ["at", "id"], 100)
+    assert not chunked.schema["_chunk"].nullable
+    seq = sequenced(df, [], ["at", "id"], chunk_rows=100)
+    plan = seq._jdf.queryExecution().optimizedPlan().toString()
+    assert "aggregate(" not in plan and "Filter isnotnull(c" not in plan and "isnotnull(coalesce" not in plan
+    want = sorted(rows, key=lambda r: (r[1] is not None, r[1] or t0, r[0]))
+    assert [(r["id"], r["_pos"]) for r in seq.orderBy("_pos").collect()] == [(r[0], i + 1) for i, r in enumerate(want)]
+    sizes = [r["count"] for r in chunked.groupBy("_chunk").count().collect()]
+    assert len(sizes) >= 25 and max(sizes) <= 300
