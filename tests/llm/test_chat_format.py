@@ -5,6 +5,7 @@ import random
 import duckdb
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tests.conftest import SF0001
 from verdin.llm import chat_format, queries
@@ -80,6 +81,24 @@ def test_every_reply_is_an_example_with_all_its_context(spark):
         assert told[e].chars == len(text) and told[e].context_turns == last and (told[e].context_chars, told[e].loss_chars) == (r.context_chars, r.loss_chars)
 
 
+def test_digests_are_read_from_every_expanded_example(spark, monkeypatch):
+    rows = [(1, 0, "user", "</s>a"), (1, 1, "assistant", "one"), (1, 2, "user", "b"), (1, 3, "assistant", ""), (1, 4, "user", "left"), (2, 0, "user", "none"), (None, 0, "assistant", "x")]
+    seen, real = [], chat_format.expand
+
+    def expand(turns, chosen):
+        seen.append(real(turns, chosen))
+        return seen[-1].withColumn("text", F.regexp_replace("text", "one", "two"))
+
+    monkeypatch.setattr(chat_format, "expand", expand)
+    turns = chat_format.formatted(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    told = [(c, t, r, x.replace("one", "two")) for c, t, r, x in rows]
+    assert found(chat_format.digests(turns)) == want(told)       # what the examples say, not what the turns say
+    marked = [f"{TURN}{r}{SAYS}{t.replace('</s>', '<' + chr(92) + '/s>')}{END}" for c, _, r, t in rows if c == 1]
+    texts = {(r.conv_id, r.example): (r.text, r.loss_chars, r.whole) for r in seen[0].collect()}
+    assert texts == {(1, 1): ("".join(marked[:2]), 3, False), (1, 2): ("".join(marked[:4]), 0, False), (1, 3): ("".join(marked), None, True),
+                     (2, 1): (f"{TURN}user{SAYS}none{END}", None, True), (None, 1): (f"{TURN}assistant{SAYS}x{END}", 1, True)}
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text(alphabet="<>[]\\/|sINSTYSturnayed", max_size=40))
 def test_escape_pattern_is_reversible(text):

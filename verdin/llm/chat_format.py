@@ -6,7 +6,8 @@ turns and the reply's own opening marks), and only the reply is trainable.  The
 conversation are therefore prefixes of one text, and that text is stored once: ``formatted`` returns a
 row a turn with its place, ``examples`` a row an assistant turn with the extent of its prefix and of the
 trainable characters, and ``expand`` writes out the full texts of the examples asked for.  The
-stored size follows the conversations, not the squares of their lengths.
+stored size follows the conversations, not the squares of their lengths; ``digests`` writes out every
+example in full and reads its figures back from those texts, so its work follows the examples.
 
 Control strings (the marks, and ``<s> </s> [INST] [/INST] <<SYS>> <</SYS>>``) inside a text or role get a
 backslash after their bracket; those that have backslashes there already get one more, so the way back
@@ -69,41 +70,57 @@ def examples(turns: DataFrame) -> DataFrame:
                                            (F.col("start") + F.length("piece")).alias("chars"))
 
 
+def rests(turns: DataFrame) -> DataFrame:
+    """Of ``formatted`` rows, what no reply follows: conv_id, example, position of the last turn of each conversation that
+    does not end with a reply.  Expanded, its text is the whole conversation, with nothing trainable."""
+    last = turns.groupBy("conv_id").agg(F.max_by(F.struct("trainable", "example", "position"), "position").alias("last"))
+    return last.where("NOT last.trainable").select("conv_id", "last.example", "last.position")
+
+
 def expand(turns: DataFrame, chosen: DataFrame) -> DataFrame:
-    """The full texts of the examples in ``chosen`` (conv_id, example, position): conv_id, example, text, context_chars, loss_chars.
-    Its size is that of the examples, each with all its context."""
-    want = chosen.select(F.col("conv_id").alias("c"), F.col("example").alias("e"), F.col("position").alias("p"))
-    pairs = turns.join(want, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("position") <= F.col("p")))
-    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", "piece"))), lambda s: s["piece"]), "")
-    last = F.col("position") == F.col("p")
-    return pairs.groupBy(F.col("c").alias("conv_id"), F.col("e").alias("example")).agg(
-        whole.alias("text"), F.max(F.when(last, F.col("loss_start"))).alias("context_chars"),
-        F.max(F.when(last, F.col("loss_chars"))).alias("loss_chars"))
-
-
-def read_back(turns: DataFrame) -> DataFrame:
-    """Of ``formatted`` rows: conv_id, position, role and text found between the marks, and ``learned``,
-    the unescaped text under the loss mask (null where nothing is trainable)."""
-    opened = F.substring_index(F.substring(F.col("piece"), len(TURN) + 1, F.length("piece") - len(TURN) - len(END)), SAYS, 1)
-    said = F.expr(f"substring(piece, {len(TURN) + len(SAYS) + 1} + length(opened), length(piece) - length(opened) - {len(TURN) + len(SAYS) + len(END)})")
-    masked = F.expr("substring(piece, cast(loss_start - start + 1 as int), cast(loss_chars as int))")
-    return turns.withColumn("opened", opened).select(
-        "conv_id", "position", unescaped(F.col("opened")).alias("role"), unescaped(said).alias("text"),
-        F.when(F.col("trainable"), unescaped(masked)).alias("learned"), F.length("piece").cast("long").alias("chars"))
+    """The full texts of the examples in ``chosen`` (conv_id, example, position): conv_id, example, text, context_chars, loss_chars
+    (null where nothing is trainable), whole (the text holds the whole conversation).  Its size is that of the examples, each with
+    all its context; what is shuffled follows the turns, which meet once by conversation and are written out from there."""
+    turn = F.struct("position", "piece", "trainable", (F.col("start") + F.length("piece")).alias("end"), "loss_start", "loss_chars")
+    asked = F.struct("example", "position")
+    rows = turns.select("conv_id", turn.alias("turn"), F.lit(None).alias("asked")).unionByName(
+        chosen.select("conv_id", F.lit(None).alias("turn"), asked.alias("asked")))
+    met = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list("turn")).alias("turns"), F.collect_list("asked").alias("asked"))
+    ends = F.transform("asked", lambda a: F.struct(a["example"].alias("example"), F.get("turns", a["position"].cast("int") - 1).alias("last")))
+    each = met.select("conv_id", F.transform("turns", lambda t: t["piece"]).alias("pieces"), F.explode(ends).alias("x"))
+    own, upto = F.col("x.last.trainable"), F.col("x.last.position").cast("int")
+    return each.select("conv_id", "x.example", F.array_join(F.slice("pieces", F.lit(1), upto), "").alias("text"),
+                       F.when(own, F.col("x.last.loss_start")).otherwise(F.col("x.last.end")).alias("context_chars"),
+                       F.when(own, F.col("x.last.loss_chars")).alias("loss_chars"), (upto == F.size("pieces")).alias("whole"))
+
+
+def read_back(expanded: DataFrame) -> DataFrame:
+    """Of ``expand`` rows: conv_id, example, ``learned``, the unescaped text under the loss mask (null where nothing is trainable),
+    and of whole conversations ``turns``, the role and text found between the marks of each turn, and ``chars``."""
+    def turn(piece):
+        opened = F.substring_index(piece, SAYS, 1)
+        said = F.substr(piece, F.length(opened) + len(SAYS) + 1)
+        return F.struct(unescaped(F.substr(opened, F.lit(len(TURN) + 1))).alias("role"), unescaped(said).alias("text"))
+
+    pieces = F.split("text", END.replace("|", r"\|"))   # the part after the last mark is empty
+    masked = F.substr("text", (F.col("context_chars") + 1).cast("int"), F.col("loss_chars").cast("int"))
+    return expanded.select("conv_id", "example", unescaped(masked).alias("learned"),
+                           F.when(F.col("whole"), F.transform(F.slice(pieces, F.lit(1), F.size(pieces) - 1), turn)).alias("turns"),
+                           F.when(F.col("whole"), F.length("text").cast("long")).alias("chars"))
 
 
 def digests(turns: DataFrame) -> DataFrame:
-    """Of ``formatted`` rows, a row a conversation: what was read back from it, and n_examples."""
-    rows = read_back(turns)
-    line = F.concat("role", F.lit("\n"), "text", F.lit("\n"))
-    kept = F.array_sort(F.collect_list(F.struct("position", line.alias("line"), "learned")))
-    whole = rows.groupBy("conv_id").agg(F.count("*").alias("n_turns"), kept.alias("kept"), F.sum("chars").alias("formatted_chars"),
-                                        F.count("learned").alias("n_examples"))
-    said = F.array_join(F.transform("kept", lambda s: F.coalesce(s["learned"], F.lit(""))), "")
-    return whole.withColumn("said", said).select(
-        "conv_id", "n_turns", F.sha2(F.array_join(F.transform("kept", lambda s: s["line"]), "").cast("binary"), 256).alias("turns_sha256"),
-        F.length("said").cast("long").alias("loss_chars"), F.sha2(F.col("said").cast("binary"), 256).alias("loss_sha256"),
-        "formatted_chars", "n_examples")
+    """Of ``formatted`` rows, a row a conversation: what was read back from its examples, all written out, and n_examples."""
+    chosen = examples(turns).select("conv_id", "example", "position").unionByName(rests(turns))
+    rows = read_back(expand(turns, chosen))
+    lines = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    rows = rows.select("conv_id", "example", "learned", "chars", F.size("turns").cast("long").alias("n"), F.sha2(lines.cast("binary"), 256).alias("digest"))
+    kept = F.array_sort(F.collect_list(F.when(F.col("learned").isNotNull(), F.struct("example", "learned"))))
+    whole = rows.groupBy("conv_id").agg(F.max("n").alias("n_turns"), F.max("digest").alias("turns_sha256"), kept.alias("kept"),
+                                        F.max("chars").alias("formatted_chars"), F.count("learned").alias("n_examples"))
+    return whole.withColumn("said", F.array_join(F.transform("kept", lambda s: s["learned"]), "")).select(
+        "conv_id", "n_turns", "turns_sha256", F.length("said").cast("long").alias("loss_chars"),
+        F.sha2(F.col("said").cast("binary"), 256).alias("loss_sha256"), "formatted_chars", "n_examples")
 
 
 def probe(chats: DataFrame) -> DataFrame:
