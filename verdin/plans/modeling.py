@@ -196,7 +196,7 @@ def kernel_shap(spark: SparkSession, sf: str) -> DataFrame:
     P(quality = 1) from a forest, for every labelled document."""
     feats = ["kchars", "hwords", "digit_share", "lines"]
     # the texts are read once: fit, background, scores and factors each go over these few numbers a row
-    df = ml.balanced_checkpoint(document_features(spark, sf).select("doc_id", *feats, "quality"), "doc_id")
+    df = document_features(spark, sf).select("doc_id", *feats, "quality").checkpoint(eager=True)
     model, _ = ml.fit_tabular(df, "quality", "doc_id", importance=False, num_trees=100)
     background = head_sample(df, ["doc_id"], shap.MAX_BACKGROUND)
 
@@ -361,7 +361,7 @@ def shap_factors(spark: SparkSession, sf: str) -> DataFrame:
     from verdin.operators import explain
     feats = ["kchars", "hwords", "digit_share", "lines"]
     # the texts are read once: fit, background, scores and factors each go over these few numbers a row
-    df = ml.balanced_checkpoint(document_features(spark, sf).select("doc_id", *feats, "quality"), "doc_id")
+    df = document_features(spark, sf).select("doc_id", *feats, "quality").checkpoint(eager=True)
     model, _ = ml.fit_tabular(df, "quality", "doc_id", importance=False, num_trees=100)
     background = head_sample(df, ["doc_id"], shap.MAX_BACKGROUND)
 
