@@ -195,8 +195,7 @@ def kernel_shap(spark: SparkSession, sf: str) -> DataFrame:
     """Exact Kernel SHAP (all 14 coalitions of 4 features, 20 background rows) of
     P(quality = 1) from a forest, for every labelled document."""
     feats = ["kchars", "hwords", "digit_share", "lines"]
-    # the texts are read once: fit, background, scores and factors each go over these few numbers a row
-    df = document_features(spark, sf).select("doc_id", *feats, "quality").checkpoint(eager=True)
+    df = document_features(spark, sf).select("doc_id", *feats, "quality")
     model, _ = ml.fit_tabular(df, "quality", "doc_id", importance=False, num_trees=100)
     background = head_sample(df, ["doc_id"], shap.MAX_BACKGROUND)
 
@@ -360,9 +359,9 @@ def shap_factors(spark: SparkSession, sf: str) -> DataFrame:
     """E1 (with E2 fallback) + K1: top-5 SHAP factors per labelled document."""
     from verdin.operators import explain
     feats = ["kchars", "hwords", "digit_share", "lines"]
-    # the texts are read once: fit, background, scores and factors each go over these few numbers a row
-    df = document_features(spark, sf).select("doc_id", *feats, "quality").checkpoint(eager=True)
-    model, _ = ml.fit_tabular(df, "quality", "doc_id", importance=False, num_trees=100)
+    df = document_features(spark, sf).select("doc_id", *feats, "quality")
+    model, _ = ml.fit_tabular(df, "quality", "doc_id", importance=False, num_trees=100)   # its bags follow the order of these rows
+    df = df.checkpoint(eager=True)   # background, scores and factors each go over these few numbers a row, not over the texts
     background = head_sample(df, ["doc_id"], shap.MAX_BACKGROUND)
 
     def score(frame: DataFrame) -> DataFrame:
