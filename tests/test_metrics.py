@@ -38,3 +38,11 @@ def test_flat_predictions_have_no_correlation(spark):
     df = spark.createDataFrame([(1.0, 3.0), (2.0, 3.0), (4.0, 3.0)], "y double, p double")
     m = regression_metrics(df, "y", "p").first()
     assert m["r"] is None and m["mae"] == round(4 / 3, 6)
+
+
+def test_pairs_that_are_no_numbers_are_no_observation(spark):
+    rows = [("a", 1.0, 2.0), ("a", 3.0, 2.0), ("a", None, 2.0), ("a", 5.0, float("nan")), ("a", float("inf"), 2.0), ("b", None, 1.0)]
+    df = spark.createDataFrame(rows, "k string, y double, p double")
+    found = metrics.regression_metrics(df, "y", "p", ["k"]).collect()
+    assert [(r["k"], r["n"], r["rmse"], r["mae"]) for r in found] == [("a", 2, 1.0, 1.0)]
+    assert metrics.regression_metrics(df.where("k = 'b'"), "y", "p").first()["n"] == 0

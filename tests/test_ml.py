@@ -66,3 +66,14 @@ def test_importance_of_no_rows_and_of_no_harm_is_even(spark):
     assert ml.permutation_importance(model, rows, "id") == {"a": 1.0}
     assert ml.permutation_importance(model, rows.limit(0), "id") == {"a": 1.0}
     assert [r.feature for r in ml.importance_table(spark, {"x": 0.1, "b": 0.45, "a": 0.45}, 2).collect()] == ["a", "b"]
+
+
+def test_importance_predicts_each_copy_once(spark):
+    from verdin.operators.metrics import regression_metrics
+    df = spark.createDataFrame([(i, float(i % 7), 2.0 * (i % 7)) for i in range(40)], "id long, a double, y double")
+    model, _ = ml.fit_tabular(df, "y", "id", task="regression", num_trees=2, importance=False)
+    rows = ml.label_column(df, "y", "regression", None)
+    for frame, keys in ((ml.shuffled_copies(rows, ["a"], "id"), ["_feature"]), (rows, [])):
+        found = regression_metrics(ml.score(model, frame), "label", "prediction_value", keys)
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("UDF(features#") == 1, plan

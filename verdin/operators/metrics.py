@@ -27,15 +27,18 @@ def regression_metrics(df: DataFrame, y: str, p: str, keys: Sequence[str] = (),
     """R, mse, rmse, mae, r2 and Gaussian AIC/BIC/AICc with ``k`` parameters (≥ 1), 6 dp."""
     k = max(int(k), 1)
     yy, pp = F.col(y).cast("double"), F.col(p).cast("double")
-    e = yy - pp
-    # pairs without two finite numbers are no observation
-    g = df.select(*keys, yy.alias("_y"), pp.alias("_p"), e.alias("_e")).where(~F.isnan("_e") & (F.abs("_e") < float("inf"))).groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"),
+    pairs = df.select(*keys, yy.alias("_y"), pp.alias("_p")).select("*", (F.col("_y") - F.col("_p")).alias("_e"))
+    # pairs without two finite numbers are no observation; a filter would be pushed below the model and predict every row again
+    finite = ~F.isnan("_e") & (F.abs("_e") < float("inf"))
+    g = pairs.select(*keys, *[F.when(finite, F.col(c)).alias(c) for c in ("_y", "_p", "_e")]).groupBy(*keys).agg(
+        F.count("_e").alias("n"),
         F.sum(F.col("_e") * F.col("_e")).alias("_rss"),
         F.avg(F.abs("_e")).alias("_mae"),
         F.covar_pop("_y", "_p").alias("_cov"),
         F.stddev_pop("_y").alias("_sy"), F.stddev_pop("_p").alias("_sp"),
         F.var_pop("_y").alias("_vy"))
+    if keys:
+        g = g.where(F.col("n") > 0)
     n = F.col("n").cast("double")
     mse = F.col("_rss") / n
     sstot = F.col("_vy") * n
