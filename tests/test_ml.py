@@ -77,3 +77,35 @@ def test_importance_predicts_each_copy_once(spark):
         found = regression_metrics(ml.score(model, frame), "label", "prediction_value", keys)
         plan = found._jdf.queryExecution().optimizedPlan().toString()
         assert plan.count("UDF(features#") == 1, plan
+
+
+def test_forest_keeps_no_node_ids_and_its_trees(spark):
+    from pyspark.ml.feature import VectorAssembler
+    df = spark.createDataFrame([(float(i % 11), float(i % 5), float(i % 2)) for i in range(200)], "a double, b double, label double")
+    data = VectorAssembler(inputCols=["a", "b"], outputCol="features").transform(df).coalesce(1)
+    for task in ("regression", "binary"):
+        plain, cached = ml.forest(task, num_trees=5), ml.forest(task, num_trees=5).setCacheNodeIds(True)
+        assert not plain.getCacheNodeIds()
+        trees = [[t.toDebugString.split("\n")[1:] for t in f.fit(data).trees] for f in (plain, cached)]
+        assert trees[0] == trees[1]
+
+
+def test_node_memory_bounds_the_passes_and_leaves_the_trees(spark):
+    from pyspark.ml.feature import VectorAssembler
+    assert ml.node_memory(300, 5, 6, 22) == 3 and ml.node_memory(1, 1, 1, 1) == 1
+    assert ml.node_memory(300, 5, 0, 10_000) * ml.NODE_PASSES * 2 ** 20 >= 300 * 31 * 20_000 * 24
+    assert ml.node_memory(300, 30, 50, 50) == 2048
+    rows = [tuple(float(i * k % 37) for k in range(1, 41)) + (float(i % 13 + i % 5),) for i in range(300)]
+    df = spark.createDataFrame(rows, ", ".join(f"f{k} double" for k in range(1, 41)) + ", label double").coalesce(1)
+    data = VectorAssembler(inputCols=df.columns[:-1], outputCol="features").transform(df)
+    trees = [[t.toDebugString.split("\n")[1:] for t in ml.forest("regression", num_trees=12, memory_mb=mb).fit(data).trees] for mb in (1, 2048)]
+    assert trees[0] == trees[1]
+
+
+def test_training_fits_a_regression_in_bounded_passes(spark, monkeypatch):
+    asked = []
+    plain = ml.forest
+    monkeypatch.setattr(ml, "forest", lambda *a, **k: asked.append(plain(*a, **k)) or asked[-1])
+    df = spark.createDataFrame([(i, float(i % 7), f"c{i % 4}", 2.0 * (i % 7)) for i in range(60)], "id long, a double, b string, y double")
+    ml.fit_tabular(df, "y", "id", task="regression", num_trees=3, importance=False)
+    assert [(f.getMaxMemoryInMB(), f.getCacheNodeIds()) for f in asked] == [(1, False)]
