@@ -109,3 +109,19 @@ def test_training_fits_a_regression_in_bounded_passes(spark, monkeypatch):
     df = spark.createDataFrame([(i, float(i % 7), f"c{i % 4}", 2.0 * (i % 7)) for i in range(60)], "id long, a double, b string, y double")
     ml.fit_tabular(df, "y", "id", task="regression", num_trees=3, importance=False)
     assert [(f.getMaxMemoryInMB(), f.getCacheNodeIds()) for f in asked] == [(1, False)]
+
+
+def test_comparison_predicts_each_row_once(spark, monkeypatch):
+    plans = []
+    plain = ml.regression_metrics
+
+    def seen(*args, **named):
+        plans.append(plain(*args, **named))
+        return plans[-1]
+
+    monkeypatch.setattr(ml, "regression_metrics", seen)
+    df = spark.createDataFrame([(i, float(i % 7), 2.0 * (i % 7)) for i in range(40)], "id long, a double, y double")
+    model, _ = ml.fit_tabular(df, "y", "id", task="regression", num_trees=2, importance=False)
+    pairs, found = ml.compare_with_actual(model, df, "id")
+    assert pairs.count() == 40 and "rmse" in found
+    assert [p._jdf.queryExecution().optimizedPlan().toString().count("UDF(features#") for p in plans] == [1, 1]
