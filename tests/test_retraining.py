@@ -25,3 +25,15 @@ def test_last_30_days_counts(spark, daily_regime):
     assert train_new.count() == 24
     cand = merge.append_dedupe(window.withColumn("_ord", F.lit(0)), train_new.withColumn("_ord", F.lit(1)))
     assert cand.count() == 55
+
+
+def test_champion_and_candidate_keep_no_node_ids(spark, monkeypatch):
+    from verdin.operators import ml, retrain
+    asked = []
+    plain = ml.forest
+    monkeypatch.setattr(ml, "forest", lambda *a, **k: asked.append(plain(*a, **k)) or asked[-1])
+    df = spark.createDataFrame([(i, float(i % 9), 3.5 * i + i % 9) for i in range(60)], "id long, a double, y double")
+    current, _ = ml.fit_tabular(df.where("id < 40"), "y", "id", num_trees=2, importance=False)
+    found = retrain.retrain(df.where("id < 40"), df.where("id >= 40"), current, "y", "id", None, num_trees=2)
+    assert found.summary["candidate_training_rows"] == 56 and found.summary["new_rows_reserved_for_evaluation"] == 4
+    assert [f.getCacheNodeIds() for f in asked] == [False, False]
